@@ -129,7 +129,7 @@ def bitmap(positions: pa.Array) -> pa.Array:
     """Line numbers to drop, to a compressed bitmap (bit set: the line stays); lines past its end stay."""
     out = []
     for p in positions.to_pylist():
-        bits = np.ones(max(p) + 1, dtype=np.uint8)
+        bits = np.ones((max(p) + 8) // 8 * 8, dtype=np.uint8)
         bits[p] = 0
         out.append(zlib.compress(np.packbits(bits).tobytes()))
     return pa.array(out, pa.binary())

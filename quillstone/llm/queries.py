@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, decontaminate, line_dedup, sharding, token_store
+from quillstone.llm import bpe, decontaminate, line_dedup, sharding, simhash, token_store
 from quillstone.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,5 +34,9 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op5_decontamination, op6_token_output)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op5_decontamination, op6_token_output, op8_simhash)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
