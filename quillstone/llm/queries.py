@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, decontaminate, line_dedup, sharding, simhash, token_store
+from quillstone.llm import bpe, count_trees, decontaminate, licenses, line_dedup, pii, quality, sharding, simhash, token_store
 from quillstone.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(read(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -34,9 +38,21 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op5_decontamination, op6_token_output, op8_simhash)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rows(read(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_trees.masked_counts(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op4_licenses, op5_decontamination, op6_token_output, op7_pii, op8_simhash, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
