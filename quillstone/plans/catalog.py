@@ -1,10 +1,4 @@
 """All queries of the engine and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillstone.plans import graphs, ledger, recall  # noqa: F401  they register their queries
+from quillstone.plans.registry import ORACLES, QUERIES  # noqa: F401
