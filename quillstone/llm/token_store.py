@@ -49,7 +49,7 @@ class Encoder:
     def word(self, piece: str) -> bytes:
         """Ids of a pre-token."""
         if (out := self.cache.get(piece)) is None:
-            out = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))], dtype="<u4").tobytes()
+            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
             if len(piece) <= 48:
                 if len(self.cache) >= CACHE_WORDS:
                     self.cache.clear()
@@ -60,11 +60,11 @@ class Encoder:
         """Ids of a run with at most one leading blank and no other."""
         if (out := self.cache.get(piece)) is not None:
             return out
+        if piece[-1:] in (".", ",") and "A" <= piece[-2:-1] < "\u0530" and piece[-2].isalpha():  # between a letter and a sign a pre-token ends
+            return self.piece(piece[:-1]) + self.word(piece[-1])
         body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and body.isascii():
+        if body.isalpha() and (body.isascii() or max(body) < "\u0530"):  # letters alike in all tables
             return self.word(piece)
-        if body[-1:] in (".", ",") and body[:-1].isalpha() and body.isascii():
-            return self.word(piece[:-1]) + self.word(piece[-1])
         if "\n" in body and UNEVEN_LINES.search(body) is None:
             first, *rest = piece.split("\n")
             return b"".join([self.piece(first)] + [self.word("\n") + self.piece(r) for r in rest])
