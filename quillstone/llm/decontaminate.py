@@ -23,6 +23,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +63,12 @@ def blocks(items: Iterable[tuple[str, str]], width: int, block_chars: int) -> It
         yield out
 
 
-def automaton(block: bytes) -> tuple[ahocorasick.Automaton, list]:
-    """Built once a worker for each block."""
-    name = hashlib.sha256(block).hexdigest()
+def name_of(block: bytes) -> str:
+    return hashlib.sha256(block).hexdigest()
+
+
+def automaton(block: bytes, name: str) -> tuple[ahocorasick.Automaton, list]:
+    """Built once a worker for each block; name is the block's name_of(), taken once and not with every text."""
     if name not in _built:
         _built.clear()
         found, values = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
@@ -76,9 +80,9 @@ def automaton(block: bytes) -> tuple[ahocorasick.Automaton, list]:
     return _built[name]
 
 
-def scan(text: bytes | None, block: bytes) -> tuple[int, np.ndarray | None, set[str]]:
+def scan(text: bytes | None, block: bytes, name: str = "") -> tuple[int, np.ndarray | None, set[str]]:
     """The number of words, a mask of hit words (None: none) and the items."""
-    found, values = automaton(block)
+    found, values = automaton(block, name or name_of(block))
     words = normal(text)
     if not words or not values:
         return len(words), None, set()
@@ -116,10 +120,12 @@ def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> list[bytes]:
     return [pickle.dumps(b) for b in blocks(((r.i, r.text) for r in rows), width, block_chars)]
 
 
-def _scanned(text: Column, block: object) -> Column:
+def _scanned(text: Column, sc: SparkContext, plain: bytes) -> Column:
+    block, name = sc.broadcast(plain), name_of(plain)
+
     @F.arrow_udf(HITS)
     def run(texts: pa.Array) -> pa.Array:
-        rows = [scan(t.as_py(), block.value) for t in texts.cast(pa.binary())]
+        rows = [scan(t.as_py(), block.value, name) for t in texts.cast(pa.binary())]
         masks = [None if m is None else np.packbits(m).tobytes() for _, m, _ in rows]
         return pa.StructArray.from_arrays([pa.array([n for n, _, _ in rows], pa.int64()), pa.array(masks, pa.binary()), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))], HITS.names)
 
@@ -139,10 +145,10 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_char
     """docs with a struct hits: n_words, hit_words (bits by word; null: none), item_ids. A column named hits is replaced."""
     sc, found = docs.sparkSession.sparkContext, _blocks(benchmark, width, block_chars) or [pickle.dumps({})]
     if len(found) == 1:
-        return docs.withColumn("hits", _scanned(F.col("text"), sc.broadcast(found[0])))
+        return docs.withColumn("hits", _scanned(F.col("text"), sc, found[0]))
     keyed, parts = docs.select("*", *row_key("doc_id", "text")), None
     for b in found:
-        part = keyed.select("k1", "k2", _scanned(F.col("text"), sc.broadcast(b)).alias("h"))
+        part = keyed.select("k1", "k2", _scanned(F.col("text"), sc, b).alias("h"))
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("k1", "k2").agg(F.max("h.n_words").alias("n"), F.collect_set("h.hit_words").alias("m"), F.collect_set("h.item_ids").alias("i"))
     return keyed.join(merged.select("k1", "k2", _joined("n", "m", "i").alias("hits")), ["k1", "k2"]).select(*docs.drop("hits").columns, "hits")
