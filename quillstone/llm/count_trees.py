@@ -16,6 +16,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.token_store import UNEVEN, encoder
+from quillstone.llm.token_store import CACHE_WORDS, UNEVEN, Encoder, encoder
 
 START = re.compile(r" \S")
 EDIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -38,6 +39,26 @@ def leaves_of(text: str) -> list[str]:
     return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
 
 
+class LeafCounts(dict):
+    """Token counts of leaves; those of short leaves are kept."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, leaf: str) -> int:
+        n = len(self.encoder.encode(leaf) if UNEVEN.search(leaf) else self.encoder.piece(leaf)) // 4
+        if len(leaf) <= 48:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[leaf] = n
+        return n
+
+
+@lru_cache(maxsize=2)
+def leaf_counts(vocabulary: str) -> LeafCounts:
+    return LeafCounts(encoder(vocabulary))
+
+
 class Sums:
     """A segment tree of sums in an array: node i has children 2i and 2i+1."""
 
@@ -72,20 +93,15 @@ class Sums:
 class CountTree:
     def __init__(self, text: str, vocabulary: str, counts: np.ndarray | None = None):
         """counts: of the leaves, if they are kept from before."""
-        self.encoder = encoder(vocabulary)
+        self.known = leaf_counts(vocabulary)
         self.leaves = leaves_of(text)
         self.encoded = 0
-        counts = self.count(self.leaves) if counts is None else counts
+        if counts is None:
+            self.encoded = len(text)
+            counts = np.fromiter(map(self.known.__getitem__, self.leaves), np.int64, len(self.leaves))
         self.chars, self.tokens = Sums(np.fromiter(map(len, self.leaves), np.int64, len(self.leaves))), Sums(counts)
         self.leaves += [""] * (self.chars.size - len(self.leaves))
 
-    def count(self, leaves: list[str]) -> np.ndarray:
-        self.encoded += sum(map(len, leaves))
-        if len(leaves) == 1:
-            return np.array([len(self.encoder.encode(leaves[0])) // 4])
-        cached, piece = self.encoder.cache.get, self.encoder.piece
-        return np.fromiter((len(cached(x) or piece(x)) // 4 for x in leaves), np.int64, len(leaves))
-
     @property
     def n_tokens(self) -> int:
         return int(self.tokens.tree[1])
@@ -104,8 +120,10 @@ class CountTree:
         else:
             first, a = self.chars.find(min(start, n - 1))
             a += start - min(start, n - 1)
-            last, b = self.chars.find(max(end - 1, min(start, n - 1)))
-            b = b + 1 if end > start else a
+            last, b = first, a + end - start
+            if b > len(self.leaves[first]):
+                last, b = self.chars.find(end - 1)
+                b += 1
             run = self.leaves[first][:a] + text + self.leaves[last][b:]
             while last + 1 < len(self.leaves) and not self.leaves[last + 1] and last - first < 64:
                 last += 1  # empty leaves behind go with it
@@ -114,11 +132,12 @@ class CountTree:
                 run = self.leaves[first] + run
                 if self.leaves[first] and (START.match(run) or not any(self.leaves[:first])):
                     break
-        counts = self.count(leaves_of(run)).sum() if run else 0
+        self.encoded += len(run)
+        count = sum(map(self.known.__getitem__, leaves_of(run)))
         for i in range(first, last + 1):
             self.leaves[i] = run if i == first else ""
             self.chars.set(i, len(self.leaves[i]))
-            self.tokens.set(i, int(counts) if i == first else 0)
+            self.tokens.set(i, count if i == first else 0)
 
 
 def _struct(rows: list[tuple], kind: T.StructType, types: list[pa.DataType]) -> pa.Array:
