@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def approx_tokens(text: Column) -> Column:
@@ -61,3 +66,51 @@ def terms(text: Column) -> Column:
 
 def scope_key(*parts: str) -> Column:
     return F.concat_ws("|", *(F.when(F.col(p).isNotNull(), F.concat(F.lit(f"{p}="), F.col(p))) for p in parts))
+
+
+#: Labels that open a turn of a transcript: fixed value.
+SPEAKER = r"(?md)^(USER(?:\([^)\n]{1,64}\))?|ASSISTANT|TOOL|SYSTEM TRIGGER[^:\n]*):"
+
+
+def last_speaker(text: Column) -> Column:
+    """The last turn label in a transcript; null if it has none."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(SPEAKER), F.lit(1)), F.lit(-1))
+
+
+def attributed_user(participants: Column, subject: Column, stated: Column, user: Column) -> Column:
+    """Whom a fact belongs to. participants: array of (label, user_id) of the episode; stated: whether the fact names a subject at all.
+
+    Without participants or a stated subject, and for unknown labels, the episode's user; for a null subject and for a participant without user, nobody."""
+    match = F.filter(participants, lambda p: normal_name(p["label"]) == normal_name(subject))
+    return F.when(F.coalesce(F.size(participants), F.lit(0)) <= 0, user).when(~stated, user).when(subject.isNull(), None).when(F.size(match) > 0, F.try_element_at(match, F.lit(1))["user_id"]).otherwise(user)
+
+
+def display(df: DataFrame, leave_out: tuple[str, ...] = (), cut: tuple[str, ...] = ("content", "text", "summary"), n: int = 200) -> DataFrame:
+    """Rows for an inspector: long texts cut, arrays and structs as placeholders."""
+
+    def shown(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return F.concat(F.lit("["), F.size(f.name).cast("string"), F.lit(" items]"))
+        if isinstance(f.dataType, (T.StructType, T.MapType)):
+            return F.when(F.col(f.name).isNotNull(), "[object]")
+        return truncate(F.col(f.name), n) if f.name in cut else F.col(f.name)
+
+    return df.select(*(shown(f).alias(f.name) for f in df.schema if f.name not in leave_out))
+
+
+@F.pandas_udf(T.StringType())
+def answer_json(answers: pd.Series) -> pd.Series:
+    """The first JSON object or array in a model's answer, without its thinking and code fences; null if there is none."""
+    read = json.JSONDecoder().raw_decode
+
+    def one(answer: str | None) -> str | None:
+        body = re.split("(?i)<think>", re.sub("(?is)<think>.*?</think>", "", answer or ""))[0]
+        fenced = re.search(r"(?is)```(?:json)?\s*(.*?)```", body)
+        body = fenced[1] if fenced else body
+        start = re.search(r"[{\[]", body)
+        try:
+            return json.dumps(read(body, start.start())[0], separators=(",", ":"), ensure_ascii=False) if start else None
+        except ValueError:
+            return None
+
+    return answers.map(one)

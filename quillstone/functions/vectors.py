@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,3 +19,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def index_score(raw: Column) -> Column:
     return (1 + raw) / 2
+
+
+def hashed_terms(rows: DataFrame, key: str, column: str, dim: int = 256) -> DataFrame:
+    """A plain embedder without a model, in sparse form: words hashed to dim buckets, counted, of unit norm. key, bucket, weight."""
+    word = F.explode(F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != ""))
+    bucket = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("long") % dim
+    counts = rows.select(key, word.alias("word")).groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    return counts.select(key, "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))).alias("weight"))

@@ -75,3 +75,10 @@ def neighbourhood_until(edges: DataFrame, start: DataFrame, most: int) -> DataFr
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def survivors(edges: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each node of edges with the last row, by order, of its component: node, survivor."""
+    found = cut(components(edges))
+    last = found.join(rows.select(F.col(key).alias("node"), F.struct(*order).alias("o")), "node").groupBy("root").agg(F.max_by("node", "o").alias("survivor"))
+    return found.join(last, "root").select("node", "survivor")

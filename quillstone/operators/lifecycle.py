@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.functions import temporal
+from quillstone.functions import scoring, temporal, text
 
 
 def snapshot(facts: DataFrame, at: Column) -> DataFrame:
@@ -56,3 +56,43 @@ def revision(rows: DataFrame, key: str, kind: str, reason: str, leave_out: tuple
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("nth = 1").drop("nth")
+
+
+def tick(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """Facts returned by recall (hits: fact_id, repeats count once) are used once more, now."""
+    out = facts.join(hits.select("fact_id").distinct().withColumn("hit", F.lit(1)), "fact_id", "left")
+    return out.withColumns({"reference_count": F.col("reference_count") + F.coalesce("hit", F.lit(0)), "last_used": F.when(F.col("hit").isNotNull(), now)}).drop("hit")
+
+
+def merge(facts: DataFrame, members: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """members (group, fact_id): (new facts, one a group; the members, closed now). Only open, visible members count; uses are pooled,
+    importance is the greatest less a tenth, and the interval starts with the first member."""
+    own = facts.filter(F.col("valid_to").isNull() & temporal.visible()).join(members.select("group", "fact_id").distinct(), "fact_id")
+    new = own.groupBy("group").agg(F.sum("reference_count").alias("reference_count"), F.count("*").alias("n"), F.min("valid_from").alias("valid_from"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"), F.greatest(F.lit(0.0), F.max("importance") - 0.1).alias("importance"))
+    return new, own.withColumn("valid_to", now)
+
+
+def new_versions(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """state (key, version, value, live) and changes (key, value): live rows with a change retire, and a copy of the next version carries it."""
+    n = changes.select(key, F.col("value").alias("to"), F.lit(True).alias("hit"))
+    both = state.join(n, key, "left").withColumn("hit", F.col("live") & F.col("hit").isNotNull())
+    rows = F.when(F.col("hit"), F.array(F.struct("version", "value", F.lit(False).alias("live")), F.struct((F.col("version") + 1).alias("version"), F.col("to").alias("value"), F.lit(True).alias("live")))).otherwise(F.array(F.struct("version", "value", "live")))
+    return both.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+
+
+def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Sets the columns whose flag set_<column> is true, to null too; keys that old lacks are left out."""
+    o, n = old.alias("o"), changes.alias("n")
+    new = [F.when(F.coalesce(F.col(f"n.set_{c}"), F.lit(False)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in columns else F.col(f"o.{c}") for c in old.columns]
+    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "left").select(*new)
+
+
+def record_failures(jobs: DataFrame, failed: DataFrame, key: str, now: Column, most: int) -> DataFrame:
+    """Failed jobs have one attempt more and a new time to try again; null where attempts are used up (dead)."""
+    out = jobs.join(failed.select(key).distinct().withColumn("hit", F.lit(1)), key, "left").withColumn("attempts", F.col("attempts") + F.coalesce("hit", F.lit(0)))
+    return out.withColumns({"next_at": F.when(F.col("hit").isNotNull(), scoring.next_retry(F.col("attempts"), now, most)).otherwise(F.col("next_at")), "dead": F.col("attempts") >= most}).drop("hit")
+
+
+def fold_names(rows: DataFrame, name: str, kind: str, order: str) -> DataFrame:
+    """One row for names alike but for case and outer blanks: name_norm, name and kind of the first by order, n."""
+    return rows.groupBy(text.normal_name(F.col(name)).alias("name_norm")).agg(F.min_by(name, order).alias("name"), F.min_by(kind, order).alias("kind"), F.count("*").alias("n"))

@@ -72,3 +72,23 @@ def blended(candidates: DataFrame, now: Column, agent: str | None = None, sessio
 
 def top_per_kind(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy(F.round(score, 9).desc(), key))).filter(F.col("nth") <= k)
+
+
+def chunk_facts(hits: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:
+    """Open facts derived from found chunks: fact_id, rank (of the best chunk), chunk_ids. hits (chunk_id, rank), links (chunk_id, fact_id)."""
+    found = links.join(hits, "chunk_id").groupBy("fact_id").agg(F.min("rank").alias("rank"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    return found.join(facts.filter(temporal.visible() & F.col("valid_to").isNull()).select("fact_id"), "fact_id", "left_semi")
+
+
+def candidates(lists: list[DataFrame], key: str, expansions: tuple[str, ...] = ("sibling", "graph")) -> DataFrame:
+    """Ranked lists (key, source, rank) merged by key: key, found (source and rank of each list), direct (found by more than an expansion)."""
+    direct = F.bool_or(~F.col("source").isin(*expansions))
+    return reduce(DataFrame.unionByName, lists).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source", "rank"))).alias("found"), direct.alias("direct"))
+
+
+def rerank(hits: DataFrame, key: str, score: Column, window: int = 20, keep: int = 10) -> DataFrame:
+    """The first window rows of one request by rank (from 0), in the order of another score, keep at most: key, rank, rank_before, promoted."""
+    top = hits.orderBy("rank", key).limit(window).withColumn("by", score)
+    after = F.row_number().over(Window.orderBy(F.col("by").desc(), key)) - 1  # a bounded list
+    before = F.row_number().over(Window.orderBy("rank", key)) - 1
+    return top.select(key, after.alias("rank_after"), before.alias("rank_before")).filter(F.col("rank_after") < keep).withColumn("promoted", F.col("rank_after") < F.col("rank_before"))

@@ -25,7 +25,7 @@ def bucket_counts(spark: SparkSession, path: str, schema: str, width: str = "1 d
 def sessions(spark: SparkSession, path: str, schema: str, gap: str = "30 minutes") -> DataFrame:
     """Gap sessions of users from a stream, in one append."""
     out = shared_path(spark)
-    stream = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "3650 days")
+    stream = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "3650 days")
     found = stream.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
