@@ -29,7 +29,8 @@ from quillstone.llm.common import parallelism, shared_dir
 STORE = "file int, doc_id long, at long, n_tokens long, token_ids array<int>"
 #: Row groups of 16 MB, pages of 64 kB and at most 512 rows, format version 2.
 LAYOUT = {"parquet.block.size": 16 << 20, "parquet.page.size": 64 << 10, "parquet.page.row.count.limit": 512, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
-CACHE_WORDS = 500_000
+#: Entries of a worker's cache of pieces: this many in use, and as many of the generation before.
+CACHE_WORDS = 400_000
 #: Where it isn't found, a pre-token ends before each blank, comma and point and on both sides of each line end: blanks are single blanks or line ends
 #: between visible characters, and commas and points stand between a letter or digit and one of these or a blank.
 BOUND = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))|[\t\r\v\f\x01\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -49,21 +50,31 @@ class Encoder:
         self.model = self.library.model
         self.symbols = dict(enumerate(byte_symbols()))
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        """Caches a short piece. A full cache becomes the generation before, from which pieces that come again are taken back."""
+        if len(piece) <= 48:
+            if len(self.cache) >= CACHE_WORDS:
+                self.before = dict(self.cache)
+                self.cache.clear()  # in place, as encode() holds its lookup
+            self.cache[piece] = ids
+        return ids
 
     def word(self, piece: str) -> bytes:
         """Ids of a pre-token."""
-        if (out := self.cache.get(piece)) is None:
+        if (out := self.cache.get(piece)) is not None:
+            return out
+        if (out := self.before.get(piece)) is None:
             out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
-            if len(piece) <= 48:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[piece] = out
-        return out
+        return self.keep(piece, out)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a run with at most one leading blank and no other."""
         if not piece or (out := self.cache.get(piece)) is not None:
             return out if piece else b""
+        if (out := self.before.get(piece)) is not None:
+            return self.keep(piece, out)
         if piece[-1:] in (".", ",") and "A" <= piece[-2:-1] < "\u0530" and piece[-2].isalpha():  # between a letter and a sign a pre-token ends
             return self.piece(piece[:-1]) + self.word(piece[-1])
         body = piece[1:] if piece[:1] == " " else piece
@@ -74,8 +85,7 @@ class Encoder:
             return b"".join([self.piece(first)] + [self.word("\n") + self.piece(r) for r in rest])
         if len(piece) > 48:
             return self.whole(piece)
-        out = self.cache[piece] = self.whole(piece)
-        return out
+        return self.keep(piece, self.whole(piece))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
