@@ -89,3 +89,27 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"\0\1\2")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.status) for r in store.attachments(spark, str(tmp_path)).collect()}
     assert got == {"a.html": ("hi there", "extracted"), "b.bin": (None, "unsupported")}
+
+
+def test_answer_json(spark):
+    answers = ["", None, "no json", "<think>[1]</think> {\"a\": [1, 2]} and more", "{\"a\": 1", "x <think>{\"a\": 1}", "```json\n[1]\n``` {\"b\": 2}"]
+    got = spark.createDataFrame(list(enumerate(answers)), "i int, t string").select("i", text.answer_json("t").alias("j")).orderBy("i").collect()
+    assert [r["j"] for r in got] == [None, None, None, '{"a":[1,2]}', None, None, "[1]"]
+
+
+def test_last_speaker(spark):
+    rows = [(0, None), (1, "hello"), (2, "USER: a\nASSISTANT: b"), (3, "ASSISTANT: a\nUSER(Ann B): b\nnot USER: c"), (4, "SYSTEM TRIGGER (CRON): x")]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", text.last_speaker(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [None, None, "ASSISTANT", "USER(Ann B)", "SYSTEM TRIGGER (CRON)"]
+
+
+def test_new_versions_leave_unchanged_and_dead_rows(spark):
+    state = spark.createDataFrame([("a", 1, 1.0, False), ("a", 2, 2.0, True), ("b", 1, 3.0, True)], "key string, version long, value double, live boolean")
+    got = lifecycle.new_versions(state, spark.createDataFrame([("a", 9.0), ("z", 1.0)], "key string, value double"), "key")
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1.0, False), ("a", 2, 2.0, False), ("a", 3, 9.0, True), ("b", 1, 3.0, True)]
+
+
+def test_patch_sets_to_null(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, c string")
+    changes = spark.createDataFrame([(1, None, True), (2, "n", False), (9, "n", True)], "id long, c string, set_c boolean")
+    assert sorted(map(tuple, lifecycle.patch(old, changes, "id", ["c"]).collect())) == [(1, None), (2, "y"), (3, None)]
