@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillstone.llm import jaccard
 from quillstone.llm.common import ASCII_LOWER, parallelism, row_key, shared_table
 
 #: The chance that two random two-bit segments have equal bit counts.
@@ -180,12 +181,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _labelled(docs: DataFrame, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, k1, k2, bits) of docs, and (bits, root, least doc_id, head row) of the distinct fingerprints."""
-    marked = shared_table(docs.select("doc_id", *row_key("doc_id", "text"), fingerprints(F.col("text"), width).alias("bits")))
+def _labelled(docs: DataFrame, width: int, max_bits: int, similar_width: int | None = None, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, bits) of docs, and (bits, root, least doc_id, head row) of the distinct fingerprints. With similar_width, texts with that
+    similarity on shingles of so many words are linked as well."""
+    sketch = [] if similar_width is None else [jaccard.sketches(F.col("text"), similar_width).alias("sketch")]
+    marked = shared_table(docs.select("doc_id", *row_key("doc_id", "text"), fingerprints(F.col("text"), width).alias("bits"), *sketch))
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = shared_table(marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(head).alias("head")))
-    found = components(near_links(nodes.select("bits"), nodes.count(), max_bits))
+    links = near_links(nodes.select("bits"), nodes.count(), max_bits)
+    if similar_width is not None:
+        links = links.unionByName(jaccard.similar_links(docs, marked, similar_width, similarity))
+    found = components(links)
     return marked, nodes.join(found, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
 
 
@@ -197,9 +203,9 @@ def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 3) -> Da
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, similar_width: int | None = None, similarity: float = 0.8) -> DataFrame:
     """One document of each component: the least doc_id (null last; among equal ids one text), once if rows are equal in doc_id and text."""
-    heads = _labelled(docs, width, max_bits)[1].groupBy("root").agg(F.min("head").alias("h")).select(F.col("h.k1").alias("k1__"), F.col("h.k2").alias("k2__"))
+    heads = _labelled(docs, width, max_bits, similar_width, similarity)[1].groupBy("root").agg(F.min("head").alias("h")).select(F.col("h.k1").alias("k1__"), F.col("h.k2").alias("k2__"))
     keyed = docs.select("*", *(k.alias(f"{n}__") for k, n in zip(row_key("doc_id", "text"), ("k1", "k2"))))
     kept = keyed.join(heads, ["k1__", "k2__"], "left_semi")
     return kept.withColumn("nth__", F.row_number().over(Window.partitionBy("k1__", "k2__").orderBy("k1__"))).filter("nth__ = 1").select(*docs.columns)

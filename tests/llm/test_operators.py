@@ -403,3 +403,44 @@ def test_pipeline(spark):
                 assert bytes(ids) == le(want) and dec == lib.decode(want, skip_special_tokens=False)
             assert len(got) == len(before)
         docs = spark.createDataFrame(got) if name != "bpe_encoding" else docs
+
+
+def five(text):
+    w = [x for x in BLANK.split(text.translate(LOWER)) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_duplicate_stage_finds_similar_texts(spark):
+    r, texts = random.Random(8), []
+    for n in [60, 100, 300, 900] * 10:
+        own = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(own))
+        for edits in (1, 2, n // 60, n // 45, n // 35, n // 12):  # similarities on both sides of 0.8
+            copy = own[:]
+            for k in r.sample(range(n), edits):
+                copy[k] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [five(t) for t in texts]
+    root = list(range(len(texts)))
+    bits = [fingerprint(t) for t in texts]
+    links = [(j, i) for i in range(len(texts)) for j in range(max(0, i - 7), i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (bits[i] ^ bits[j]).bit_count() <= 3]
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sum((bits[a] ^ bits[b]).bit_count() > 3 for a, b in links) > 50  # what three bits alone leave in
+    got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS), "")
+    assert {x.doc_id for x in got.collect()} == {*root} and len({*root}) > 60
+
+
+@pytest.mark.parametrize("rows", [2048, 3])
+def test_similar_links_over_parts(spark, rows):
+    from quillstone.llm import jaccard
+    from quillstone.llm.common import row_key
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(0, 200, 8)] + ["a b", "A  b", "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = df.select("doc_id", *row_key("doc_id", "text"), F.col("doc_id").alias("bits"), jaccard.sketches(F.col("text"), 5).alias("sketch"))
+    links = jaccard.similar_links(df, marked, cell_rows=rows)
+    got = {x.bits: x.root for x in simhash.components(links).collect()}
+    assert {got.get(i, i) for i in range(25)} == {0} and got[26] == 25 and 27 not in got and 28 not in got
