@@ -2,8 +2,9 @@
 
 Rules find mail addresses, IP addresses, cards and phone numbers. A small tagger, trained in numpy from labelled spans, adds spans that the rules' forms
 miss. Its training set is a bounded sample (``TRAIN_SNIPPETS`` snippets with the least hashes, over all documents) of texts around the rules' spans, with the spans as
-labels, and copies of them with the spans rewritten (no country code, spaced or dotted signs). Every kind holds a digit or an @, so
-windows are laid around those signs; a text without them has no windows. Windows of ``WINDOW`` characters overlap by half. Each is decoded by Viterbi; then each
+labels, and copies of them with the spans rewritten (no country code, spaced or dotted signs). Every span that a kind's plain conditions accept holds a digit, an @,
+or one of the words for it ("(at)", " at ") between a local part and a domain with a dot, so windows are laid around those signs, over the whole address;
+a text without them has no windows. Windows of ``WINDOW`` characters overlap by half. Each is decoded by Viterbi; then each
 character takes the tag from the window in whose middle half it stands, so tags form one sequence over the text, from which spans are read. A span is added if its
 mean probability is ``MIN_SCORE`` or more, it meets no rule's span, and its kind's plain conditions hold (digits, checksum, parts).
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-SIGNS = re.compile("[0-9@]")
+SIGN = r"[0-9@]|(?<=[A-Za-z0-9._%+-])(?:\(at\)| at )(?=[A-Za-z0-9])"  # in Java's syntax as well
+SIGNS = re.compile(SIGN)
+HOST = re.compile(r"(?: ?@ ?|\(at\)| at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile("[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -188,14 +191,31 @@ class Tagger:
         return tags.T, np.take_along_axis(e / e.sum(2, keepdims=True), tags[:, :, None], 2)[:, :, 0].T
 
 
+def places(text: str) -> Iterator[tuple[int, int]]:
+    """Each sign, from the local part before it to the end of the domain after it if it stands in a mail address; each character is walked over once or twice."""
+    past = 0
+    for m in SIGNS.finditer(text):
+        start = end = m.start()
+        if not text[start].isdigit():
+            host = HOST.match(text, start - 1) if start and text[start - 1] == " " and text[start] == "@" else HOST.match(text, start)
+            if host:
+                start, end = host.start(), host.end() - 1
+                while start > past and LOCAL.match(text[start - 1]):
+                    start -= 1
+                past = end
+            elif text[start] != "@":
+                continue  # " at " in prose
+        yield start, end
+
+
 def window_starts(text: str) -> list[tuple[int, bool, bool]]:
     """Starts of windows around the signs, and whether a window is the first or last of its zone."""
     zones: list[list[int]] = []
-    for m in SIGNS.finditer(text):
-        if zones and m.start() - 24 <= zones[-1][1]:
-            zones[-1][1] = m.start() + 24
+    for a, b in places(text):
+        if zones and a - 24 <= zones[-1][1]:
+            zones[-1][1] = max(zones[-1][1], b + 24)
         else:
-            zones.append([max(0, m.start() - 24), m.start() + 24])
+            zones.append([max(0, a - 24), b + 24])
     out = []
     for a, b in zones:
         starts = [*range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2)]
@@ -259,11 +279,11 @@ def labelled(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> list[tuple[str,
             out = []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
-                places = [(a, b) for a, _, b in spans] or [m.span() for m in [SIGNS.search(text)]]
-                out += [text[max(0, a - 40) : b + 40] for a, b in places if b - a <= 80]
+                around = [(a, b) for a, _, b in spans] or [m.span() for m in [SIGNS.search(text)] if m]
+                out += [text[max(0, a - 40) : b + 40] for a, b in around if b - a <= 80]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["snippet"])
 
-    found = docs.select("text").filter(F.col("text").rlike("[0-9@]")).mapInArrow(run, "snippet string").distinct()
+    found = docs.select("text").filter(F.col("text").rlike(SIGN)).mapInArrow(run, "snippet string").distinct()
     rows = found.orderBy(F.xxhash64("snippet"), "snippet").limit(snippets).collect()
     return [(r.snippet, base_spans(r.snippet)) for r in rows]
 
@@ -302,5 +322,5 @@ def find_personal(docs: DataFrame) -> DataFrame:
         types = [pa.int64()] * len(KINDS) + [pa.string()] * 2
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], FOUND.names)
 
-    signed = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))  # texts without signs stay in the JVM
+    signed = F.when(F.col("text").rlike(SIGN), F.col("text"))  # texts without signs stay in the JVM
     return docs.select("doc_id", run(signed).alias("f")).select("doc_id", "f.*")

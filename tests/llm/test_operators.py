@@ -444,3 +444,32 @@ def test_similar_links_over_parts(spark, rows):
     links = jaccard.similar_links(df, marked, cell_rows=rows)
     got = {x.bits: x.root for x in simhash.components(links).collect()}
     assert {got.get(i, i) for i in range(25)} == {0} and got[26] == 25 and 27 not in got and 28 not in got
+
+
+@pytest.mark.parametrize("form", ["(at)", " at ", " @ "])
+def test_mails_without_sign_have_windows(spark, form):
+    words = "we meet at noon and write to nobody else about the plan of the house by the river " * 3
+    for local in ("anna.berg", "a" * 90):
+        mail = f"{local}{form}post.example.org"
+        text = words + mail + " " + words
+        a, covered = len(words), set()
+        for s, first, last in pii.window_starts(text):
+            covered |= {*range(s + (0 if first else 16), s + (64 if last else 48))}
+        assert {*range(a, a + len(mail))} <= covered
+    assert pii.window_starts(words) == []
+    text = words + f"anna.berg{form}post.example.org" + " " + words
+    a, b = len(words), len(words) + len(f"anna.berg{form}post.example.org")
+
+    class Sure:
+        def decode(self, ids):
+            tags = np.zeros(ids.shape, dtype=np.int64)
+            for row, out in zip(ids, tags):
+                at = text.find("".join(map(chr, row)).rstrip("\0"))
+                out[[k for k in range(pii.WINDOW) if a <= at + k < b]] = 2
+                if a <= at + pii.WINDOW and at <= a:
+                    out[a - at : a - at + 1] = 1
+            return tags, np.ones(ids.shape)
+
+    assert pii.added_spans(Sure(), [text], [[]]) == [[(a, 0, b)]]
+    seen = spark.createDataFrame([(text,)], "text string").filter(F.col("text").rlike(pii.SIGN)).count()
+    assert seen == 1
