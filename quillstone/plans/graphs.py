@@ -199,6 +199,15 @@ def vault_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "documents").filter("n_chars > 9000").groupBy(F.col("lang").alias("bucket")).agg(F.array_join(links, " ").alias("links"))
 
 
+@query("SELECT lang AS bucket, '[[' || doc_id || ']]' AS link FROM documents", plain=True)
+def vault_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to all documents, written as index files in a folder a bucket, in order over the files' names and lines, and read back."""
+    path = store.shared_path(spark)
+    d = D.table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket"), "doc_id", F.concat(F.lit("[["), F.col("doc_id").cast("string"), F.lit("]]")).alias("link"))
+    d.repartitionByRange("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").select("bucket", "link").write.partitionBy("bucket").text(path)
+    return spark.read.schema("value string, bucket string").text(path).select("bucket", F.col("value").alias("link"))
+
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -222,3 +231,11 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.shared_path(spark)
     store.backup({"events": D.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select("event_id", "value")}, path)
     return store.restore(spark, path, ["events"])["events"]
+
+
+@query("SELECT * FROM events", plain=True)
+def backup_restore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables written as a snapshot and read back."""
+    path = store.shared_path(spark)
+    store.backup({"events": D.table(spark, sf_dir, "events")}, path)
+    return store.restore(spark, path, ["events"])["events"]

@@ -113,3 +113,13 @@ def test_patch_sets_to_null(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, c string")
     changes = spark.createDataFrame([(1, None, True), (2, "n", False), (9, "n", True)], "id long, c string, set_c boolean")
     assert sorted(map(tuple, lifecycle.patch(old, changes, "id", ["c"]).collect())) == [(1, None), (2, "y"), (3, None)]
+
+
+def test_whole_tables_have_rows_of_all(spark):
+    from quillstone.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    docs, events = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "events"))
+    run = lambda name: catalog.QUERIES[name](spark, sf)
+    assert run("backup_restore_all").count() == run("json_ingestion_all").count() == events.count() and run("vault_index_all").count() == docs.count()
+    assert run("hashed_vectors_all").select("doc_id").distinct().count() == docs.filter("trim(text) <> ''").count()
