@@ -1,12 +1,14 @@
 """Byte-pair encoding and decoding on contiguous rank arrays (operator 2).
 
-A word is a row of symbols. ``bounds`` holds where its parts begin, ``ranks[i]`` the merge rank of parts i and i+1. The least
+A word is a row of symbols. ``bounds`` holds where its parts begin, ``ids`` the parts' tokens, and ``ranks[i]`` the merge rank of parts i and i+1. The least
 rank (leftmost on ties) is looked for again and again; its boundary is deleted and the ranks on both sides are looked up anew.
 Words of over ``SHORT`` symbols take a heap with the same order of merges instead, as scanning would cost the square of the length.
+Decoding starts from the ids alone: a vectorised look-up of the tokens' strings, joined by document.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole; the
-vocabulary's special strings in a text become their ids. Rows pass through one by one, so repeated rows, clashing extra columns and empty
-tables need no care.
+vocabulary's special strings in a text become their ids; ids that the vocabulary lacks raise ValueError when decoded. Rows pass through one by one,
+so repeated rows, clashing extra columns and empty tables need no care. Documents are worked on in slices of ``SLICE`` characters, so a worker holds little
+beside its input, and its cache is bounded.
 """
 
 from __future__ import annotations
@@ -16,17 +18,22 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT = 48
-#: Words kept in a worker's cache; the cache is emptied when full.
-CACHE_WORDS = 400_000
+#: Words in a worker's cache: this many in use, and as many of the generation before.
+CACHE_WORDS = 200_000
+#: Documents are gathered up to so many characters and then decoded and handed on.
+SLICE = 1 << 20
 NONE = 1 << 60
 #: The vocabulary's split pattern: fixed value.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -44,66 +51,89 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Cache:
+    """A bounded cache of encoded words. A full one becomes the generation before, from which words that come again are taken back."""
+
+    def __init__(self, words: int = CACHE_WORDS):
+        self.words, self.now, self.before = words, {}, {}
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self.now) >= self.words:
+            self.before = dict(self.now)
+            self.now.clear()  # in place, as callers hold its lookup
+        self.now[word] = ids
+        return ids
+
+    def get(self, word: str) -> bytes | None:
+        if (ids := self.now.get(word)) is None and (ids := self.before.get(word)) is not None:
+            self.keep(word, ids)
+        return ids
+
+
 class Codec:
     """Encodes with a vocabulary file of byte-level symbols and word ends."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.path = path
-        self.end = model["end_of_word_suffix"] or ""
-        self.ids = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        model, symbols = spec["model"], byte_symbols()
+        self.path, vocab, end = path, model["vocab"], model["end_of_word_suffix"] or ""
+        if missing := [s for s in symbols if s not in vocab or s + end not in vocab]:
+            raise ValueError(f"the vocabulary lacks single bytes: {missing[:3]}")
+        self.inner, self.final = [vocab[s] for s in symbols], [vocab[s + end] for s in symbols]
+        strings: list[str | None] = [None] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
+        self.after: list[dict[int, int]] = [{} for _ in strings]  # by left and right token
+        for i, (a, b) in enumerate(model["merges"]):
+            self.after[vocab[a]][vocab[b]] = i
+        self.of_bytes = [[self.after[a].get(b, NONE) for b in self.inner] for a in self.inner]
+        self.made = [vocab[a + b] for a, b in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.symbols = dict(enumerate(byte_symbols()))
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.library = None
-        self.text_of = {i: t for t, i in {**self.ids, **self.special}.items()}
-        if missing := [s for s in self.symbols.values() if s not in self.ids or s + self.end not in self.ids]:
-            raise ValueError(f"the vocabulary lacks single bytes: {missing[:3]}")
-
-    def parts(self, word: str) -> list[str]:
-        """A pre-token (its text) to the strings of its tokens."""
-        w = word.encode().decode("latin-1").translate(self.symbols) + self.end
-        n = len(w) - len(self.end)
+        self.cache, self.words, self.library = Cache(), Cache(CACHE_WORDS // 2), None
+        for token, i in {**vocab, **self.special}.items():
+            strings[i] = token
+        self.strings = pa.array(strings, pa.string())
+
+    def parts(self, word: bytes) -> tuple[list[int], list[int]]:
+        """The token ids of a pre-token of at least one byte, and where each begins."""
+        ids = [self.inner[b] for b in word]
+        ids[-1] = self.final[word[-1]]
+        n = len(ids)
         if n > SHORT:
-            return self.long_parts([*w[: n - 1], w[n - 1 :]])
-        bounds = [*range(n), len(w)]
-        rank = self.ranks.get
-        ranks = [rank((w[bounds[i] : bounds[i + 1]], w[bounds[i + 1] : bounds[i + 2]]), NONE) for i in range(n - 1)]
-        while ranks:
-            least = min(ranks)
-            if least == NONE:
-                break
+            return self.long_parts(ids)
+        bounds, after, made = [*range(n)], self.after, self.made
+        ranks = [self.of_bytes[a][b] for a, b in zip(word, word[1:])]
+        if n > 1:
+            ranks[-1] = after[ids[-2]].get(ids[-1], NONE)
+        ranks.append(NONE)
+        while (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            del bounds[i + 1]
-            del ranks[i]
+            del bounds[i + 1], ranks[i], ids[i + 1]
+            ids[i] = new = made[least]
             if i:
-                ranks[i - 1] = rank((w[bounds[i - 1] : bounds[i]], w[bounds[i] : bounds[i + 1]]), NONE)
-            if i < len(ranks):
-                ranks[i] = rank((w[bounds[i] : bounds[i + 1]], w[bounds[i + 1] : bounds[i + 2]]), NONE)
-        return [w[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def long_parts(self, part: list[str]) -> list[str]:
-        """The same merges in the same order by a heap of (rank, place), for long words."""
-        n, rank = len(part), self.ranks.get
+                ranks[i - 1] = after[ids[i - 1]].get(new, NONE)
+            if i + 1 < len(ids):
+                ranks[i] = after[new].get(ids[i + 1], NONE)
+        return ids, bounds
+
+    def long_parts(self, part: list[int]) -> tuple[list[int], list[int]]:
+        """The same merges in the same order by a heap of (rank, place), for long words. A part that was merged into its left neighbour is -1."""
+        n, rank = len(part), lambda a, b: self.after[a].get(b, NONE)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank((part[i], part[i + 1]), NONE)) < NONE]
+        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank(part[i], part[i + 1])) < NONE]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i]
             if part[i] != left or j < 0 or part[j] != right:
                 continue
-            part[i], part[j], after[i] = left + right, "", after[j]
+            part[i], part[j], after[i] = self.made[least], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := rank((part[a], part[b]), NONE)) < NONE:
+                if a >= 0 and b >= 0 and (r := rank(part[a], part[b])) < NONE:
                     heapq.heappush(heap, (r, a, part[a], part[b]))
-        return [p for p in part if p]
+        return [p for p in part if p >= 0], [i for i, p in enumerate(part) if p >= 0]
 
     def pretokens(self, piece: str) -> list[str]:
         if OWN_TABLES.search(piece):
@@ -115,38 +145,48 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return [piece] if piece.isalpha() else WORDS.findall(piece)
 
-    def missing(self, piece: str) -> tuple[bytes, str]:
-        """The ids and the decoded text of a run without white space that isn't in the cache."""
-        tokens = [t for word in self.pretokens(piece) for t in self.parts(word)]
-        out = b"".join(self.ids[t].to_bytes(4, "little") for t in tokens), " ".join(tokens)
-        if len(piece) <= SHORT:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[piece] = out
+    def word(self, word: str) -> bytes:
+        """Ids of a pre-token."""
+        if (out := self.words.get(word)) is None:
+            out = b"".join([i.to_bytes(4, "little") for i in self.parts(word.encode())[0]])
+            if len(word) <= SHORT:
+                self.words.keep(word, out)
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """A whole text to its ids (little-endian, 32 bits each) and the text that they decode to."""
-        ids, words = [], []
-        cached, missing = self.cache.get, self.missing
+    def missing(self, piece: str) -> bytes:
+        """Ids of a run without white space that isn't in the cache in use."""
+        if (out := self.cache.before.get(piece)) is None:
+            words = self.pretokens(piece)
+            out = b"".join([i.to_bytes(4, "little") for i in self.parts(piece.encode())[0]]) if words == [piece] else b"".join(map(self.word, words))
+        return self.cache.keep(piece, out) if len(piece) <= SHORT else out
+
+    def encode(self, text: str | None) -> bytes:
+        """A whole text to its ids (little-endian, 32 bits each)."""
+        ids, cached, missing = [], self.cache.now.get, self.missing
         for i, part in enumerate(self.split.split(text or "") if self.split else [text or ""]):
             if i % 2:
                 ids.append(self.special[part].to_bytes(4, "little"))
-                words.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
-            pieces = BREAKS.split(part) if re.search("[\x1c-\x1f]", part) else part.split()
-            for a, b in [cached(p) or missing(p) for p in pieces]:
-                if a:
-                    ids.append(a)
-                    words.append(b)
-        return b"".join(ids), " ".join(words)
+            pieces = BREAKS.split(part) if SEPARATORS.search(part) else part.split()
+            ids += [cached(p) or missing(p) for p in pieces if p]
+        return b"".join(ids)
+
+    def decode(self, ids: list[bytes]) -> pa.Array:
+        """The texts of some documents' ids: this vocabulary has no decoder, so the tokens' strings are joined by spaces."""
+        flat, ends = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+        if len(flat) and int(flat.max()) >= len(self.strings):
+            raise ValueError(f"no token {int(flat.max())}")
+        words = self.strings.take(pa.array(flat))
+        if words.null_count:
+            raise ValueError("ids without a token")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ")
 
-    def decode(self, ids: bytes) -> str:
-        """Ids to text: this vocabulary has no decoder, so the tokens' strings are joined by spaces."""
-        return " ".join(self.text_of[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+
+#: Separators that Python's split() takes for white space and the vocabulary doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
@@ -154,13 +194,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _slices(texts: pa.Array, path: str) -> Iterator[list[bytes]]:
+    """The ids of texts, in lists for about SLICE characters."""
+    out, size, own = [], 0, codec(path)
+    for t in texts:
+        t = t.as_py()
+        out.append(own.encode(t))
+        size += len(t or "")
+        if size > SLICE:
+            yield out
+            out, size = [], 0
+    yield out
+
+
 def encoded(text: Column, path: str) -> Column:
-    """A struct of token_ids (binary, little-endian 32 bits), n_tokens and decoded."""
+    """A struct of token_ids (binary, little-endian 32 bits), n_tokens and decoded (from those ids)."""
 
     @F.arrow_udf(IDS)
-    def run(texts: pa.Array) -> pa.Array:
-        out = [codec(path).encode(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([len(a) // 4 for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.string())], ["token_ids", "n_tokens", "decoded"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for ids in _slices(texts, path):
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), codec(path).decode(ids)], IDS.names)
 
     return run(text)
 
@@ -170,19 +224,21 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def run(rows: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else codec(path).decode(x) for x in rows.to_pylist()], pa.string())
+        return pc.if_else(rows.is_valid(), codec(path).decode([x or b"" for x in rows.to_pylist()]), None)
 
     return run(ids)
 
 
 def digests(text: Column, path: str) -> Column:
     """What encoded() gives, as counts and hashes, so that the ids needn't leave the worker."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     @F.arrow_udf(DIGEST)
-    def run(texts: pa.Array) -> pa.Array:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        rows = [(len(a) // 4, sha(a), sha(b.encode())) for a, b in (codec(path).encode(t.as_py()) for t in texts)]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], DIGEST.names)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for ids in _slices(texts, path):
+                plain = codec(path).decode(ids).cast(pa.binary())
+                yield pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.as_buffer()) for x in plain], pa.string())], DIGEST.names)
 
     return run(text)
 
