@@ -5,12 +5,13 @@ Ids are dictionary-encoded and bit-packed (delta encoding takes over where a dic
 sizes, and pages carry an index, so readers of some documents or of the metadata alone skip the rest. A file's rows count
 their ids from 0 (``at``); a table of one row a file has the ids before it, so no prefix sum runs over all documents in one task.
 
-Edge cases: null and empty texts have the end id alone; null ids come first; rows of one doc_id are in order of text; an empty table has no rows.
+Edge cases: null and empty texts have the end id alone; null ids come first; rows of one doc_id are in
+order of a hash of the text, so that an id with very many rows is cut into several files; an empty table has no rows; extra columns stay out.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,89 +24,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillstone.llm.bpe import byte_symbols
+from quillstone.llm.bpe import byte_symbols, slices
 from quillstone.llm.common import parallelism, shared_dir
 
 STORE = "file int, doc_id long, at long, n_tokens long, token_ids array<int>"
 #: Row groups of 16 MB, pages of 64 kB and at most 512 rows, format version 2.
 LAYOUT = {"parquet.block.size": 16 << 20, "parquet.page.size": 64 << 10, "parquet.page.row.count.limit": 512, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
-#: Entries of a worker's cache of pieces: this many in use, and as many of the generation before.
-CACHE_WORDS = 400_000
-#: Where it isn't found, a pre-token ends before each blank, comma and point and on both sides of each line end: blanks are single blanks or line ends
-#: between visible characters, and commas and points stand between a letter or digit and one of these or a blank.
-BOUND = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))|[\t\r\v\f\x01\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PAIRS = ("  ", " \n", "\n ", "\n\n", "<|")
-#: Texts with these take the library's way as a whole: runs of blanks, special strings, controls that libraries class unlike.
-UNEVEN = re.compile(r" (?:\s|$)|<\||[\x1c-\x1f]")
+#: The split pattern of byte-level vocabularies: fixed value.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
-    """The library's encoding of a byte-level vocabulary, by pieces. Before a single blank and a visible character a pre-token always ends,
-    so the pieces between blanks are encoded once and cached."""
+    """Ids of a byte-level vocabulary as the tokenizers library gives them. The same merges run in tiktoken, which takes half the time; where it
+    gives up (runs of millions of blanks), and for vocabularies whose ids don't follow the order of their merges, the library itself encodes."""
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        tokens = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        made = [vocab[a + b] for a, b in spec["model"]["merges"]]
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.symbols = dict(enumerate(byte_symbols()))
-        self.cache: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def keep(self, piece: str, ids: bytes) -> bytes:
-        """Caches a short piece. A full cache becomes the generation before, from which pieces that come again are taken back."""
-        if len(piece) <= 48:
-            if len(self.cache) >= CACHE_WORDS:
-                self.before = dict(self.cache)
-                self.cache.clear()  # in place, as encode() holds its lookup
-            self.cache[piece] = ids
-        return ids
-
-    def word(self, piece: str) -> bytes:
-        """Ids of a pre-token."""
-        if (out := self.cache.get(piece)) is not None:
-            return out
-        if (out := self.before.get(piece)) is None:
-            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
-        return self.keep(piece, out)
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a run with at most one leading blank and no other."""
-        if not piece or (out := self.cache.get(piece)) is not None:
-            return out if piece else b""
-        if (out := self.before.get(piece)) is not None:
-            return self.keep(piece, out)
-        if piece[-1:] in (".", ",") and "A" <= piece[-2:-1] < "\u0530" and piece[-2].isalpha():  # between a letter and a sign a pre-token ends
-            return self.piece(piece[:-1]) + self.word(piece[-1])
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and (body.isascii() or max(body) < "\u0530"):  # letters alike in all tables
-            return self.word(piece)
-        if "\n" in body and UNEVEN_LINES.search(body) is None:
-            first, *rest = piece.split("\n")
-            return b"".join([self.piece(first)] + [self.word("\n") + self.piece(r) for r in rest])
-        if len(piece) > 48:
-            return self.whole(piece)
-        return self.keep(piece, self.whole(piece))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, little-endian, 32 bits each."""
-        if not text:
-            return b""
-        cached, piece = self.cache.get, self.piece
-        if not any(p in text for p in PAIRS) and text[0] != "\n" and text[-1] not in " \n" and BOUND.search(text) is None:
-            parts = text.replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.").replace("\n", "\x01\n\x01").split("\x01")
-            return b"".join([cached(p) or piece(p) for p in parts])
-        if UNEVEN.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return piece(first) + b"".join([cached(p) or piece(p) for p in map(" ".__add__, rest)])
-
-
-#: Line ends that aren't single ones between visible characters, and other white space.
-UNEVEN_LINES = re.compile(r"^\n|\n$|\n\s|[^\S\n]")
+        self.fast = Encoding(path, pat_str=WORDS, mergeable_ranks=tokens, special_tokens=special) if made == sorted({*made}) else None
+        #: Bytes of text that a token stands for.
+        self.size_of = np.zeros(max([*vocab.values(), *special.values()]) + 1, dtype=np.int64)
+        for token, i in [*tokens.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.size_of[i] = len(token)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text, 32 bits each."""
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text or "", allowed_special="all")
+            except ValueError:
+                pass
+        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -117,17 +74,19 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int, files
     """Writes the ids of docs (doc_id, text), in order of doc_id, to path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, file, end, enc = 0, TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes(), encoder(vocabulary)
+        at, file, enc, end = 0, TaskContext.get().partitionId(), encoder(vocabulary), np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [enc.encode(t) + end for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), file, np.int32)), part.column("doc_id"), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), lists], names=["file", "doc_id", "at", "n_tokens", "token_ids"])
-                at += int(ends[-1])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files or parallelism(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+            row = 0
+            for texts in slices(batch.column("text")):
+                ids = [x for t in texts for x in (enc.encode(t), end)]
+                ends = np.cumsum([0, *(len(x) + 1 for x in ids[::2])])
+                ids = np.concatenate(ids)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), file, np.int32)), batch.column("doc_id").slice(row, len(texts)), pa.array(at + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), lists], names=["file", "doc_id", "at", "n_tokens", "token_ids"])
+                at, row = at + int(ends[-1]), row + len(texts)
+
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash parts rows of one doc_id
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files or parallelism(docs.sparkSession), *order).sortWithinPartitions(*order)
     rows.mapInArrow(run, STORE).write.options(**LAYOUT).parquet(path)
 
 
