@@ -2,11 +2,11 @@
 
 Base rules look at a text's number of words and at words in repeated 8-word windows. The verdict compares two histograms of a text with
 those of its language: character classes, and the language's common words (with all others as one bin). References are the mean histograms
-over all documents of the language with at least ``min_words`` words. The measure is the Jensen-Shannon distance (base 2, 0 to 1). Guards: a histogram is
+over all documents of the language that pass the base rules and have at least ``min_words`` words. The measure is the Jensen-Shannon distance (base 2, 0 to 1). Guards: a histogram is
 judged only from ``min_words`` words on, word histograms only in languages with a list here and from ``min_common`` common words per language in the reference on.
 
 Edge cases: null, empty and blank texts have no words and fail the base rules; null and unknown languages share one reference of character classes
-and none of words; an empty table gives no rows; other columns pass through ``keep_quality`` whatever their names (names that end in two underscores are the operator's).
+and none of words; an empty table gives no rows; other columns pass through ``keep_quality`` whatever their names.
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ from quillstone.llm.common import BLANKS, shared_table
 
 #: Common words by language: fixed values.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "with", "as", "be", "by", "this", "are", "from", "at"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
 }
+#: What is stripped from a word before it is looked for among the common ones.
+SIGNS = ".,;:!?\"'()[]{}*#$%&|<>«»„“”…-"
 OTHER = "other"
 #: Character classes by pattern: capitals, digits, punctuation of prose, symbols. Beside them: blanks, bytes beyond one a character, and the rest.
 CLASSES = [r"\p{Lu}", "[0-9]", "[.,;:!?'\"()-]", "[#*$%&|<>]"]
 
 
+BASE_FAILED = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -39,7 +44,8 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def _place_in(words: list[str]):
-    return lambda w: F.array_position(F.array(*map(F.lit, words)), w)
+    """Of a word, in lower case and without signs around it, among words; 0 for others."""
+    return lambda w: F.array_position(F.array(*map(F.lit, words)), F.btrim(F.lower(w), F.lit(SIGNS)))
 
 
 def _equal(k: int):
@@ -68,11 +74,13 @@ def _histograms(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_symbols", F.col("class3__").cast("long")).drop("chars__", "found__", "counts__", *(f"class{i}__" for i in range(len(CLASSES))))
 
 
-def references(histograms: DataFrame, min_words: int, min_common: int) -> DataFrame:
-    """lang__, class_reference__, word_reference__ (null under min_common common words): a row for each language listed and one for all others."""
+def references(figures: DataFrame, min_words: int, min_common: int) -> DataFrame:
+    """lang__, class_reference__, word_reference__ (null under min_common common words): a row for each language listed and one for all others.
+    Only documents that pass the base rules count, so that repeated junk doesn't shape them."""
     mean = lambda c, n: F.array(*(F.avg(F.col(c)[i]) for i in range(n)))
     words = mean("common__", len(COMMON["en"]) + 1)
-    return histograms.filter(F.col("n_words") >= min_words).groupBy("lang__").agg(mean("classes__", len(CLASSES) + 3).alias("class_reference__"), F.when(F.sum("known__") >= min_common, words).alias("word_reference__"))
+    sound = figures.filter((F.col("n_words") >= min_words) & ~BASE_FAILED)
+    return sound.groupBy("lang__").agg(mean("classes__", len(CLASSES) + 3).alias("class_reference__"), F.when(F.sum("known__") >= min_common, words).alias("word_reference__"))
 
 
 def _repeats(df: DataFrame) -> DataFrame:
@@ -90,12 +98,12 @@ def _repeats(df: DataFrame) -> DataFrame:
     return df.drop("lines__", "hashes__", "two__", "four__", "eight__", "windows__", "sorted__", "places__")
 
 
-def _judged(df: DataFrame, refs: DataFrame, min_words: int = 50, max_class: float = 0.3, max_word: float = 0.36, both: tuple[float, float] = (0.145, 0.25)) -> DataFrame:
+def _judged(df: DataFrame, refs: DataFrame, min_words: int = 50, max_class: float = 0.3, max_word: float = 0.36, both: tuple[float, float] = (0.14, 0.33)) -> DataFrame:
     """Adds base_failed, class_distance, word_distance, kept. A text is far from its language if a distance passes its limit, or each its lower limit in ``both``."""
     df = df.join(F.broadcast(refs), "lang__", "left")  # at most five rows
     long = F.col("n_words") >= min_words
     df = df.withColumns({"class_distance": F.when(long, js_distance(F.col("classes__"), F.col("class_reference__"))), "word_distance": F.when(long, js_distance(F.col("common__"), F.col("word_reference__")))})
-    df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    df = df.withColumn("base_failed", BASE_FAILED)
     by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
     far = (by_class > max_class) | (by_word > max_word) | (by_class > both[0]) & (by_word > both[1])
     return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~far))
@@ -105,16 +113,20 @@ FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 VERDICT = ["base_failed", "kept", "class_distance", "word_distance"]
 
 
+def _figures(docs: DataFrame, *carried: Column | str) -> DataFrame:
+    """carried, FIGURES and the histograms of every document, in the shared folder, so that texts are worked on once."""
+    plain = docs.select(*carried, "text", "lang")
+    names = [c for c in plain.columns if c not in ("text", "lang")]
+    return shared_table(_repeats(_histograms(plain)).select(*names, "lang__", *FIGURES, "classes__", "common__", "known__"))
+
+
 def quality_rows(docs: DataFrame, min_words: int = 50, min_common: int = 50, **limits: float) -> DataFrame:
-    """doc_id, FIGURES and VERDICT of every document. Texts are read once; their figures and histograms go to the shared folder."""
-    rows = shared_table(_repeats(_histograms(docs.select("doc_id", "text", "lang"))).select("doc_id", "lang__", *FIGURES, "classes__", "common__", "known__"))
+    """doc_id, FIGURES and VERDICT of every document."""
+    rows = _figures(docs, "doc_id")
     return _judged(rows, references(rows, min_words, min_common), min_words, **limits).select("doc_id", *FIGURES, *VERDICT)
 
 
 def keep_quality(docs: DataFrame, min_words: int = 50, min_common: int = 50, **limits: float) -> DataFrame:
-    """The documents that are kept, with their own columns. Texts are read twice (references, verdicts) and not written."""
-    own = [*FIGURES, *VERDICT]
-    held = docs.withColumnsRenamed({c: f"{c}__own" for c in own if c in docs.columns})
-    refs = references(_histograms(docs.select("text", "lang")), min_words, min_common)
-    kept = _judged(_repeats(_histograms(held)), refs, min_words, **limits).filter("kept")
-    return kept.select(*(F.col(f"{c}__own").alias(c) if c in own else F.col(c) for c in docs.columns))
+    """The documents that are kept, with their own columns."""
+    rows = _figures(docs, F.struct(*docs.columns).alias("own__"))
+    return _judged(rows, references(rows, min_words, min_common), min_words, **limits).filter("kept").select("own__.*")
