@@ -1,12 +1,13 @@
 """Personal data by rules and a character-level bidirectional LSTM with CRF transitions (operator 7).
 
 Rules find mail addresses, IP addresses, cards and phone numbers. A small tagger, trained in numpy from labelled spans, adds spans that the rules' forms
-miss. Its training set is a bounded sample (``TRAIN_SNIPPETS`` snippets with the least hashes, over all documents) of texts around the rules' spans, with the spans as
-labels, and copies of them with the spans rewritten (no country code, spaced or dotted signs). Every span that a kind's plain conditions accept holds a digit, an @,
-or one of the words for it ("(at)", " at ") between a local part and a domain with a dot, so windows are laid around those signs, over the whole address;
+miss. Its training set is a bounded sample: for each kind, and for texts without any, the ``PER_KIND`` snippets with the least hashes over all documents, with the rules'
+spans as labels (spans of over ``LONGEST`` characters aren't learnt from), and ``COPIES`` copies of each with the spans in other forms (``FORMS``) and other digits. Every span that
+a kind's plain conditions accept holds a digit, an @,
+or one of the words for it ("(at)", "[at]", " at ") between a local part and a domain with a dot, so windows are laid around those signs, over the whole address;
 a text without them has no windows. Windows of ``WINDOW`` characters overlap by half. Each is decoded by Viterbi; then each
-character takes the tag from the window in whose middle half it stands, so tags form one sequence over the text, from which spans are read. A span is added if its
-mean probability is ``MIN_SCORE`` or more, it meets no rule's span, and its kind's plain conditions hold (digits, checksum, parts).
+character takes the tag from the window in whose middle half it stands, so tags form one sequence over the text, from which spans are read. A span is added if the mean of
+its tags' marginal probabilities (forward-backward over the CRF) is ``MIN_SCORE`` or more, it meets no rule's span, and its kind's plain conditions hold (digits, checksum, parts).
 
 Edge cases: null and empty texts have no spans; a corpus without labelled spans trains nothing and adds none; texts of any length are searched whole, in linear time; repeated rows
 get equal results; an empty table gives no rows; extra columns stay out.
@@ -24,18 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-SIGN = r"[0-9@]|(?<=[A-Za-z0-9._%+-])(?:\(at\)| at )(?=[A-Za-z0-9])"  # in Java's syntax as well
+SIGN = r"[0-9@]|(?<=[A-Za-z0-9._%+-])(?:\(at\)|\[at\]| at )(?=[A-Za-z0-9])"  # in Java's syntax as well
 SIGNS = re.compile(SIGN)
-HOST = re.compile(r"(?: ?@ ?|\(at\)| at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+AT = r"(?: ?@ ?|\(at\)|\[at\]| at )"
+HOST = re.compile(AT + r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile("[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRAIN_SNIPPETS, WINDOW, EMBED, HIDDEN, STEPS, BATCH, MIN_SCORE = 512, 64, 8, 16, 120, 48, 0.5
+PER_KIND, COPIES, LONGEST = 128, 3, 200
+WINDOW, EMBED, HIDDEN, STEPS, BATCH, MIN_SCORE = 64, 12, 24, 400, 48, 0.6
+#: What stands between the parts of a span in other forms, by kind; phones have other beginnings.
+FORMS = [(" @ ", "(at)", " at ", "[at]"), ("[.]", " . ", "-"), (".", "/", "  "), ("", "0", "00", "(0)")]
 FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -53,10 +59,10 @@ def plausible(kind: int, text: str) -> bool:
     """What every span of the kind meets, of the rules or not."""
     n = digits(text)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?: ?@ ?|\(at\)| at )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+" + AT + r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text))
     if kind == 1:
-        parts = re.findall("[0-9]+", text)
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        parts = re.fullmatch(r"([0-9]+)(\.|\[\.\]| \. |-)([0-9]+)\2([0-9]+)\2([0-9]+)", text)
+        return bool(parts) and all(len(p.lstrip("0")) <= 3 and int(p or "0") <= 255 for p in parts.group(1, 3, 4, 5))
     return 12 <= len(n) <= 19 and luhn(n) if kind == 2 else 9 <= len(n) <= 15
 
 
@@ -139,18 +145,22 @@ class Tagger:
         h = np.concatenate([f, b[::-1]], axis=2)
         return h @ self.p["O"] + self.p["o"], (x, kf, kb, h)
 
-    def step(self, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
-        """The gradient of the mean negative log-likelihood."""
-        u, (x, kf, kb, h) = self.emit(ids)
-        tags, n, trans, L = tags.T, len(ids), self.p["T"], len(u)
+    def sums(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward-backward: log sums over the paths up to each tag (time, batch, tag), after it, and over all (batch)."""
         lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        alpha, beta = np.empty_like(u), np.zeros_like(u)
+        alpha, beta, trans = np.empty_like(u), np.zeros_like(u), self.p["T"]
         alpha[0] = u[0]
-        for t in range(1, L):
+        for t in range(1, len(u)):
             alpha[t] = u[t] + lse(alpha[t - 1][:, :, None] + trans, 1)
-        for t in reversed(range(L - 1)):
+        for t in reversed(range(len(u) - 1)):
             beta[t] = lse(trans + (u[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+        return alpha, beta, lse(alpha[-1], 1)
+
+    def step(self, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of the mean negative log-likelihood."""
+        u, (x, kf, kb, h) = self.emit(ids)
+        tags, n, trans = tags.T, len(ids), self.p["T"]
+        alpha, beta, z = self.sums(u)
         du = np.exp(alpha + beta - z[:, None])
         pair = alpha[:-1, :, :, None] + trans + (u[1:] + beta[1:])[:, :, None, :] - z[:, None, None]
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -172,11 +182,11 @@ class Tagger:
             for k, g in grad.items():
                 g = g * min(1.0, 5 / norm)
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= 0.02 * m[k] / (1 - 0.9**s) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-8)
+                self.p[k] -= 0.02 * min(1.0, 1.5 - 1.4 * s / steps) * m[k] / (1 - 0.9**s) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-8)
         return self
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags and their probabilities by character, both (batch, time)."""
+        """Viterbi tags and their marginal probabilities by character, both (batch, time)."""
         u, _ = self.emit(ids)
         best, back = u[0], np.empty(u.shape, dtype=np.int64)
         for t in range(1, len(u)):
@@ -187,8 +197,8 @@ class Tagger:
         tags[-1] = best.argmax(1)
         for t in reversed(range(1, len(u))):
             tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None], 1)[:, 0]
-        e = np.exp(u - u.max(2, keepdims=True))
-        return tags.T, np.take_along_axis(e / e.sum(2, keepdims=True), tags[:, :, None], 2)[:, :, 0].T
+        alpha, beta, z = self.sums(u)
+        return tags.T, np.take_along_axis(np.exp(alpha + beta - z[:, None]), tags[:, :, None], 2)[:, :, 0].T
 
 
 def places(text: str) -> Iterator[tuple[int, int]]:
@@ -257,43 +267,68 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]],
     return out
 
 
+def in_form(kind: int, span: str, form: str) -> str:
+    """A span of the rules in another form."""
+    if kind == 0:
+        return span.replace("@", form)
+    if kind == 1:
+        return span.replace(".", form)
+    if kind == 2:
+        return re.sub(".{4}(?=.)", lambda m: m[0] + form, digits(span))
+    return form + re.sub(r"^\+[0-9]{1,3}[ -]?(?=[(0-9])", "", span).lstrip("0" if form else "")
+
+
 def rewritten(text: str, spans: list[Span], way: int) -> tuple[str, list[Span]]:
     """A copy with the spans in forms that the rules miss."""
     out, moved, at = "", [], 0
     for a, kind, b in spans:
         if a < at:
             continue
-        span = text[a:b]
-        new = (re.sub("@", (" @ ", "(at)", " at ")[way % 3], span), span, re.sub("[ -]?(?=(?:....)+$)", ".", digits(span)), re.sub(r"^\+[0-9]+[ -]?(?=[(0-9])", "", span))[kind]
+        new = in_form(kind, text[a:b], FORMS[kind][way % len(FORMS[kind])])
         out += text[at:a]
         moved.append((len(out), kind, len(out) + len(new)))
         out, at = out + new, b
     return out + text[at:], moved
 
 
-def labelled(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> list[tuple[str, list[Span]]]:
-    """At most so many snippets with their rules' spans, those with the least hashes of all."""
+def other_digits(text: str, spans: list[Span], seed: np.random.Generator) -> str:
+    """The text with random digits in the spans; an IP address keeps parts of up to 255."""
+    for a, kind, b in spans:
+        if kind == 1:
+            new = re.sub("[0-9]+", lambda m: str(seed.integers(10 ** (len(m[0]) - 1) if len(m[0]) > 1 else 0, min(256, 10 ** min(3, len(m[0]))))).rjust(len(m[0]), "0"), text[a:b])
+        else:
+            new = re.sub("[0-9]", lambda m: str(seed.integers(10)), text[a:b])
+        text = text[:a] + new + text[b:]
+    return text
+
+
+def labelled(docs: DataFrame, per_kind: int = PER_KIND) -> list[tuple[str, list[Span]]]:
+    """Snippets with their rules' spans: of each kind, and of texts without, at most so many, those with the least hashes of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
-                around = [(a, b) for a, _, b in spans] or [m.span() for m in [SIGNS.search(text)] if m]
-                out += [text[max(0, a - 40) : b + 40] for a, b in around if b - a <= 80]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["snippet"])
+                around = spans or [(m.start(), -1, m.end()) for m in [SIGNS.search(text)] if m]
+                out += [(k, text[max(0, a - 40) : b + 40]) for a, k, b in around if b - a <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([t for _, t in out], pa.string())], names=["kind", "snippet"])
 
-    found = docs.select("text").filter(F.col("text").rlike(SIGN)).mapInArrow(run, "snippet string").distinct()
-    rows = found.orderBy(F.xxhash64("snippet"), "snippet").limit(snippets).collect()
+    found = docs.select("text").filter(F.col("text").rlike(SIGN)).mapInArrow(run, "kind int, snippet string").distinct()
+    least = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("snippet"), "snippet"))  # cut to per_kind rows before they are exchanged
+    rows = found.withColumn("nth", least).filter(F.col("nth") <= per_kind).orderBy("kind", "nth").collect()
     return [(r.snippet, base_spans(r.snippet)) for r in rows]
 
 
 def train(docs: DataFrame) -> Tagger | None:
     """The tagger of a corpus; None if it has no labelled spans."""
-    known = labelled(docs)
+    known, seed = labelled(docs), np.random.default_rng(11)
     if not any(s for _, s in known):
         return None
-    known += [rewritten(text, spans, i) for i, (text, spans) in enumerate(known) if spans]
+    for i, (text, spans) in enumerate([k for k in known if k[1]]):
+        for way in range(COPIES):
+            plain = other_digits(text, spans, seed)
+            known.append(rewritten(plain, spans, i + way))
     ids, tags = [], []
     for text, spans in known:
         starts = [s for s, _, _ in window_starts(text)]
