@@ -1,11 +1,14 @@
 """SimHash near-duplicates by a grid over segment popcounts (operator 8).
 
-A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such vectors is a lower bound of the
-Hamming distance of the fingerprints, so all pairs within ``max_bits`` lie within ``max_bits`` of each other on the grid. The
-range join on the grid is dealt as equal joins: the 32 axes are put into ``g`` groups; vectors at Manhattan distance d <= max_bits differ in at most
-max_bits groups, so they agree on some g - max_bits of them. Each fingerprint is sent to one cell for each choice of groups; g grows with the
-number of distinct fingerprints, so that the rows of a cell stay few. Members of one cell are compared exactly in the cell's task, and a
-spanning forest of their links comes out (at most a link a row), never all pairs. Cells of over ``cell_rows`` fingerprints are cut into parts, and each pair of
+A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments: a point of a grid with 32 axes. The Manhattan distance of two points is a lower
+bound of the Hamming distance of their fingerprints. Points are written in unary (0, 1, 11 a segment), so the Manhattan distance is the number of
+bits in which two points differ.
+
+The range join on the grid: the axes are dealt to ``max_bits // 2 + 1`` parts. Of two points within ``max_bits``, at least one part's distance is 1 or 0, so on
+that part they share a cell or lie in neighbouring ones. A fingerprint lives in its own cell of each part, and visits the cells one step up on each axis (26 rows on average
+with two parts, whatever the number of fingerprints). In a cell, those who live there meet each other and the visitors: pairs within ``max_bits`` by
+Manhattan distance are candidates, and their Hamming distance decides. A spanning
+forest of the links comes out (at most a link a row), never all pairs. Cells of over ``cell_rows`` rows are cut into parts, and each pair of
 parts is a task of its own. Components are found by contracting stars, checkpointed to the shared folder.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any others; equal fingerprints are one node,
@@ -15,8 +18,6 @@ however many rows share it; null doc_ids don't count for a component's least id;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,7 @@ from pyspark.sql.window import Window
 from quillstone.llm import jaccard
 from quillstone.llm.common import ASCII_LOWER, parallelism, row_key, shared_table
 
-#: The chance that two random two-bit segments have equal bit counts.
-SAME = 0.375
+LOW = int("01" * 32, 2)  # the lower bit of each segment
 LINKS = "a long, b long"
 
 
@@ -63,19 +63,41 @@ def fingerprints(text: Column, width: int = 3) -> Column:
     return run(text)
 
 
-def group_masks(groups: int, max_bits: int) -> list[int]:
-    """The bits of the segments that are kept, for each choice of groups - max_bits groups, as signed longs."""
-    axes = [[s for s in range(32) if s * groups // 32 == g] for g in range(groups)]
-    masks = [sum(3 << 2 * s for g in kept for s in axes[g]) for kept in combinations(range(groups), groups - max_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def points(bits: Column) -> Column:
+    """The bit counts of the 32 two-bit segments in unary."""
+    low, high = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)), bits.bitwiseAND(F.shiftrightunsigned(bits, 1))
+    return low.bitwiseAND(F.lit(LOW)).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(LOW)), 1))
 
 
-def groups_for(n: int, max_bits: int, rows: float = 16.0) -> int:
-    """The fewest groups with which a random fingerprint meets at most so many others in all its cells."""
-    for g in range(max_bits + 1, 13):
-        if n * comb(g, max_bits) * SAME ** (32 * (g - max_bits) / g) <= rows:
-            return g
-    return 12
+def points_of(bits: np.ndarray) -> np.ndarray:
+    low, one = np.uint64(LOW), np.uint64(1)
+    return (bits | bits >> one) & low | (bits & bits >> one & low) << one
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def cells(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(t, cell, visits, bits): nodes (distinct bits) in the cells of each part t of the axes: their own, and as visitors those one step up on an axis."""
+    parts, out = max_bits // 2 + 1, []
+    for t in range(parts):
+        axes = [a for a in range(32) if a * parts // 32 == t]
+        own = F.col("point").bitwiseAND(_signed(sum(3 << 2 * a for a in axes)))
+        out.append(F.struct(F.lit(t).alias("t"), own.alias("cell"), F.lit(0).alias("visits")))
+        for a in axes if max_bits else ():
+            count = own.bitwiseAND(_signed(3 << 2 * a))
+            up = F.when(count == 0, own.bitwiseOR(_signed(1 << 2 * a))).when(count == _signed(1 << 2 * a), own.bitwiseOR(_signed(2 << 2 * a)))
+            out.append(F.when(up.isNotNull(), F.struct(F.lit(t).alias("t"), up.alias("cell"), F.lit(1).alias("visits"))))
+    dealt = nodes.select("bits", points(F.col("bits")).alias("point")).select("bits", F.explode(F.array_compact(F.array(*out))).alias("c"))
+    return dealt.select("c.*", "bits")
+
+
+def near(some: np.ndarray, one: int, max_bits: int) -> np.ndarray:
+    """Which of some are near: by Manhattan distance first, then exactly."""
+    close = np.bitwise_count(points_of(some) ^ points_of(np.array([one], dtype=np.uint64))) <= max_bits
+    close[close] = np.bitwise_count(some[close] ^ np.uint64(one)) <= max_bits
+    return close
 
 
 def forest(own: np.ndarray, other: np.ndarray | None, max_bits: int) -> Iterator[tuple[int, int]]:
@@ -86,29 +108,32 @@ def forest(own: np.ndarray, other: np.ndarray | None, max_bits: int) -> Iterator
             edge, left = left[:1], left[1:]
             while len(edge) and len(left):
                 seed, edge = edge[0], edge[1:]
-                near = np.bitwise_count(left ^ seed) <= max_bits
-                yield from ((int(seed), int(x)) for x in left[near])
-                edge, left = np.r_[edge, left[near]], left[~near]
+                close = near(left, seed, max_bits)
+                yield from ((int(seed), int(x)) for x in left[close])
+                edge, left = np.r_[edge, left[close]], left[~close]
         return
-    for x in own:  # a part is linked within itself elsewhere, so one link to those near each other is enough
-        near = other[np.bitwise_count(other ^ x) <= max_bits]
-        while len(near):
-            yield int(x), int(near[0])
-            near = near[np.bitwise_count(near ^ near[0]) > max_bits]
+    for x in own:  # one link to those near each other is enough, as others link them
+        found = other[near(other, x, max_bits)]
+        while len(found):
+            yield int(x), int(found[0])
+            found = found[~near(found, found[0], max_bits)]
 
 
 def cell_links(max_bits: int):
-    """Streams rows (cell, part, block, bits) in that order; a run of equal (cell, part) is a task's unit. Block 1 rows are compared with block 0
-    rows; a run of block 0 rows alone is compared within itself."""
-
-    def links(bits: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
-        if block[-1]:
-            yield from forest(bits[block == 0], bits[block == 1], max_bits)
-        elif len(bits) > 8:
-            yield from forest(bits, None, max_bits)
-        else:
-            few = [int(x) for x in bits]
-            yield from ((a, b) for i, a in enumerate(few) for b in few[i + 1 :] if (a ^ b).bit_count() <= max_bits)
+    """Streams rows (t, cell, part, block, bits) in that order; a run of equal (t, cell, part) is a task's unit. Block 1 rows are compared with block 0
+    rows, and unless part is negative those are compared with each other."""
+
+    def links(part: int, bits: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
+        if len(bits) == 2:  # most units by far
+            a, b = (int(x) for x in bits)
+            if not block[0] and (a ^ b).bit_count() <= max_bits:  # no more than the Manhattan test would let through
+                yield a, b
+            return
+        lives, visits = bits[block == 0], bits[block == 1]
+        if part >= 0:
+            yield from forest(lives, None, max_bits)
+        if len(visits) and len(lives):
+            yield from forest(visits, lives, max_bits)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -126,9 +151,9 @@ def cell_links(max_bits: int):
 
     def units(rows: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.flatnonzero(ends - starts > 1)
-        block, bits, out = rows[3], rows[4].view(np.uint64), []
+        part, block, bits, out = rows[2], rows[3], rows[4].view(np.uint64), []
         for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-            out.extend(links(bits[a:b], block[a:b]))
+            out.extend(links(int(part[a]), bits[a:b], block[a:b]))
             if len(out) > 20_000:
                 yield table(out)
                 out = []
@@ -142,25 +167,22 @@ def cell_links(max_bits: int):
     return stream
 
 
-def near_links(nodes: DataFrame, n: int, max_bits: int, cell_rows: int = 4096) -> DataFrame:
+def near_links(nodes: DataFrame, max_bits: int, cell_rows: int = 4096) -> DataFrame:
     """Links (a, b) that join all of nodes (distinct bits) which are within max_bits of each other, directly or over others within max_bits."""
-    if max_bits == 0:
-        return nodes.select(F.col("bits").alias("a"), F.col("bits").alias("b")).limit(0)
-    low, up = int("01" * 32, 2), "shiftrightunsigned(bits, 1)"
-    counts = F.expr(f"((bits ^ {up}) & {low}L) | shiftleft(bits & {up} & {low}L, 1)")  # in each two bits, how many of them are set
-    masks = group_masks(groups_for(n, max_bits), max_bits)
-    cells = nodes.select("bits", counts.alias("counts")).select("bits", F.posexplode(F.array(*(F.col("counts").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "cell"))
-    sizes = cells.groupBy("t", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    large = sizes.filter(F.col("n") > cell_rows)
-    few = cells.join(sizes.filter(F.col("n") <= cell_rows).select("t", "cell"), ["t", "cell"], "left_semi").select("t", "cell", F.lit(0).alias("part"), F.lit(0).alias("block"), "bits")
-    # a large cell is cut into p parts by a hash; part i meets parts j > i, and itself, each pair in a task of its own
-    parts = F.ceil(F.col("n") / (cell_rows / 2)).cast("int")
-    cut = cells.join(large, ["t", "cell"]).withColumn("p", parts).withColumn("i", F.pmod(F.xxhash64("bits"), F.col("p")).cast("int"))
-    own = cut.select("t", "cell", "p", "i", "bits", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"))
-    met = own.select("t", "cell", (F.least("i", "j") * F.col("p") + F.greatest("i", "j")).alias("part"), (F.col("i") > F.col("j")).cast("int").alias("block"), "bits")
-    rows = few.unionByName(met)
+    rows = cells(nodes, max_bits)
+    sizes = rows.groupBy("t", "cell").agg(F.count("*").alias("n"), F.min("visits").alias("visits")).filter("n > 1 AND visits = 0").drop("visits")  # someone lives there
+    few = rows.join(sizes.filter(F.col("n") <= cell_rows).select("t", "cell"), ["t", "cell"], "left_semi").select("t", "cell", F.lit(0).alias("part"), F.col("visits").alias("block"), "bits")
+    # a large cell is cut into p parts by a hash: part i of those who live there meets itself, parts j > i, and all parts of the visitors, each pair in a task of its own
+    p = F.ceil(F.col("n") / (cell_rows / 2)).cast("int")
+    cut = rows.join(sizes.filter(F.col("n") > cell_rows), ["t", "cell"]).withColumn("p", p).withColumn("i", F.pmod(F.xxhash64("bits"), F.col("p")).cast("int"))
+    each = cut.select("t", "cell", "visits", "p", "i", "bits", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"))
+    low, high, p = F.least("i", "j"), F.greatest("i", "j"), F.col("p")
+    own = each.filter("visits = 0").select("t", "cell", F.when(low == high, low).otherwise(-1 - low * p - high).alias("part"), (F.col("i") > F.col("j")).cast("int").alias("block"), "bits")
+    first, second = F.when(F.col("visits") == 0, F.col("i")).otherwise(F.col("j")), F.when(F.col("visits") == 0, F.col("j")).otherwise(F.col("i"))
+    met = each.select("t", "cell", (-1 - p * p - first * p - second).alias("part"), F.col("visits").alias("block"), "bits")
     order = ["t", "cell", "part", "block", "bits"]
-    return rows.repartition(parallelism(nodes.sparkSession), "t", "cell", "part").sortWithinPartitions(*order).mapInArrow(cell_links(max_bits), LINKS)
+    units = few.unionByName(own).unionByName(met)
+    return units.repartition(parallelism(nodes.sparkSession), "t", "cell", "part").sortWithinPartitions(*order).mapInArrow(cell_links(max_bits), LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,7 +210,7 @@ def _labelled(docs: DataFrame, width: int, max_bits: int, similar_width: int | N
     marked = shared_table(docs.select("doc_id", *row_key("doc_id", "text"), fingerprints(F.col("text"), width).alias("bits"), *sketch))
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = shared_table(marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(head).alias("head")))
-    links = near_links(nodes.select("bits"), nodes.count(), max_bits)
+    links = near_links(nodes.select("bits"), max_bits)
     if similar_width is not None:
         links = links.unionByName(jaccard.similar_links(docs, marked, similar_width, similarity))
     found = components(links)
