@@ -4,12 +4,12 @@ Texts are normalised to words joined by single spaces; all windows (``width`` co
 go into one automaton, and each text runs through it once. Hits are found as places in the normalised text, turned into word
 numbers, and mapped to places in the original.
 
-The automaton's size is measured first: items are dealt, in order, into blocks of at most ``block_chars`` characters of windows, each a
-broadcast of bounded size. Benchmarks of one block (the usual case) are done in one scan; larger ones take a scan a block,
-whose hits are joined by document.
+The automaton's size is measured first: items are read a partition at a time and dealt, in order, into blocks of about ``block_chars`` characters of windows. Benchmarks
+of one block (the usual case) are done in one scan. Larger ones take a scan a block: the driver holds and broadcasts one block at a time, the
+documents that it hits go to the shared folder, and the hits of all blocks are joined by document.
 
 Edge cases: null and empty texts have no words and are clean; items without words have no windows; repeated items count once by
-item_id (null: the text "null"); rows equal in doc_id and text get equal results; empty tables give no rows or clean rows.
+item_id (null: the text "null"); rows equal in doc_id and text get equal results; other columns stay, whatever their names (a column named hits is replaced); empty tables give no rows or clean rows.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import row_key
+from quillstone.llm.common import row_key, shared_table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: ASCII letters to lower case, digits and all non-ASCII bytes stay, the rest separates words.
@@ -46,16 +47,14 @@ def windows(words: list[bytes], width: int) -> list[bytes]:
     return [b" %b " % b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def blocks(items: Iterable[tuple[str, str]], width: int, block_chars: int) -> Iterable[dict[bytes, tuple[int, list[str]]]]:
+def blocks(items: Iterable[tuple[str, str]], width: int, block_chars: int) -> Iterator[dict[bytes, tuple[int, dict[str, None]]]]:
     """Windows (with their number of words and their items) in blocks of bounded size."""
     out, size = {}, 0
     for item, text in items:
         words = normal(text.encode())
         for w in windows(words, width):
             size += len(w)
-            known = out.setdefault(w, (min(width, len(words)), []))[1]
-            if item not in known:
-                known.append(item)
+            out.setdefault(w, (min(width, len(words)), {}))[1][item] = None
         if size > block_chars:
             yield out
             out, size = {}, 0
@@ -115,13 +114,13 @@ def hit_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
 ASCII_KEEP = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> list[bytes]:
+def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[bytes]:
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").filter("text IS NOT NULL").toLocalIterator()  # a partition at a time
-    return [pickle.dumps(b) for b in blocks(((r.i, r.text) for r in rows), width, block_chars)]
+    return (pickle.dumps(b) for b in blocks(((r.i, r.text) for r in rows), width, block_chars))
 
 
-def _scanned(text: Column, sc: SparkContext, plain: bytes) -> Column:
-    block, name = sc.broadcast(plain), name_of(plain)
+def _scanned(text: Column, block: Broadcast) -> Column:
+    name = name_of(block.value)
 
     @F.arrow_udf(HITS)
     def run(texts: pa.Array) -> pa.Array:
@@ -136,29 +135,34 @@ def _scanned(text: Column, sc: SparkContext, plain: bytes) -> Column:
 def _joined(n: pa.Array, masks: pa.Array, items: pa.Array) -> pa.Array:
     joined = []
     for ms in masks.to_pylist():
-        ms = [np.frombuffer(m, dtype=np.uint8) for m in ms]
+        ms = [np.frombuffer(m, dtype=np.uint8) for m in ms or []]
         joined.append(np.bitwise_or.reduce(ms).tobytes() if ms else None)
-    return pa.StructArray.from_arrays([n, pa.array(joined, pa.binary()), pa.array([sorted({x for y in i for x in y}) for i in items.to_pylist()], pa.list_(pa.string()))], HITS.names)
+    return pa.StructArray.from_arrays([n, pa.array(joined, pa.binary()), pa.array([sorted({x for y in i or [] for x in y}) for i in items.to_pylist()], pa.list_(pa.string()))], HITS.names)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 2_000_000) -> DataFrame:
     """docs with a struct hits: n_words, hit_words (bits by word; null: none), item_ids. A column named hits is replaced."""
-    sc, found = docs.sparkSession.sparkContext, _blocks(benchmark, width, block_chars) or [pickle.dumps({})]
-    if len(found) == 1:
-        return docs.withColumn("hits", _scanned(F.col("text"), sc, found[0]))
-    keyed, parts = docs.select("*", *row_key("doc_id", "text")), None
-    for b in found:
-        part = keyed.select("k1", "k2", _scanned(F.col("text"), sc, b).alias("h"))
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("k1", "k2").agg(F.max("h.n_words").alias("n"), F.collect_set("h.hit_words").alias("m"), F.collect_set("h.item_ids").alias("i"))
-    return keyed.join(merged.select("k1", "k2", _joined("n", "m", "i").alias("hits")), ["k1", "k2"]).select(*docs.drop("hits").columns, "hits")
+    sc, found = docs.sparkSession.sparkContext, _blocks(benchmark, width, block_chars)
+    first, second = next(found, pickle.dumps({})), next(found, None)
+    if second is None:
+        return docs.withColumn("hits", _scanned(F.col("text"), sc.broadcast(first)))
+    keyed, parts = docs.select(F.struct("*").alias("row"), "text", *row_key("doc_id", "text")), []
+    for plain in chain([first, second], found):
+        block = sc.broadcast(plain)
+        hit = keyed.select("k1", "k2", _scanned(F.col("text"), block).alias("h")).filter("h.hit_words IS NOT NULL")
+        parts.append(shared_table(hit.dropDuplicates(["k1", "k2"])))
+        block.destroy()
+    hits = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.collect_list("h.hit_words").alias("m"), F.collect_list("h.item_ids").alias("i"))  # a row a block at most
+    nothing = sc.broadcast(pickle.dumps({}))  # counts the words of the others
+    own = _scanned(F.col("text"), nothing)["n_words"]
+    out = keyed.join(hits, ["k1", "k2"], "left").withColumn("hits", _joined(own, "m", "i"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "hits"), "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    held = docs.withColumnsRenamed({"hits": "hits__own"} if "hits" in docs.columns else {})
-    out = with_hits(held, benchmark, **options).filter("hits.hit_words IS NULL").drop("hits")
-    return out.withColumnsRenamed({"hits__own": "hits"})
+    held = docs.select(F.struct("*").alias("own"), "doc_id", "text")
+    return with_hits(held, benchmark, **options).filter("hits.hit_words IS NULL").select("own.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:

@@ -1,14 +1,14 @@
 """Line deduplication (operator 3): range-partitioned line hashes, streamed in order of document and position.
 
 Every line's key (stripped, ASCII letters lower-cased) is hashed to 128 bits. The hashes are range-partitioned by hash, then
-document, and sorted by hash, document, position. A task streams its sorted rows: a key's rows wait until ``min_docs`` documents have
+document, and sorted by hash, document (doc_id, null first, then a hash of doc_id and text), position. A task streams its sorted rows: a key's rows wait until ``min_docs`` documents have
 been seen or the key ends, so at most the rows of ``min_docs`` documents are held. A key with very many lines is cut by the
 ranges; the first and last key of each task may go on in another, so their rows wait for the sums over tasks of those keys,
 of which there are two for each task at most. What comes out is a compressed bitmap of kept lines
 for each document that loses any; texts meet it again only where it is applied.
 
 Edge cases: null and empty texts are one empty line, which never counts as repeated; documents that are equal in doc_id and text count
-one by one and share a bitmap; an empty table gives no rows; texts of any length are taken whole.
+one by one and share a bitmap, so where one of them holds a key's first line, all of them keep it; an empty table gives no rows; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ from pyspark.sql import types as T
 from quillstone.llm.common import ASCII_LOWER, BLANKS, parallelism, row_key, shared_table
 
 STRIP = BLANKS.encode()
-LINES = "h1 long, h2 long, k1 long, k2 long, pos int, opens boolean"
-SEEN = "h1 long, h2 long, k1 long, k2 long, pos int, n long, state int"
-SEEN_NAMES = [c.split()[0] for c in SEEN.split(", ")]
+PLACE = ["doc_id", "k1", "k2", "pos"]
+LINE = ["h1", "h2", *PLACE]
+SEEN_NAMES = [*LINE, "n", "state"]
 APPLIED = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 DIGEST = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (k1, k2, text) to a row for each line with a key; opens: the key's first line in its document."""
+    """Documents (doc_id, k1, k2, text) to a row for each line with a key; opens: the key's first line in its document."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -52,13 +52,13 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.add(h)
             h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
             rows = np.array(doc, dtype=np.int64)
-            keys = [part.column(k).to_numpy()[rows] for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), *map(pa.array, keys), pa.array(pos, pa.int32()), pa.array(opens, pa.bool_())], names=["h1", "h2", "k1", "k2", "pos", "opens"])
+            keys = [part.column(k).take(pa.array(rows)) for k in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), *keys, pa.array(pos, pa.int32()), pa.array(opens, pa.bool_())], names=[*LINE, "opens"])
 
 
 def stream_runs(min_docs: int, keep_first: bool):
     """Streams sorted line rows. Gives rows to drop (state 0), rows that wait for other tasks (1) and, for the task's first and last key, a
-    row with its documents and its first line (2). With keep_first a key's first line is not among the rows."""
+    row with its documents and its first line (2). With keep_first a key's first line (of all rows that share its document key) is not among the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = key = head = None
@@ -67,10 +67,10 @@ def stream_runs(min_docs: int, keep_first: bool):
         def rows(parts: list, state: int) -> Iterator[pa.RecordBatch]:
             for p in parts:
                 if n := p.num_rows:
-                    yield pa.RecordBatch.from_arrays([*p.columns[:5], pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, state, np.int32))], names=SEEN_NAMES)
+                    yield pa.RecordBatch.from_arrays([*p.columns[:6], pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, state, np.int32))], names=SEEN_NAMES)
 
         def summary() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*head.columns[:5], pa.array([docs], pa.int64()), pa.array([2], pa.int32())], names=SEEN_NAMES)
+            return pa.RecordBatch.from_arrays([*head.columns[:6], pa.array([docs], pa.int64()), pa.array([2], pa.int32())], names=SEEN_NAMES)
 
         def close(last: bool = False) -> Iterator[pa.RecordBatch]:
             if key is not None and (last or key == first):
@@ -80,7 +80,7 @@ def stream_runs(min_docs: int, keep_first: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2, opens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "opens"))
+            h1, h2, k1, k2, pos, opens = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "k1", "k2", "pos", "opens"))
             starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             sums, ends = np.add.reduceat(opens.astype(np.int64), starts), np.r_[starts[1:], batch.num_rows]
             for i in dict.fromkeys((0, len(starts) - 1)):
@@ -90,7 +90,9 @@ def stream_runs(min_docs: int, keep_first: bool):
                     yield from close()
                     key, head, docs, held = (h1[a], h2[a]), batch.slice(a, 1), 0, []
                     first = first or key
-                    part = part.slice(1) if keep_first else part
+                if keep_first:
+                    p1, p2, at = (head.column(c)[0].as_py() for c in ("k1", "k2", "pos"))
+                    part = part.filter(pa.array((k1[a : a + n] != p1) | (k2[a : a + n] != p2) | (pos[a : a + n] != at)))
                 docs += int(sums[i])
                 held.append(part)
                 if docs >= min_docs:
@@ -101,7 +103,8 @@ def stream_runs(min_docs: int, keep_first: bool):
                     often[[0, -1]] = False
                     mask = np.repeat(often, ends - starts)
                     if keep_first:
-                        mask[starts] = False
+                        to = np.repeat(starts, ends - starts)
+                        mask &= (k1 != k1[to]) | (k2 != k2[to]) | (pos != pos[to])
                     if mask.any():
                         yield from rows([batch.filter(pa.array(mask))], 0)
         yield from close(last=True)
@@ -110,12 +113,13 @@ def stream_runs(min_docs: int, keep_first: bool):
 
 
 def dropped_lines(docs: DataFrame, min_docs: int, keep_first: bool = False, partitions: int | None = None) -> DataFrame:
-    """A row (k1, k2, pos) for every line to drop. docs: k1, k2, text. keep_first: the first line of each key, by document key and position, stays."""
+    """A row (k1, k2, pos) for every line to drop. docs: doc_id, k1, k2, text. keep_first: the first line of each key, by document and position, stays."""
     spark = docs.sparkSession
-    lines = shared_table(docs.select("k1", "k2", "text").mapInArrow(line_rows, LINES))  # ranges are sampled from this, not from the texts
-    ranged = lines.repartitionByRange(partitions or parallelism(spark), "h1", "h2", "k1", "k2").sortWithinPartitions("h1", "h2", "k1", "k2", "pos")
-    seen = shared_table(ranged.mapInArrow(stream_runs(min_docs, keep_first), SEEN))
-    place = F.struct("k1", "k2", "pos")
+    line = f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, pos int"
+    lines = shared_table(docs.select("doc_id", "k1", "k2", "text").mapInArrow(line_rows, f"{line}, opens boolean"))  # ranges are sampled from this, not from the texts
+    ranged = lines.repartitionByRange(partitions or parallelism(spark), *LINE[:5]).sortWithinPartitions(*LINE)
+    seen = shared_table(ranged.mapInArrow(stream_runs(min_docs, keep_first), f"{line}, n long, state int"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), *PLACE)
     edges = seen.filter("state = 2").withColumn("place", place)
     often = F.broadcast(edges.groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("place").alias("least")).filter(F.col("docs") >= min_docs))  # two keys a task
     found = seen.filter("state = 0").select("k1", "k2", "pos").unionByName(seen.filter("state = 1").join(often, ["h1", "h2"]).select("k1", "k2", "pos"))
@@ -162,9 +166,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -
     def apply(text: pa.Array, keep: pa.Array) -> pa.Array:
         return pa.array([kept_lines(t.as_py(), k.as_py())[0] for t, k in zip(text, keep)], pa.string())
 
-    plain = docs.withColumnsRenamed({c: f"{c}__own" for c in ("k1", "k2", "keep") if c in docs.columns})
-    out = _with_bitmaps(plain, min_docs, keep_first).withColumn("text", apply("text", "keep"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"{c}__own").alias(c) if c in ("k1", "k2", "keep") else F.col(c) for c in docs.columns))
+    held = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    text = apply("text", "keep")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return _with_bitmaps(held, min_docs, keep_first).select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def line_counts(docs: DataFrame, min_docs: int = 10) -> DataFrame:

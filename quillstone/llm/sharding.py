@@ -9,7 +9,7 @@ hash. Their number is bounded by shards * replicas * chunks, whatever the input;
 rows. A key that holds a third of all rows is spread over all chunks of its arc.
 
 Edge cases: null keys and null texts (size 1, crc of nothing) are placed like any others; equal rows are told apart by their place in
-the input; an empty table gives no rows; other columns stay with ``assign`` and may not be named like its outputs (they are replaced).
+the input; an empty table gives no rows; other columns stay with ``assign``, whatever their names, but for columns named like its outputs, which are replaced.
 """
 
 from __future__ import annotations
@@ -62,8 +62,7 @@ def assign(rows: DataFrame, key: str, shards: int, replicas: int = 64, chunks: i
     def arc(h: pa.Array) -> pa.Array:
         return pa.array((np.searchsorted(points, h.to_numpy(zero_copy_only=False)) % len(points)).astype(np.int32))
 
-    plain = rows.drop("arc", "chunk", "place", "shard", "slot")
-    keyed = plain.withColumns({"place": F.xxhash64(F.lit(0), F.col(key)), "seen": F.monotonically_increasing_id()})
+    keyed = rows.select(F.struct("*").alias("row"), F.xxhash64(F.lit(0), F.col(key)).alias("place"), F.monotonically_increasing_id().alias("seen"))
     keyed = keyed.withColumns({"arc": arc("place"), "chunk": F.pmod(F.xxhash64("place", "seen"), F.lit(chunks)).cast("int")})
     keyed = shared_table(keyed)  # 'seen' must not change between the two uses
     counts = {(r.arc, r.chunk): r.n for r in keyed.groupBy("arc", "chunk").agg(F.count("*").alias("n")).collect()}  # at most shards * replicas * chunks
@@ -71,7 +70,8 @@ def assign(rows: DataFrame, key: str, shards: int, replicas: int = 64, chunks: i
     numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("arc", "chunk").orderBy("place", "seen")) - 1)
     near = (numbered.arc == places.arc) & (numbered.chunk == places.chunk) & (numbered.nth >= places["first"]) & (numbered.nth < places.past)
     placed = numbered.join(F.broadcast(places), near)  # as many rows as counts and at most one more for each that a shard's limit cuts
-    return placed.select(*(numbered[c] for c in plain.columns), "shard", (places.base + numbered.nth - places["first"]).alias("slot"))
+    kept = [F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, "shard", (places.base + numbered.nth - places["first"]).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int, **options: object) -> DataFrame:
