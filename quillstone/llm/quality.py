@@ -30,7 +30,7 @@ OTHER = "other"
 CLASSES = [r"\p{Lu}", "[0-9]", "[.,;:!?'\"()-]", "[#*$%&|<>]"]
 
 
-BASE_FAILED = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
 def _sum(a: Column) -> Column:
@@ -79,7 +79,7 @@ def references(figures: DataFrame, min_words: int, min_common: int) -> DataFrame
     Only documents that pass the base rules count, so that repeated junk doesn't shape them."""
     mean = lambda c, n: F.array(*(F.avg(F.col(c)[i]) for i in range(n)))
     words = mean("common__", len(COMMON["en"]) + 1)
-    sound = figures.filter((F.col("n_words") >= min_words) & ~BASE_FAILED)
+    sound = figures.filter((F.col("n_words") >= min_words) & ~F.expr(BASE_FAILED))
     return sound.groupBy("lang__").agg(mean("classes__", len(CLASSES) + 3).alias("class_reference__"), F.when(F.sum("known__") >= min_common, words).alias("word_reference__"))
 
 
@@ -103,7 +103,7 @@ def _judged(df: DataFrame, refs: DataFrame, min_words: int = 50, max_class: floa
     df = df.join(F.broadcast(refs), "lang__", "left")  # at most five rows
     long = F.col("n_words") >= min_words
     df = df.withColumns({"class_distance": F.when(long, js_distance(F.col("classes__"), F.col("class_reference__"))), "word_distance": F.when(long, js_distance(F.col("common__"), F.col("word_reference__")))})
-    df = df.withColumn("base_failed", BASE_FAILED)
+    df = df.withColumn("base_failed", F.expr(BASE_FAILED))
     by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
     far = (by_class > max_class) | (by_word > max_word) | (by_class > both[0]) & (by_word > both[1])
     return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~far))
