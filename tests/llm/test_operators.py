@@ -1,15 +1,20 @@
 """The corpus operators against brute force, libraries and planted cases, and on null, empty, repeated and clashing rows."""
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -55,21 +60,63 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
+CLASH = ("k1", "k2", "arc", "kept", "hits", "bits", "n_words", "shard", "text__", "seen", "nth", "row", "own", "bpe", "n_tokens", "keep", "t", "cell")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, odd, empty, name, tmp_path):
-    for kind, df in (("odd", odd), ("empty", empty)):
+    """Clashing columns and an empty benchmark change no value; rows equal in doc_id and text get equal values, but for their slots and places."""
+    values = {}
+    for kind, df, items in (("odd", odd, 2), ("odd", odd, 0), ("empty", empty, 2)):
         for extra in (False, True):
-            path = str(tmp_path / f"{kind}{extra}")
-            clash = {c: F.lit(1) for c in ("k1", "k2", "arc", "kept", "hits", "bits", "n_words", "shard", "text__")} if extra else {}
-            df.withColumns(clash).write.parquet(f"{path}/documents.parquet")
-            spark.createDataFrame([(1, "no id"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+            path = str(tmp_path / f"{kind}{extra}{items}")
+            df.withColumns({c: F.lit(1) for c in CLASH} if extra else {}).write.parquet(f"{path}/documents.parquet")
+            spark.createDataFrame([(1, "no id"), (2, None), (3, "")][: 3 * bool(items)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
             out = QUERIES[name](spark, path).toPandas()
             if name != "op4_licenses":
                 assert len(out) == (len(ODD) + 3 if kind == "odd" else 0)
-            if kind == "empty":
-                break
-    for _, stage in corpus_pipeline.STAGES[:-1] if name == "op9_quality" else ():
-        assert stage(spark, spark.read.parquet(f"{tmp_path}/oddTrue/documents.parquet"), f"{tmp_path}/oddTrue").count() >= 0
+            key = [c for c in out if c not in ("slot", "start", "shard")]
+            now = sorted(map(str, out[key].itertuples(index=False)))
+            assert values.setdefault((kind, items if name == "op5_decontamination" else 0), now) == now
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, stage, tmp_path):
+    run, words = dict(corpus_pipeline.STAGES)[stage], " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([(1, "no id"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    longer = odd.unionByName(spark.createDataFrame([(50, words, "en", "s", 1), (50, words, "en", "s", 1), (51, "lorem ipsum dolor\n" * 3 + words * 2000, None, "s", 1)], COLUMNS))  # some survive each stage
+    got = {}
+    for extra in (False, True):
+        df = longer.withColumns({c: F.lit(i) for i, c in enumerate(CLASH)} if extra else {})
+        out = run(spark, df, str(tmp_path))
+        assert out.columns[: len(df.columns)] == df.columns if stage != "bpe_encoding" else out.columns[-1] == "decoded"
+        rows = out.toPandas()
+        if extra and stage != "bpe_encoding":
+            assert all((rows[c] == i).all() for i, c in enumerate(CLASH))
+        got[extra] = Counter((repr(r.doc_id), r.text) for r in rows.itertuples())
+        assert run(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert got[False] == got[True] and got[False]
+    empty_items = str(tmp_path / "none")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty_items}/benchmark.parquet")
+    assert run(spark, empty, empty_items).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_very_long_text(spark, name, tmp_path):
+    r = random.Random(2)
+    text = "\n".join(" ".join(f"w{r.randrange(10**5)}" for _ in range(20)) for _ in range(40_000)) + " x@y.zz Released under the MIT License."
+    assert len(text) > 5_000_000
+    spark.createDataFrame([(1, text, "en", "s", 1), (2, "x" * 1_000_000 + "  " * 500_000, "en", "s", 1), (3, "short", "en", "s", 1)], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(text.split()[-40:-20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert len(got) == (1 if name == "op4_licenses" else 3)
+    if name == "op2_bpe":
+        ids = library(WORD_VOCABULARY).encode(text, add_special_tokens=False).ids
+        assert got[1].ids_sha256 == hashlib.sha256(le(ids)).hexdigest()
+    elif name == "op5_decontamination":
+        assert got[1].n_hit >= 20 and not got[2].contaminated
+    elif name == "op7_pii":
+        assert got[1].n_email == 1
 
 
 def test_shards(spark, docs):
@@ -84,18 +131,50 @@ def test_hot_key_and_movement(spark):
     hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     sizes = sharding.assign(hot, "k", 8).groupBy("shard").count().toPandas()["count"]
     assert sizes.max() - sizes.min() <= 1
-    ids = spark.range(4000).withColumnRenamed("id", "k")
+    ids = spark.range(20_000).withColumnRenamed("id", "k")
     a, b = (sharding.assign(ids, "k", n, load_factor=1.25).toPandas().set_index("k").shard.sort_index() for n in (16, 17))
-    assert a.value_counts().max() <= np.ceil(1.25 * 4000 / 16)
-    assert (a != b).mean() < 0.35  # all but one in 17 would stay without limits; modulo would move nearly all
-
-
-@pytest.mark.parametrize("text", [t or "" for t in ODD] + ["hello's WORLD <|startoftext|>x", "".join(map(chr, range(1, 0x250)))])
+    assert a.value_counts().max() <= np.ceil(1.25 * 20_000 / 16)
+    assert (a != b).mean() < 0.1  # one in 17 is the least; modulo would move nearly all
+
+
+@pytest.mark.parametrize("factor", [1.0, 1.25])
+def test_placement_is_the_sequential_ring(factor):
+    """Row by row in the same order: a row goes to the first owner with room, clockwise from its arc."""
+    r = np.random.default_rng(1)
+    counts = {(int(a), int(c)): int(r.integers(0, 40)) for a in range(64) for c in range(4)}
+    counts[5, 2] = 900  # a hot arc
+    owners, shards = r.integers(0, 8, 64).tolist(), 8
+    total = sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)] if factor == 1 else [int(np.ceil(factor * total / shards))] * shards
+    used, want = [0] * shards, {}
+    left = {k: list(range(n)) for k, n in sorted(counts.items())}
+    for step in range(len(owners)):
+        for (arc, chunk), rows in left.items():
+            shard = owners[(arc + step) % len(owners)]
+            while rows and used[shard] < room[shard]:
+                want[arc, chunk, rows.pop(0)] = (shard, used[shard])
+                used[shard] += 1
+    got = {(arc, chunk, i): (shard, base + i - first) for arc, chunk, first, past, shard, base in sharding.place(counts, owners, shards, factor) for i in range(first, past)}
+    assert got == want and len(got) == total
+
+
+def test_sharding_keeps_clashing_columns(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), *(F.lit(f"own {c}").alias(c) for c in ("seen", "nth", "arc", "chunk", "place", "row", "first", "base")))
+    got = sharding.assign(df, "k", 4).toPandas()
+    assert all((got[c] == f"own {c}").all() for c in df.columns[1:]) and len(got) == 50
+
+
+@pytest.mark.parametrize("text", [t or "" for t in ODD] + ["hello's WORLD <|startoftext|>x", "".join(map(chr, range(1, 0x250))), "abcdeth" * 30])
 def test_bpe_is_the_library(text):
     lib, own = library(WORD_VOCABULARY), bpe.codec(WORD_VOCABULARY)
     ids = lib.encode(text, add_special_tokens=False).ids
-    got, decoded = own.encode(text)
-    assert got == le(ids) and decoded == lib.decode(ids, skip_special_tokens=False) == own.decode(got)
+    assert own.encode(["", text, None]) == [b"", le(ids), b""]
+    assert own.decode([le(ids), b""]).to_pylist() == [lib.decode(ids, skip_special_tokens=False), ""]
+
+
+def test_ids_without_a_token():
+    with pytest.raises(ValueError):
+        bpe.codec(WORD_VOCABULARY).decode([le([10**6])])
 
 
 def test_bpe_query(spark, docs):
@@ -105,13 +184,17 @@ def test_bpe_query(spark, docs):
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(le(ids)).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_decoding_takes_the_ids(spark):
+    docs = spark.createDataFrame([(le([7, 300, 7]),), (b"",), (None,)], "ids binary")
+    got = [r.t for r in docs.select(bpe.decoded(F.col("ids"), WORD_VOCABULARY).alias("t")).collect()]
+    lib = library(WORD_VOCABULARY)
+    assert got == [lib.decode([7, 300, 7], skip_special_tokens=False), "", None]
+
+
 def test_long_words_merge_alike():
-    own = bpe.codec(WORD_VOCABULARY)
-    r = random.Random(1)
-    for n in (2, 20, 47):
-        word = "".join(r.choices("abcdeth", k=n))
-        w = word + own.end
-        assert own.parts(word) == own.long_parts([*w[: n - 1], w[n - 1 :]])
+    merges, r = bpe.codec(WORD_VOCABULARY).merges, random.Random(1)
+    words = [bytes(r.choices(b"abcdethin\xc3\xa9", k=r.randint(1, 48))) for _ in range(3000)]
+    assert [le(merges.long_word(w)) for w in words] == merges.words(words)
 
 
 def test_lines_query(spark):
@@ -137,7 +220,29 @@ def test_hot_lines_over_many_tasks(spark):
 def test_licenses(spark):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "Licensed under the Apache License, Version 1.1."), (3, "Released under the MIT License. "), (4, "my licence to kill"), (5, None)]
     got = {r.doc_id: (r.license, r.confirmed, r.start) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == ("Apache-2.0", True, 2) and got[3] == ("MIT", True, 0) and not got[2][1] and not got[4][1] and 5 not in got
+    assert got == {1: ("Apache-2.0", True, 0), 2: (None, False, 0), 3: ("MIT", True, 0), 4: (None, False, 0)}
+
+
+def test_planted_licenses(spark):
+    """Every wording in every layout among prose, brute force: the plain words of a wording are in the text or not."""
+    r, rows, want = random.Random(6), [], {}
+    fill = lambda t: t.replace("*", "Jane Doe and the Example Corp")
+    layouts = [lambda t: t, lambda t: textwrap.fill(t, 80), lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 60)), lambda t: "\n".join("# " + x for x in textwrap.wrap(t.upper(), 72))]
+    all_of = [(name, fill(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    prose = lambda n: "\n".join(" ".join(f"w{r.randrange(999)}" for _ in range(12)) for _ in range(n))
+    for i in range(240):
+        some = r.sample(all_of, r.choice([0, 1, 1, 2]))
+        rows.append((i, "\n".join([prose(3), *(x for _, t in some for x in (r.choice(layouts)(t), "", prose(r.choice([0, 1, 400])))), prose(2)])))
+        want[i] = {n for n, _ in some}
+    rows += [(1000 + k, " ".join(w for j, w in enumerate(t.split()) if j != len(t.split()) // 2)) for k, (_, t) in enumerate(all_of) if len(t.split()) > 8]  # a word is missing
+    for i, text in rows:
+        plain = f" {' '.join(licenses.words_of(text))} "
+        inside = {name for name, t in all_of if f" {' '.join(licenses.words_of(t))} " in plain}
+        assert i >= 1000 or want[i] <= inside
+        want[i] = inside
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).filter("confirmed").toPandas()
+    found = got.groupby("doc_id").license.agg(set).to_dict()
+    assert {i: found.get(i, set()) for i in want} == want
 
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -174,7 +279,7 @@ def test_hits_map_to_the_original(spark):
     assert decontaminate.scan(text.encode(), block)[1] is None  # É isn't lower-cased
     block = __import__("pickle").dumps(next(decontaminate.blocks([("1", "a B c é9")], 10, 99)))
     n, mask, items = decontaminate.scan(text.encode(), block)
-    assert (n, items) == (6, {"1"}) or n == 7
+    assert (n, items) == (7, {"1"})  # zu, the dash (no ASCII sign), a, b, c, é9, d
     assert [text[a:b] for a, b in decontaminate.hit_spans(text, mask)] == ["A,b C! é9"]
 
 
@@ -188,9 +293,33 @@ def test_token_files(spark, docs, odd):
     path = shared_dir(spark)
     token_store.write_tokens(odd, BYTE_VOCABULARY, path, 2, files=3)
     got = token_store.read_tokens(spark, path).orderBy("start").collect()
-    texts = {t or "" for t in ODD}
     assert [g.doc_id for g in got] == sorted([*range(len(ODD)), None, None, 3], key=lambda x: -1 if x is None else x)
-    assert all(g.token_ids == [*lib.encode(ODD[g.doc_id] or "", add_special_tokens=False).ids, 2] for g in got if g.doc_id is not None) and texts
+    want = Counter((i, *lib.encode(t or "", add_special_tokens=False).ids, 2) for i, t in [*enumerate(ODD), (None, "no id"), (None, None), (3, "\n\n")])
+    assert Counter((g.doc_id, *g.token_ids) for g in got) == want
+    hot = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    token_store.write_tokens(hot, BYTE_VOCABULARY, path := shared_dir(spark), 2, files=4)
+    files = spark.read.parquet(path).groupBy("file").count().collect()
+    assert len(files) >= 3  # one doc_id is cut into several files
+    ends = [(r.start, r.start + r.n_tokens) for r in token_store.read_tokens(spark, path).orderBy("start").collect()]
+    assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])]
+
+
+def test_token_layout(spark):
+    """Dictionary pages for ids, delta for the counts, small row groups and pages with indexes; a read of a few documents skips the other row groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10**6))
+    token_store.write_tokens(docs, BYTE_VOCABULARY, path := shared_dir(spark), 2, files=1)
+    (file,) = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    meta = pq.ParquetFile(f"{path}/{file}").metadata
+    assert meta.num_row_groups > 1 and all(meta.row_group(g).total_byte_size < 64 << 20 for g in range(meta.num_row_groups))
+    columns = {meta.row_group(0).column(c).path_in_schema.split(".")[0]: meta.row_group(0).column(c) for c in range(meta.num_columns)}
+    assert "RLE_DICTIONARY" in columns["token_ids"].encodings and "DELTA_BINARY_PACKED" in columns["at"].encodings
+    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    some = token_store.read_tokens(spark, path).filter("doc_id = 1000005")
+    assert some.count() == 1
+    scan = spark.read.schema(token_store.STORE).parquet(path).filter("doc_id = 1000005").select("token_ids")
+    assert len(scan.collect()) == 1 and "GreaterThan" not in (plan := scan._jdf.queryExecution().executedPlan().toString()) and "EqualTo(doc_id,1000005)" in plan
+    stats = [meta.row_group(g).column(1).statistics for g in range(meta.num_row_groups)]
+    assert sum(x.min <= 1000005 <= x.max for x in stats) == 1  # sorted by doc_id: one row group holds it
 
 
 def base_by_rules(text):
@@ -219,13 +348,43 @@ def test_personal_data(spark, docs):
         assert pii.base_spans(text) == base_by_rules(text)
 
 
-def test_tagger_finds_held_out_spans(spark):
-    known = pii.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+def test_tagger_finds_other_forms():
+    """Trained on even documents, held against texts of odd ones that no even document has, spans in other forms, with other digits."""
+    frame = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")
+    even = {*frame.text[frame.doc_id % 2 == 0]}
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
     tagger = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 2 = 0"))
-    texts = [t for t, s in known if s]
-    want = [{*pii.base_spans(t)} for t in texts]
-    alone = [{*s} for s in pii.added_spans(tagger, texts, [[] for _ in texts])]
-    assert sum(len(a & b) for a, b in zip(alone, want)) >= 0.85 * sum(map(len, want))
+    r, texts, want = np.random.default_rng(5), [], []
+    for text in sorted({*frame.text[frame.doc_id % 2 == 1]} - even):
+        for a, kind, b in pii.base_spans(text):
+            start = max(0, a - 60)
+            part = text[start : b + 60]
+            spans = [(x, k, y) for x, k, y in pii.base_spans(part) if (x, k, y) == (a - start, kind, b - start)]
+            others = [s for s in pii.base_spans(part) if s not in spans]
+            if spans and not others:
+                plain = part if kind == 2 else pii.other_digits(part, spans, r)  # a card keeps its checksum
+                new, moved = pii.rewritten(plain, spans, int(r.integers(100)))
+                texts.append(new)
+                want.append({*moved})
+    base = [pii.base_spans(t) for t in texts]
+    got = [{*more} for more in pii.added_spans(tagger, texts, base)]
+    for kind in range(4):
+        hits = sum(s in g for g, w in zip(got, want) for s in w if s[1] == kind)
+        asked, found = (sum(s[1] == kind for x in y for s in x) for y in (want, got))
+        assert asked >= 20 and hits >= 0.9 * asked and hits >= 0.9 * found, (pii.KINDS[kind], hits, asked, found)
+
+
+def test_marginals_are_the_sums_over_paths():
+    r, t = np.random.default_rng(1), pii.Tagger()
+    ids = r.integers(0, 128, (1, 4))
+    u, trans = t.emit(ids)[0][:, 0], t.p["T"]
+    paths = {p: np.exp(sum(u[i, x] for i, x in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) for p in product(range(pii.TAGS), repeat=4)}
+    total, best = sum(paths.values()), max(paths, key=paths.get)
+    tags, sure = t.decode(ids)
+    assert tuple(tags[0]) == best
+    assert np.allclose(sure[0], [sum(v for p, v in paths.items() if p[i] == best[i]) / total for i in range(4)])
 
 
 def test_gradient():
@@ -296,23 +455,81 @@ def test_planted_fingerprints(spark, cell):
     bits = sorted({*bits, 0, (1 << 64) - 1, 7, 1 << 63})
     signed = [b - (1 << 64) if b >> 63 else b for b in bits]
     nodes = spark.createDataFrame([(b,) for b in signed], "bits long")
-    for n in (len(bits), 10**6, 10**9):  # more groups as there are more fingerprints
-        links = simhash.near_links(nodes, n, 3, cell_rows=cell)
-        assert links.filter("bit_count(a ^ b) > 3").isEmpty()
+    for near in (0, 1, 2, 3, 5):  # one to three parts of the axes
+        links = simhash.near_links(nodes, near, cell_rows=cell)
+        assert links.filter(f"bit_count(a ^ b) > {near}").isEmpty()
         got = {x.bits: x.root for x in simhash.components(links).collect()}
-        want = roots(bits)
+        want = roots(bits, near)
         groups = defaultdict(set)
         for b, w in zip(signed, want):
             groups[w].add(got.get(b, b))
         assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_points_and_cells(spark):
+    """Manhattan distance of segment counts by bits of unary points; of near pairs one lives in or visits a cell where the other lives; copies are bounded."""
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 2**64, 200, dtype=np.uint64)
+    near = bits ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for _ in bits], dtype=np.uint64)
+    counts = lambda x: np.array([[(int(v) >> 2 * s & 3).bit_count() for s in range(32)] for v in x])
+    assert (np.bitwise_count(simhash.points_of(bits) ^ simhash.points_of(near)) == abs(counts(bits) - counts(near)).sum(1)).all()
+    rows = pd.DataFrame({"bits": np.r_[bits, near].view(np.int64)}).drop_duplicates()
+    nodes = spark.createDataFrame(rows)
+    same = nodes.select("bits", simhash.points(F.col("bits")).alias("p")).toPandas()
+    assert (same.p.to_numpy().view(np.uint64) == simhash.points_of(same.bits.to_numpy().view(np.uint64))).all()
+    cells = simhash.cells(nodes, 3).toPandas()
+    assert len(cells) <= 34 * len(rows)
+    at = {b: {(t, c): v for t, c, v in zip(g.t, g.cell, g.visits)} for b, g in cells.groupby("bits")}
+    for a, b in zip(bits.view(np.int64), near.view(np.int64)):
+        assert any(v + at[b].get(cell, 2) <= 1 for cell, v in at[a].items())
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d"), (2, "A b c D"), (2, "A b c D"), (None, "x y z w"), (None, "x y z w"), (5, "p q r s"), (5, "t u v w")]
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, "a b c d"), (None, "x y z w"), (5, "p q r s"), (5, "t u v w")])
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_first_lines_stay(spark, partitions):
+    """Brute force: a key's first line by (doc_id, null first) stays in all rows equal to the first; repeated rows included."""
+    r = random.Random(partitions)
+    rows = [(r.choice([None, *range(12)]), "\n".join(r.choices("abcdef", k=r.randint(1, 6)))) for _ in range(60)]
+    rows += rows[:15] + [(2, "x"), (2, "x"), (1, "x")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], COLUMNS).repartition(partitions)
+    for min_docs in (2, 8):
+        texts = Counter(rows)
+        place = lambda d: (d[0] is not None, d[0] or 0)
+        docs_of, first = defaultdict(int), {}
+        for (d, t), n in texts.items():
+            for k in {*t.split("\n")}:
+                docs_of[k] += n
+                if k not in first or place((d,)) < place((first[k],)):
+                    first[k] = d
+        got = Counter((x.doc_id, x.text) for x in line_dedup.dedup_lines(df, min_docs, keep_first=True).collect())
+        left = defaultdict(set)  # the documents where a repeated key is left
+        for d, t in got:
+            for k in {*t.split("\n")} - {""}:
+                left[k].add(d)
+        assert sum(got.values()) == len(rows)
+        for k, n in docs_of.items():
+            if n >= min_docs:
+                assert left[k] == {first[k]}
+                assert max(t.split("\n").count(k) for d, t in got) == 1
+            else:
+                assert sum(c * t.split("\n").count(k) for (d, t), c in got.items()) == sum(c * t.split("\n").count(k) for (d, t), c in texts.items())
+
+
+def test_several_blocks_keep_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (1, "a b c d", 5, 6, 7), (2, "p q r", 1, 1, 1), (3, None, 0, 0, 0), (None, "x y", 2, 2, 2)], "doc_id long, text string, k1 int, k2 int, hits int")
+    items = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "x y")], "item_id long, text string")
+    for block in (2, 10**6):
+        got = decontaminate.with_hits(docs, items, block_chars=block)
+        assert {(r.doc_id, r.k1, r.k2, r.hits.n_words, tuple(r.hits.item_ids)) for r in got.collect()} == {(1, 5, 6, 4, ("1", "2")), (2, 1, 1, 3, ()), (3, 0, 0, 0, ()), (None, 2, 2, 2, ("3",))}
+        assert got.count() == 5
+        assert [(r.doc_id, r.k1, r.hits) for r in decontaminate.decontaminate(docs, items, block_chars=block).orderBy("doc_id").collect()] == [(2, 1, 1), (3, 0, 0)]
+
+
 def figures(text):
     words = [w for w in BLANK.split(text or "") if w]
     places = defaultdict(list)
@@ -333,12 +550,51 @@ def test_quality(spark, odd, docs):
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
+    """Limits were set on the labels of even documents; these are the odd ones."""
     sf = "/root/testdata/sf0.1"
     rows = table(QUERIES["op9_quality"](spark, sf)).merge(pd.read_parquet(f"{sf}/labels.parquet"))
-    rows = rows[~rows.base_failed & (rows.n_words >= 50)]
-    assert rows[rows.quality == 1].kept.mean() > 0.995 and rows[rows.quality == 0].kept.mean() < 0.5
-    r = rows.dropna(subset=["class_distance"])
-    assert r.class_distance.between(0, 1).all()
+    rows = rows[~rows.base_failed & (rows.n_words >= 50) & (rows.doc_id % 2 == 1)]
+    assert len(rows) > 1000 and rows[rows.quality == 1].kept.mean() > 0.995 and rows[rows.quality == 0].kept.mean() < 0.25
+
+
+def test_quality_verdict_by_hand(spark):
+    """Distances and verdicts against plain Python over all documents."""
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    got = table(QUERIES["op9_quality"](spark, "/root/testdata/sf0.01"))
+    docs = docs.sort_values("doc_id", ignore_index=True)
+
+    def shares(text, lang):
+        words = [w for w in BLANK.split(text) if w]
+        classes = [sum(bool(regex.match(p, c)) for c in text) for p in quality.CLASSES]
+        wide, blank = len(text.encode()) - len(text), len(text) - sum(map(len, words))
+        classes += [blank, wide, max(0, sum(map(len, words)) - sum(classes) - wide)]
+        common = quality.COMMON.get(lang)
+        found = Counter(w.lower().strip(quality.SIGNS) for w in words) if common else None
+        known = [found[c] for c in common] if common else None
+        return np.array(classes) / max(1, sum(classes)), known and np.array([*known, len(words) - sum(known)]) / max(1, len(words)), known and sum(known)
+
+    made = [shares(t, lang) for t, lang in zip(docs.text, docs.lang)]
+    base = got.base_failed.to_numpy()
+    use = ~base & (got.n_words.to_numpy() >= 50)
+
+    def js(p, q):
+        m = (p + q) / 2
+        part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+    for lang in quality.COMMON:
+        rows = [i for i in range(len(docs)) if docs.lang[i] == lang]
+        sound = [i for i in rows if use[i]]
+        if not sound:
+            continue
+        c = np.mean([made[i][0] for i in sound], axis=0)
+        w = np.mean([made[i][1] for i in sound], axis=0) if sum(made[i][2] for i in sound) >= 50 else None
+        for i in rows:
+            if got.n_words[i] >= 50:
+                a, b = js(made[i][0], c), 0 if w is None else js(made[i][1], w)
+                assert abs(a - got.class_distance[i]) < 1e-6 and (w is None or abs(b - got.word_distance[i]) < 1e-6)
+                far = a > 0.3 or b > 0.36 or a > 0.14 and b > 0.33
+                assert got.kept[i] == (not base[i] and not far)
 
 
 def test_js_distance(spark):
@@ -349,15 +605,29 @@ def test_js_distance(spark):
 
 def test_count_trees_follow_edits(docs):
     lib, r = library(BYTE_VOCABULARY), random.Random(5)
-    bits = [" ", "  ", "\n", "a", "É", ". ", "9", "!", " x", "\n\n", "", "word", "\t", "'s", " \n", "<|", "endoftext|>"]
-    for text in [*docs.text[:25].str[:500], *(t or "" for t in ODD)]:
+    bits = [" ", "  ", "\n", "a", "É", ". ", "9", "!", " x", "\n\n", "", "word", "\t", "'s", " \n", "<|", "endoftext|>", "<|endoftext|>", "\x1c", "　", "\x85", "你好", "。", ",", "\r\n", "天地玄黄，宇宙洪荒。" * 9]
+    for k, text in enumerate([*docs.text[:25].str[:500], *(t or "" for t in ODD), "def f():\n    return  1\n\n\n        if x:\n            pass\n" * 20, "word,word." * 60]):
         tree, now = count_trees.CountTree(text, BYTE_VOCABULARY), text
+        if k % 2:  # from kept counts
+            tree = count_trees.CountTree(text, BYTE_VOCABULARY, count_trees.unpacked(count_trees.packed(tree.counts())))
         for _ in range(12):
             a = r.randint(0, len(now))
-            b, new = min(len(now), a + r.choice([0, 0, 1, 2, 5, 20])), "".join(r.choices(bits, k=r.randint(0, 3)))
+            b, new = min(len(now), a + r.choice([0, 0, 1, 2, 5, 20, 200])), "".join(r.choices(bits, k=r.choice([0, 1, 2, 3, 40])))
             tree.edit(a, b, new)
             now = now[:a] + new + now[b:]
-            assert tree.text() == now and tree.n_tokens == len(lib.encode(now, add_special_tokens=False).ids)
+            assert tree.text() == now and tree.n_tokens == tree.counts().sum() == len(lib.encode(now, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("odd", ["", "  ", "\n\n    ", " \n", "<|endoftext|>", "\t\t"])
+def test_uneven_texts_have_small_leaves(odd):
+    words = " ".join(f"w{i}" for i in range(8000))
+    text = words + odd + words
+    tree = count_trees.CountTree(text, BYTE_VOCABULARY)
+    before, tree.encoded = tree.n_tokens, 0
+    for k in range(200):
+        tree.edit(400 * k, 400 * k + 1, "!")
+    assert tree.encoded < 200 * 40 and before == len(library(BYTE_VOCABULARY).encode(text).ids)
+    assert tree.n_tokens == len(library(BYTE_VOCABULARY).encode(tree.text()).ids)
 
 
 def test_edits_touch_little(spark, docs):
@@ -374,6 +644,39 @@ def test_edits_touch_little(spark, docs):
     assert again.n_edits == 2 and again.n_tokens == len(lib.encode("ab cd 12 34").ids) and again.n_tokens_after == len(lib.encode("ab cd 0 0").ids)
 
 
+def five(text):
+    w = [x for x in BLANK.split(text.translate(LOWER)) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_roots(texts):
+    """Components of the stage: fingerprints within three bits, or a Jaccard similarity of 0.8 or more on five words, over all pairs."""
+    bits, sets = [fingerprint(t) for t in texts], [five(t) for t in texts]
+    root, holders = list(range(len(bits))), defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(i, j):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+
+    for i in range(len(bits)):
+        for j in range(i):
+            if (bits[i] ^ bits[j]).bit_count() <= 3:
+                join(i, j)
+        shared = Counter(j for x in sets[i] for j in holders[x] if j < i)
+        for j, n in shared.items():
+            if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+                join(i, j)
+    return [find(i) for i in range(len(bits))]
+
+
 def test_pipeline(spark):
     docs, sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
     for name, stage in corpus_pipeline.STAGES:
@@ -391,7 +694,7 @@ def test_pipeline(spark):
             assert dict(zip(got.doc_id, got.text)) == want and (got.n_chars == got.text.str.len()).all()
         elif name == "simhash_near_dedup":
             b = before.sort_values("doc_id", ignore_index=True)
-            assert {*got.doc_id} == {b.doc_id[r] for r in roots([fingerprint(t) for t in b.text])}
+            assert {*got.doc_id} == {b.doc_id[r] for r in near_roots(b.text)}
         elif name == "benchmark_decontamination":
             bench = pd.read_parquet(f"{sf}/benchmark.parquet")
             clean = [d for d, c in zip(before.doc_id, contamination(before.text, bench.itertuples(index=False))) if not c[-1]]
@@ -405,11 +708,6 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(got) if name != "bpe_encoding" else docs
 
 
-def five(text):
-    w = [x for x in BLANK.split(text.translate(LOWER)) if x]
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
 def test_near_duplicate_stage_finds_similar_texts(spark):
     r, texts = random.Random(8), []
     for n in [60, 100, 300, 900] * 10:
