@@ -21,6 +21,16 @@ def allows(scope: dict[str, str], mode: str, axes: tuple[str, ...] = AXES) -> Co
     return reduce(lambda a, b: a & b, (axis_allows(F.col(a), scope.get(a), mode) for a in axes), F.lit(True))
 
 
+def hard(scope: dict[str, str]) -> Column:
+    """Introspection's scope: equal, and rows without a value stay out."""
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(a) == v, F.lit(False)) for a, v in scope.items()), F.lit(True))
+
+
+def guard(scope: dict[str, str], axes: tuple[str, ...] = AXES) -> Column:
+    """Of a row asked for by its id: another scope's is as if it weren't there; rows without a value are shared."""
+    return allows(scope, "filter", axes)
+
+
 def same_bucket(project: str | None, user: str | None, unscoped_too: bool = False) -> Column:
     """The deduplication bucket: the project's rows (and unscoped ones if asked), or only unscoped rows without a project; the user null-safe."""
     own = F.col("project_id").eqNullSafe(F.lit(project))

@@ -43,6 +43,11 @@ def preference_blend(fused: Column, confidence: Column, recent: Column) -> Colum
     return (WEIGHTS[0] + WEIGHTS[1] + WEIGHTS[4]) * fused + WEIGHTS[2] * confidence + WEIGHTS[3] * recent
 
 
+def procedure_blend(fused: Column, success: Column, recent: Column) -> Column:
+    """How often a procedure works stands in for importance."""
+    return (WEIGHTS[0] + WEIGHTS[2] + WEIGHTS[4]) * fused + WEIGHTS[1] * success + WEIGHTS[3] * recent
+
+
 def plain_blend(fused: Column, recent: Column) -> Column:
     return (1 - WEIGHTS[3]) * fused + WEIGHTS[3] * recent
 

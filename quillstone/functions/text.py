@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Named entities: fixed values.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
 def approx_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
 
@@ -33,16 +38,24 @@ def predicate(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"\s+", "_")
 
 
+@F.pandas_udf(T.StringType())
+def without_marks(texts: pd.Series) -> pd.Series:
+    """Compatibility-decomposed (NFKD), without combining marks."""
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"))
+
+
 def slug(text: Column, longest: int = 72) -> Column:
-    """Lower-case ASCII letters and digits joined by hyphens, cut at a hyphen."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(F.length(plain) <= longest, plain).otherwise(F.regexp_replace(F.substring(plain, 1, longest), "-[^-]*$", ""))
+    """Lower-case ASCII letters and digits joined by hyphens, accents dropped, cut at a hyphen."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(without_marks(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(F.length(plain) <= longest, plain).otherwise(F.regexp_replace(F.substring(plain, 1, longest), "(?<=.)-[^-]*$", ""))
 
 
 def path_segment(text: Column) -> Column:
-    """Safe in paths; a changed one gets eight digits of its hash."""
-    safe = F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
-    return F.when(safe == text, text).otherwise(F.concat(safe, F.lit("-"), F.substring(F.sha2(text.cast("binary"), 256), 1, 8)))
+    """Safe in paths, one character for one; a changed one, "." and "..", and the empty text get eight digits of their hash, and no dots in front."""
+    safe = F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
+    dots = safe.rlike(r"^\.{0,2}$")
+    stem = F.when(dots, "x").otherwise(F.regexp_replace(safe, r"^\.+", ""))
+    return F.when((safe == text) & ~dots, text).otherwise(F.concat(stem, F.lit("-"), F.substring(F.sha2(text.cast("binary"), 256), 1, 8)))
 
 
 def clip(text: Column, n: int) -> Column:
@@ -50,13 +63,33 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.regexp_replace(F.substring(text, 1, n), r"\s+\S*\z", ""))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; null where there is none."""
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def entities(text: Column) -> Column:
+    """Named (the common ones) and numeric entities decoded; others stay. Each is decoded once, so "&amp;lt;" gives "&lt;"."""
+
+    def one(part: Column) -> Column:  # what follows an ampersand
+        body = F.regexp_extract(part, r"^(#[xX]?[0-9A-Fa-f]{1,8}|[A-Za-z]+);", 1)
+        rest = F.substring(part, F.length(body) + 2, F.length(part))
+        decimal, hexadecimal = body.rlike("^#[0-9]+$"), body.rlike("^#[xX][0-9A-Fa-f]+$")
+        code = F.when(decimal, F.substring(body, F.lit(2), F.length(body)).try_cast("long")).when(hexadecimal, F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("long"))
+        named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+        char = F.coalesce(F.try_element_at(named, F.lower(body)), _character(code))
+        return F.when((body != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), one), ""))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Without scripts, styles and tags; common entities decoded; blanks collapsed."""
+    """Without scripts, styles and tags; entities decoded; blanks collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, "(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(out, "(?s)<[^>]+>", " ")
+    return F.trim(F.regexp_replace(entities(out), r"[\s\u00a0]+", " "))
 
 
 def terms(text: Column) -> Column:
@@ -64,6 +97,22 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def label(kind: Column, content: Column, key: Column) -> Column:
+    """A short label for a row of any kind."""
+    return F.when(kind.isin("fact", "insight", "observation", "chunk", "knowledge_chunk", "episode"), truncate(content, 80)).when(kind.isin("procedure", "research", "entity"), F.coalesce(content, key.cast("string"))).when(kind == "preference", F.concat(content, F.lit(" = "))).otherwise(key.cast("string"))
+
+
+def primary_kind(labels: Column, stated: Column, known: tuple[str, ...]) -> Column:
+    """A stated kind, else the first known label in lower case, else unknown. labels: array of strings."""
+    found = F.filter(labels, lambda x: x.isin(*known))
+    return F.when(F.coalesce(stated, F.lit("")) != "", stated).otherwise(F.coalesce(F.lower(F.try_element_at(found, F.lit(1))), F.lit("unknown")))
+
+
+def speaks(text: Column) -> Column:
+    """Whether a text opens with a turn label."""
+    return F.regexp_like(text, F.lit(SPEAKER.replace("(?md)^", "(?d)\\A")))
+
+
 def scope_key(*parts: str) -> Column:
     return F.concat_ws("|", *(F.when(F.col(p).isNotNull(), F.concat(F.lit(f"{p}="), F.col(p))) for p in parts))
 

@@ -1,10 +1,11 @@
-"""Batch consolidation: deduplication, supersession, synonyms, clusters, promotion, pruning, retirement. Vectors are compared inside buckets, never all with all.
+"""Batch consolidation: deduplication, supersession, synonyms, clusters, promotion, pruning, retirement. Vectors are compared inside buckets, in blocks.
 
 Model-dependent decisions are parameters: a decider is a function of Columns or of a DataFrame, with a plain default."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,62 +14,156 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scoring, temporal, vectors
+from quillstone.sources.store import cut
 
 
-def near_in_bucket(left: DataFrame, right: DataFrame, bucket: list[str], least: float, k: int | None = None, scale: str = "raw") -> DataFrame:
-    """left (id, embedding, bucket...) and right, to (left_id, right_id, score): other rows of the bucket that score least or more, k best. A bucket is an entity or a
-    scope, which bounds the pairs looked at; a bucket that is hot is split by the engine's skew join, as either side may be read in parts."""
-    a = left.select(*bucket, F.col("id").alias("left_id"), F.col("embedding").alias("a"))
-    b = right.select(*bucket, F.col("id").alias("right_id"), F.col("embedding").alias("b"))
-    raw = vectors.cosine(F.col("a"), F.col("b"))
-    pairs = a.join(b, bucket).filter("left_id <> right_id").withColumn("score", vectors.index_score(raw) if scale == "index" else raw).filter(F.col("score") >= least)
-    if k is not None:
-        pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.round("score", 9).desc(), "right_id"))).filter(F.col("nth") <= k)
-    return pairs.select("left_id", "right_id", "score")
+BLOCK = 2048  # rows of a block; a task holds two blocks and their products
 
 
-def duplicates(facts: DataFrame, bucket: list[str], least: float = 0.92) -> DataFrame:
-    """Facts (id, embedding) with an earlier one (lesser id) as near: id, first. Each is held against all earlier facts, kept or not."""
-    return near_in_bucket(facts, facts, bucket, least).filter("right_id < left_id").groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("first"))
+def unit(v: Column) -> Column:
+    """Of length 1; null for zero, empty and null vectors, which are near to nothing."""
+    n = F.sqrt(vectors.dot(v, v))
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+
+
+def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sided: bool = False, block: int = BLOCK) -> DataFrame:
+    """All pairs of rows (id, embedding, bucket...) of a bucket with cosine least or more, given to emit as arrays (id, other id, rounded cosine), both ways round,
+    a task's worth at a time; what it returns comes out. sided: rows have a side, 0 or 1, and only pairs (0, 1) count, one way round.
+
+    Exact, in blocks: vectors within an angle of each other lie within that angle as seen from any pivot, so a bucket is cut into bands of that angle, and a row
+    meets its own band and the next. Bands of over ``block`` rows are cut by a hash, and each pair of parts is a task of its own,
+    so no task holds more than two blocks, however hot a bucket is. Repeated ids count as rows of their own; null buckets are a bucket."""
+    angle = max(float(np.arccos(min(1.0, max(-1.0, least)))), 1e-3)
+    side = F.col("side") if sided else F.lit(0)
+    own = rows.select(*bucket, "id", unit(F.col("embedding")).alias("u"), side.cast("int").alias("side")).filter("u IS NOT NULL")
+    pivot = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("u")))))
+    own = own.withColumn("band", F.floor(pivot / (angle + 1e-9)).cast("int"))
+    key = [*bucket, "band"]
+    met = own.withColumn("visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("visits"))
+    sizes = met.groupBy(*(F.col(c).alias(f"{c}__") for c in key)).agg(F.ceil(F.count("*") / block).cast("int").alias("p"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in key))
+    parted = met.join(sizes, same).select(*key, "id", "u", "side", "visits", "p", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("i"))
+    each = parted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    # part i of those at home meets parts j >= i of them (unit 0) and every part of the visitors (unit 1)
+    home = F.col("visits") == 0
+    inner = each.filter(home).select(*key, F.lit(0).alias("unit"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("right"), "id", "u", "side")
+    outer = each.select(*key, F.lit(1).alias("unit"), F.when(home, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(home, F.col("j")).otherwise(F.col("i")).alias("b"), F.col("visits").alias("right"), "id", "u", "side")
+
+    def pairs(df: pd.DataFrame) -> pd.DataFrame:
+        left, right = df[df["right"] == 0], df[df["right"] == 1]
+        alone = int(df["unit"].iloc[0]) == 0 and int(df["a"].iloc[0]) == int(df["b"].iloc[0])
+        right = left if alone else right
+        if not len(left) or not len(right):
+            return emit(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        s = np.round(np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T, 9)
+        x, y = np.nonzero(np.triu(s >= least, 1) if alone else s >= least)
+        ids, others, score = left["id"].to_numpy()[x], right["id"].to_numpy()[y], s[x, y]
+        if sided:
+            from_left = left["side"].to_numpy()[x] < right["side"].to_numpy()[y]
+            apart = left["side"].to_numpy()[x] != right["side"].to_numpy()[y]
+            return emit(np.where(from_left, ids, others)[apart], np.where(from_left, others, ids)[apart], score[apart])
+        return emit(np.r_[ids, others], np.r_[others, ids], np.r_[score, score])
+
+    return inner.unionByName(outer).groupBy(*key, "unit", "a", "b").applyInPandas(pairs, schema)
+
+
+PAIR = "left_id long, right_id long, score double"
+
+
+def _all(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"left_id": ids, "right_id": others, "score": score})
 
 
-def synonyms(entities: DataFrame, bucket: list[str], least: float = 0.9) -> DataFrame:
+def _best(k: int):
+    def pick(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((others, -score, ids))
+        nth = pd.Series(ids[order]).groupby(ids[order]).cumcount().to_numpy() if len(order) else order
+        return _all(ids, others, score).iloc[order[nth < k]]
+
+    return pick
+
+
+def nearest(rows: DataFrame, bucket: list[str], least: float, k: int, sided: bool = False, block: int = BLOCK) -> DataFrame:
+    """left_id, right_id, score: the k best others of each row; each task gives its k best, and the best of those stay."""
+    found = near(rows, bucket, least, _best(k), PAIR, sided, block)
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter(F.col("nth") <= k).drop("nth")
+
+
+def duplicates(facts: DataFrame, bucket: list[str], least: float = 0.92, block: int = BLOCK) -> DataFrame:
+    """Facts (id, embedding) with an earlier one (lesser id) as near: id, first. Each is held against all earlier facts, kept or not."""
+
+    def first(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        earlier = others < ids
+        return pd.DataFrame({"id": ids[earlier], "first": others[earlier]}).groupby("id", as_index=False)["first"].min()
+
+    return near(facts, bucket, least, first, "id long, first long", block=block).groupBy("id").agg(F.min("first").alias("first"))
+
+
+def fresh(new: DataFrame, live: DataFrame, bucket: list[str], least: float = 0.92, block: int = BLOCK) -> DataFrame:
+    """New facts (id, embedding) that neither a live one nor an earlier new one (lesser id) of the bucket, itself kept, is near to: the ordered pass of a cycle, where
+    earlier inserts count. Decided in rounds: a new fact whose nearer and earlier facts have all been dropped stays, one with a kept fact near goes."""
+    held = near(new.withColumn("side", F.lit(0)).unionByName(live.select(*new.columns).withColumn("side", F.lit(1))), bucket, least, _all, PAIR, sided=True, block=block)
+    left = cut(new.select("id").join(held.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti"))
+    links = near(new, bucket, least, _all, PAIR, block=block).filter("right_id < left_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("earlier"))
+    links = cut(links.join(left, "id", "left_semi").join(left.select(F.col("id").alias("earlier")), "earlier", "left_semi"))
+    kept = [left.join(links.select("id").distinct(), "id", "left_anti")]
+    front = cut(kept[0])
+    while not links.isEmpty():
+        gone = links.join(front.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct()
+        rest = links.join(gone, "id", "left_anti")
+        after = cut(rest.join(gone.select(F.col("id").alias("earlier")), "earlier", "left_anti"))
+        waiting = rest.select("id").distinct()
+        front = cut(waiting.join(after.select("id").distinct(), "id", "left_anti"))
+        kept.append(front)
+        links = after
+    return reduce(DataFrame.unionByName, kept)
+
+
+def synonyms(entities: DataFrame, bucket: list[str], least: float = 0.9, block: int = BLOCK) -> DataFrame:
     """Canonical pairs (lo, hi, score)."""
-    pairs = near_in_bucket(entities, entities, bucket, least).select(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi"), "score")
-    return pairs.groupBy("lo", "hi").agg(F.max("score").alias("score"))
+
+    def canonical(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        lesser = ids < others
+        return pd.DataFrame({"lo": ids[lesser], "hi": others[lesser], "score": score[lesser]})
+
+    return near(entities, bucket, least, canonical, "lo long, hi long, score double", block=block)
 
 
-def supersede_candidates(facts: DataFrame, bucket: list[str], least: float = 0.85, k: int = 8, decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """For each fact the nearest others on the index scale; decide picks among them (default: the older fact of the best pair)."""
-    found = near_in_bucket(facts, facts, bucket, least, k, scale="index")
+def supersede_candidates(facts: DataFrame, bucket: list[str], least: float = 0.85, k: int = 8, decide: Callable[[DataFrame], DataFrame] | None = None, siblings: DataFrame | None = None) -> DataFrame:
+    """For each fact the k nearest others on the index scale, without its siblings (fact_id, sibling_id: facts of the same source), given; decide picks among them (default:
+    the older fact of the best pair)."""
+    raw = 2 * least - 1
+    if siblings is None:
+        found = nearest(facts, bucket, raw, k)
+    else:
+        pairs = near(facts, bucket, raw, _all, PAIR).join(siblings.select(F.col("fact_id").alias("left_id"), F.col("sibling_id").alias("right_id")), ["left_id", "right_id"], "left_anti")
+        found = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter(F.col("nth") <= k).drop("nth")
+    found = found.withColumn("score", vectors.index_score(F.col("score")))
     if decide is not None:
         return decide(found)
     older = found.filter("right_id < left_id")
     return older.groupBy(F.col("left_id").alias("new_id")).agg(F.max_by("right_id", F.struct(F.round("score", 9), -F.col("right_id"))).alias("old_id"))
 
 
-def clusters(facts: DataFrame, bucket: list[str], least: float = 0.8, most: int = 6) -> DataFrame:
-    """Greedy clusters of 2..most facts in each bucket, by id: the first free fact takes its nearest free ones. Buckets are one entity's facts under one scope.
-
-    (id, embedding, bucket...) to (id, cluster), the cluster being its first fact. Null scopes are a bucket of their own."""
-
-    def group(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id")
-        ids, m = df["id"].to_numpy(), np.stack(df["embedding"].to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        free, out = np.ones(len(ids), dtype=bool), []
-        for i in range(len(ids)):
-            if free[i]:
-                s = np.where(free, np.round(m @ m[i], 9), -2)
-                s[i] = -2
-                near = [j for j in np.lexsort((ids, -s)) if s[j] >= least][: most - 1]
-                if near:
-                    for j in (i, *near):
-                        free[j] = False
-                        out.append((ids[j], ids[i]))
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    return facts.select("id", "embedding", *bucket).groupBy(*bucket).applyInPandas(group, "id long, cluster long")
+def clusters(facts: DataFrame, bucket: list[str], least: float = 0.8, most: int = 6, block: int = BLOCK) -> DataFrame:
+    """Greedy clusters of 2..most facts in each bucket, by id: the first free fact takes its nearest free ones. (id, embedding, bucket...) to (id, cluster), the cluster
+    being its first fact. Null scopes are a bucket of their own. ids are unique.
+
+    The order is kept without a pass over whole buckets: in each round, every free fact that has no lesser free fact within two links decides, as nothing before it
+    can take it or what it takes. Who is taken, has taken, or has nobody left is no longer free; links among the free ones go on to the next round."""
+    links = cut(near(facts, bucket, least, _all, PAIR, block=block).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.col("score").alias("s")))
+    taken = []
+    while not links.isEmpty():
+        first = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))  # the least within one link
+        second = links.join(first.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        heads = first.select("a", F.col("m").alias("m1")).join(second, "a").filter("m1 = a AND m = a").select("a")
+        nth = F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))
+        now = cut(links.join(heads, "a", "left_semi").withColumn("nth", nth).filter(F.col("nth") < most).select(F.col("b").alias("id"), F.col("a").alias("cluster")))
+        now = now.unionByName(now.select(F.col("cluster").alias("id"), "cluster").distinct())
+        taken.append(now)
+        gone = now.select("id")
+        links = cut(links.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else facts.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster")).limit(0)
 
 
 def prunable(facts: DataFrame, now: Column) -> DataFrame:

@@ -61,20 +61,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def chain(facts: DataFrame, edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """All facts linked to start (node) over supersede edges in either way, with their step. The frontier is empty once the chain ends."""
-    return neighbourhood_until(edges, start, most).join(facts, F.col("node") == F.col("fact_id"))
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
+    """node, step: everything that the links (src, dst) lead to from start (node), however far; step is the least number of links. Cycles end, as no node
+    is visited twice; each step joins the new nodes alone and is written to the shared folder."""
+    seen = cut(start.select("node").distinct().withColumn("step", F.lit(0)))
+    front, step = seen, 0
+    while not front.isEmpty():
+        step += 1
+        front = cut(front.select(F.col("node").alias("src")).join(links.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("step", F.lit(step)))
+        seen = cut(seen.unionByName(front)) if step % 16 == 0 else seen.unionByName(front)
+    return seen
 
 
-def neighbourhood_until(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    around, seen = both_ways(edges), cut(start.select("node", F.lit(0).alias("depth")))
-    front = seen
-    for d in range(1, most + 1):
-        front = cut(front.select(F.col("node").alias("src")).join(around, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+def chain(facts: DataFrame, links: DataFrame, start: DataFrame) -> DataFrame:
+    """facts (fact_id) that start (node) has superseded, directly or over others (step < 0), itself (0), and those that have superseded it (step > 0).
+    links: newer fact (src) to older one (dst)."""
+    older = reachable(links, start).filter("step > 0").select("node", (-F.col("step")).alias("step"))
+    newer = reachable(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start)
+    found = newer.unionByName(older).groupBy("node").agg(F.max("step").alias("step"))
+    return found.join(facts, F.col("node") == F.col("fact_id")).drop("node")
 
 
 def survivors(edges: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -82,3 +87,24 @@ def survivors(edges: DataFrame, rows: DataFrame, key: str, order: list[str]) ->
     found = cut(components(edges))
     last = found.join(rows.select(F.col(key).alias("node"), F.struct(*order).alias("o")), "node").groupBy("root").agg(F.max_by("node", "o").alias("survivor"))
     return found.join(last, "root").select("node", "survivor")
+
+
+def overview(edges: DataFrame, per_kind: int, per_node: int) -> DataFrame:
+    """The nodes of each kind (the first letter of the name) with most edges, an equal share of each, and of the edges into them at most so many a node: node, kind, src, dst
+    (null where a node has none)."""
+    ends = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).unionByName(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("degree")))
+    kind = F.substring("node", 1, 1)
+    nodes = ends.withColumn("kind", kind).withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("degree").desc(), "node"))).filter(F.col("nth") <= per_kind).select("node", "kind")
+    few = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("dst").orderBy("src"))).filter(F.col("nth") <= per_node)
+    return nodes.join(few.select("src", "dst"), F.col("node") == F.col("dst"), "left")
+
+
+def walk_facts(mentions: DataFrame, more: list[DataFrame], facts: DataFrame, found: DataFrame, seeds: DataFrame, budget: int, **options: int) -> DataFrame:
+    """fact_id, score: the open, visible facts of the highest personalised rank from seeds (node), over mentions (fact_id, entity) and more edges (src, dst), that aren't
+    found (fact_id) yet."""
+    edges = mentions.select(F.col("entity").alias("src"), F.concat(F.lit("fact:"), F.col("fact_id").cast("string")).alias("dst"))
+    for other in more:
+        edges = edges.unionByName(other.select("src", "dst"))
+    ranks = pagerank(cut(edges), seeds, **options).filter("rank > 0")
+    reached = facts.filter("valid_to IS NULL AND deleted_at IS NULL").select("fact_id", F.concat(F.lit("fact:"), F.col("fact_id").cast("string")).alias("node")).join(ranks, "node")
+    return reached.join(found.select("fact_id"), "fact_id", "left_anti").select("fact_id", F.col("rank").alias("score")).orderBy(F.round("score", 12).desc(), "fact_id").limit(budget)

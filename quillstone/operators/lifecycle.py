@@ -10,10 +10,10 @@ from quillstone.functions import scoring, temporal, text
 
 
 def snapshot(facts: DataFrame, at: Column) -> DataFrame:
-    """Facts valid at an instant, without deleted ones and without those that a fact valid then has taken in (merged_from)."""
-    valid = facts.filter(temporal.visible() & temporal.valid_at(at))
-    taken = valid.filter(F.col("merged_from").isNotNull()).select(F.col("merged_from").alias("fact_id"))
-    return valid.join(taken, "fact_id", "left_anti")
+    """Facts valid at an instant, without deleted ones and without those that a fact valid then, deleted or not, has taken in (merged_from: an array of ids)."""
+    valid = facts.filter(temporal.valid_at(at))
+    taken = valid.select(F.explode("merged_from").alias("fact_id"))
+    return valid.filter(temporal.visible()).join(taken, "fact_id", "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -64,11 +64,16 @@ def tick(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
     return out.withColumns({"reference_count": F.col("reference_count") + F.coalesce("hit", F.lit(0)), "last_used": F.when(F.col("hit").isNotNull(), now)}).drop("hit")
 
 
-def merge(facts: DataFrame, members: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """members (group, fact_id): (new facts, one a group; the members, closed now). Only open, visible members count; uses are pooled,
-    importance is the greatest less a tenth, and the interval starts with the first member."""
+def merge(facts: DataFrame, members: DataFrame, now: Column, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """members (group, fact_id): (new facts, one a group; the members, closed now). Only open, visible members count; uses are pooled, the last use is the latest,
+    importance is the greatest less a tenth, and the interval starts with the first member. The new fact names what its members are (merged_from) and, given
+    mentions (fact_id, entity), all their entities. Repeated members count once; a group without open members gives nothing."""
     own = facts.filter(F.col("valid_to").isNull() & temporal.visible()).join(members.select("group", "fact_id").distinct(), "fact_id")
-    new = own.groupBy("group").agg(F.sum("reference_count").alias("reference_count"), F.count("*").alias("n"), F.min("valid_from").alias("valid_from"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"), F.greatest(F.lit(0.0), F.max("importance") - 0.1).alias("importance"))
+    last = [F.max("last_used").alias("last_used")] if "last_used" in facts.columns else []
+    new = own.groupBy("group").agg(F.sum("reference_count").alias("reference_count"), F.count("*").alias("n"), F.min("valid_from").alias("valid_from"), F.min("confidence").alias("least_confidence"), F.max("confidence").alias("most_confidence"), F.greatest(F.lit(0.0), F.max("importance") - 0.1).alias("importance"), F.array_sort(F.collect_set("fact_id")).alias("merged_from"), *last)
+    if mentions is not None:
+        named = own.select("group", "fact_id").join(mentions, "fact_id").groupBy("group").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+        new = new.join(named, "group", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
     return new, own.withColumn("valid_to", now)
 
 

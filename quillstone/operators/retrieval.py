@@ -22,17 +22,23 @@ def nearest(rows: DataFrame, key: str, vector: list[float], k: int, where: Colum
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
-def bm25(rows: DataFrame, key: str, column: str, query: str, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score of rows that hold a term of query. Only the query's terms are exploded; lengths and counts are sums."""
+def bm25_by(rows: DataFrame, by: list[str], key: str, column: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """by, key and score of rows that hold a term of query; counts and lengths are those of the row's group (by: a few groups). Only the query's terms are exploded."""
     wanted = sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
-    docs = rows.select(key, text.terms(F.col(column)).alias("terms")).withColumn("n", F.size("terms").cast("double"))
-    whole = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    docs = rows.select(*by, key, text.terms(F.col(column)).alias("terms")).withColumn("n", F.size("terms").cast("double"))
+    whole = docs.groupBy(*by).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     tf = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("terms", _is(t))).cast("double").alias("tf")) for t in wanted)))
-    hits = docs.select(key, "n", tf.alias("t")).select(key, "n", "t.*").filter("tf > 0")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row
+    hits = docs.select(*by, key, "n", tf.alias("t")).select(*by, key, "n", "t.*").filter("tf > 0")
+    df = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))  # as many rows a group as the query has terms
+    scored = hits.join(F.broadcast(df), [*by, "term"])
+    scored = scored.join(F.broadcast(whole), by) if by else scored.crossJoin(F.broadcast(whole))  # a row a group
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    out = scored.groupBy(key).agg(F.sum(weight).alias("score"))
+    return scored.groupBy(*by, key).agg(F.sum(weight).alias("score"))
+
+
+def bm25(rows: DataFrame, key: str, column: str, query: str, k: int | None = None) -> DataFrame:
+    """key and score of rows that hold a term of query, the k best."""
+    out = bm25_by(rows, [], key, column, query)
     return out if k is None else out.orderBy(F.round("score", 9).desc(), key).limit(k)
 
 

@@ -27,16 +27,16 @@ def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(D.relates(spark, sf_dir), rich.unionByName(spark.createDataFrame([(f"n{i}",) for i in range(1, 5)], "node string"))).select("src", "dst")
 
 
-@query(", chain AS (SELECT fact_id, supersedes_id, 0 AS step FROM facts WHERE fact_id = (SELECT max(fact_id) FROM facts WHERE entity_id = 7) UNION ALL SELECT f.fact_id, f.supersedes_id, step + 1 FROM facts f JOIN chain c ON f.fact_id = c.supersedes_id) SELECT fact_id, step FROM chain")
+START = "(SELECT fact_id FROM facts WHERE entity_id = 7 ORDER BY fact_id LIMIT 1 OFFSET 5)"
+
+
+@query(f", older AS (SELECT fact_id, supersedes_id, 0 AS step FROM facts WHERE fact_id = {START} UNION ALL SELECT f.fact_id, f.supersedes_id, step - 1 FROM facts f JOIN older c ON f.fact_id = c.supersedes_id), newer AS (SELECT fact_id, 0 AS step FROM facts WHERE fact_id = {START} UNION ALL SELECT f.fact_id, step + 1 FROM facts f JOIN newer c ON f.supersedes_id = c.fact_id) SELECT fact_id, step, epoch_us(valid_from) AS began FROM (SELECT fact_id, step FROM older UNION SELECT fact_id, step FROM newer) JOIN facts USING (fact_id)")
 def supersede_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that the latest fact of an entity goes back to. The chain of one key is followed by its key, not link by link."""
+    """Everything that a fact goes back to and that goes back to it, link by link, however long."""
     f = D.facts(spark, sf_dir)
-    last = f.filter("entity_id = 7").agg(F.max("fact_id").alias("last"))
-    keyed = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id"), "event_type")
-    own = f.filter("entity_id = 7").join(keyed, "fact_id")
-    kind = own.join(F.broadcast(last), F.col("fact_id") == F.col("last")).select("event_type", F.struct("valid_from", "fact_id").alias("top"))  # one row
-    older = own.join(F.broadcast(kind), "event_type").filter(F.struct("valid_from", "fact_id") <= F.col("top"))
-    return lifecycle.intervals(older, ["event_type"], tie="fact_id").withColumn("step", (F.max("version").over(Window.partitionBy("event_type")) - F.col("version")).cast("int")).select("fact_id", "step")
+    start = f.filter("entity_id = 7").select("fact_id").orderBy("fact_id").offset(5).limit(1).select(F.col("fact_id").alias("node"))
+    links = f.filter("supersedes_id IS NOT NULL").select(F.col("fact_id").alias("src"), F.col("supersedes_id").alias("dst"))
+    return graph.chain(f, store.cut(links), start).select("fact_id", "step", F.unix_micros("valid_from").alias("began"))
 
 
 RANKS = ", ".join(f"r{i} AS (SELECT node, sum(x) AS rank FROM (SELECT 'c1' AS node, 0.15::DOUBLE AS x UNION ALL SELECT f.dst, 0.85::DOUBLE * r.rank / f.degree FROM r{i - 1} r JOIN flow f ON f.src = r.node) GROUP BY node)" for i in range(1, 21))
@@ -128,10 +128,14 @@ def intentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("intention_id"), F.when(F.col("o_orderkey") % 7 == 0, "done").when(due <= when - F.expr("INTERVAL 7 DAYS"), "expired").when(due <= when, "due").otherwise("pending").alias("state"))
 
 
-@query("SELECT event_id AS original_id, 'fact' AS original_kind, 'edit' AS reason FROM events WHERE event_id % 10 = 0", plain=True)
+@query("SELECT event_id AS original_id, 'fact' AS original_kind, 'edit' AS reason, user_id, value, event_type FROM events", plain=True)
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "events").filter("event_id % 10 = 0")
-    return lifecycle.revision(rows, "event_id", "fact", "edit").filter("get_json_object(snapshot, '$.event_id') = original_id").drop("snapshot")
+    """Snapshots of all rows appended to a revision log in two goes, and read back out of their JSON."""
+    rows, path = D.table(spark, sf_dir, "events"), store.shared_path(spark)
+    for half in (0, 1):
+        store.append(lifecycle.revision(rows.filter(F.col("event_id") % 2 == half), "event_id", "fact", "edit"), path)
+    kept = spark.read.schema("original_id long, original_kind string, reason string, snapshot string").parquet(path)
+    return kept.withColumn("s", F.from_json("snapshot", "event_id long, user_id long, value double, event_type string")).filter("s.event_id = original_id").select("original_id", "original_kind", "reason", "s.user_id", "s.value", "s.event_type")
 
 
 VEC = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, a.label, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id)"
@@ -193,14 +197,8 @@ def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.body), "").alias("text"))
 
 
-@query("SELECT lang AS bucket, string_agg('[[' || doc_id || ']]', ' ' ORDER BY doc_id) AS links FROM documents WHERE n_chars > 9000 GROUP BY 1", plain=True)
-def vault_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: F.concat(F.lit("[["), d.cast("string"), F.lit("]]")))
-    return D.table(spark, sf_dir, "documents").filter("n_chars > 9000").groupBy(F.col("lang").alias("bucket")).agg(F.array_join(links, " ").alias("links"))
-
-
 @query("SELECT lang AS bucket, '[[' || doc_id || ']]' AS link FROM documents", plain=True)
-def vault_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vault_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to all documents, written as index files in a folder a bucket, in order over the files' names and lines, and read back."""
     path = store.shared_path(spark)
     d = D.table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket"), "doc_id", F.concat(F.lit("[["), F.col("doc_id").cast("string"), F.lit("]]")).alias("link"))
@@ -225,12 +223,15 @@ def queue_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_pass(e, e.filter("event_id % 3 = 0"), "event_id")
 
 
-@query("SELECT event_id, value FROM events WHERE event_id % 2 = 0", plain=True)
+@query("SELECT event_id, value FROM events", plain=True)
 def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables written as a snapshot and read back."""
+    """Tables written as snapshots, of which the newest two stay, and the newest is read back."""
     path = store.shared_path(spark)
-    store.backup({"events": D.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select("event_id", "value")}, path)
-    return store.restore(spark, path, ["events"])["events"]
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        store.backup({"events": D.table(spark, sf_dir, "events").select("event_id", "value")}, f"{path}/{day}")
+    if store.keep_newest(spark, path, 2) != ["2024-01-01"]:
+        raise AssertionError("the oldest snapshot should go")
+    return store.restore(spark, f"{path}/2024-01-03", ["events"])["events"]
 
 
 @query("SELECT * FROM events", plain=True)
@@ -239,3 +240,8 @@ def backup_restore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.shared_path(spark)
     store.backup({"events": D.table(spark, sf_dir, "events")}, path)
     return store.restore(spark, path, ["events"])["events"]
+
+
+@query("SELECT lang AS bucket, '[[' || doc_id || ']]' AS link FROM documents", plain=True)
+def vault_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault_index(spark, sf_dir)

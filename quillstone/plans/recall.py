@@ -22,7 +22,7 @@ PROBE = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
 COS = f"list_cosine_similarity(embedding, {PROBE})"
 
 
-@query("SELECT fact_id, entity_id, category, importance FROM facts f, params WHERE deleted_at IS NULL AND valid_from <= t_at AND (valid_to IS NULL OR valid_to > t_at) AND NOT EXISTS (SELECT 1 FROM facts s WHERE s.merged_from = f.fact_id AND s.deleted_at IS NULL AND s.valid_from <= t_at AND (s.valid_to IS NULL OR s.valid_to > t_at))")
+@query("SELECT fact_id, entity_id, category, importance FROM facts f, params WHERE deleted_at IS NULL AND valid_from <= t_at AND (valid_to IS NULL OR valid_to > t_at) AND fact_id NOT IN (SELECT unnest(merged_from) FROM facts, params WHERE valid_from <= t_at AND (valid_to IS NULL OR valid_to > t_at))")
 def fact_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.snapshot(D.facts(spark, sf_dir), D.at()).select("fact_id", "entity_id", "category", "importance")
 
@@ -86,7 +86,7 @@ SELECT fact_id, sources, round(CAST(blended AS DOUBLE), 6) AS score FROM scored
 @query(RECALL)
 def recall_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector and full-text lists, fused, widened by siblings, filtered, blended, cut to the best."""
-    facts = D.facts(spark, sf_dir).cache()
+    facts = D.facts(spark, sf_dir)
     valid = facts.filter(temporal.visible() & temporal.valid_at(D.at()))
     own = scope.allows({"project_id": "p1"}, "filter", ("project_id",))
     near = retrieval.nearest(D.with_vectors(spark, sf_dir, valid.filter(own)), "fact_id", _probe(spark, sf_dir), 60)

@@ -111,12 +111,13 @@ def event_time_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("fact_id", "valid_from").join(n, "fact_id").select("fact_id", F.unix_micros(temporal.closes_at(F.col("valid_from"), F.col("new_from"))).alias("closed"))
 
 
-@query("SELECT f.fact_id, CASE WHEN m.n > 0 THEN 'merged' WHEN s.n > 0 THEN 'superseded' ELSE 'open' END AS evidence FROM facts f LEFT JOIN (SELECT merged_from AS id, count(*) AS n FROM facts GROUP BY 1) m ON f.fact_id = m.id LEFT JOIN (SELECT supersedes_id AS id, count(*) AS n FROM facts GROUP BY 1) s ON f.fact_id = s.id")
+@query("SELECT f.fact_id, CASE WHEN m.n > 0 THEN 'merged' WHEN s.n > 0 THEN 'superseded' ELSE 'open' END AS evidence FROM facts f LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT unnest(merged_from) AS id FROM facts) GROUP BY 1) m ON f.fact_id = m.id LEFT JOIN (SELECT supersedes_id AS id, count(*) AS n FROM facts GROUP BY 1) s ON f.fact_id = s.id")
 def lifecycle_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.facts(spark, sf_dir)
     count = lambda c, n: f.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("fact_id")).agg(F.count("*").alias(n))
     evidence = F.when(F.col("merged") > 0, "merged").when(F.col("superseded") > 0, "superseded").otherwise("open")
-    return f.select("fact_id").join(count("merged_from", "merged"), "fact_id", "left").join(count("supersedes_id", "superseded"), "fact_id", "left").select("fact_id", evidence.alias("evidence"))
+    merged = f.select(F.explode("merged_from").alias("fact_id")).groupBy("fact_id").agg(F.count("*").alias("merged"))
+    return f.select("fact_id").join(merged, "fact_id", "left").join(count("supersedes_id", "superseded"), "fact_id", "left").select("fact_id", evidence.alias("evidence"))
 
 
 HEAD, TAIL = BM25.rsplit("\nSELECT", 1)
@@ -161,18 +162,18 @@ def inspector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.display(D.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("int")))
 
 
-@query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '  ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(p_brand, '[^A-Za-z0-9._-]+', '_', 'g') || '-' || left(sha256(p_brand), 8) AS segment,
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents('Áé ' || p_name || '  ' || p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(p_brand, '[^A-Za-z0-9._-]', '_', 'g') || '-' || left(sha256(p_brand), 8) AS segment,
 concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN 'p_brand=' || p_brand END, 'p_type=' || p_type) AS scope_key FROM part""", plain=True)
 def names_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part")
     keyed = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("p_brand"), "p_type").select("p_partkey", text.scope_key("p_brand", "p_type").alias("scope_key"))
-    return p.select("p_partkey", text.slug(F.concat_ws("  ", "p_name", "p_brand")).alias("slug"), text.path_segment(F.col("p_brand")).alias("segment")).join(keyed, "p_partkey")
+    return p.select("p_partkey", text.slug(F.concat(F.lit("Áé "), F.concat_ws("  ", "p_name", "p_brand"))).alias("slug"), text.path_segment(F.col("p_brand")).alias("segment")).join(keyed, "p_partkey")
 
 
-@query("SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x0b]+')) AS w FROM documents WHERE n_chars < 300) WHERE w <> '' GROUP BY 1, 2)".replace("\\\\", "\\"), plain=True)
+@query("SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x0b]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)".replace("\\\\", "\\"), plain=True)
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of short texts by hashed words."""
-    return vectors.hashed_terms(D.table(spark, sf_dir, "documents").filter("n_chars < 300"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    """Vectors of texts by hashed words."""
+    return vectors.hashed_terms(D.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x0b]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)".replace("\\\\", "\\"), plain=True)
@@ -188,11 +189,11 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("began"), F.unix_micros(F.col("end").cast("timestamp")).alias("ended"), "n")
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'", plain=True)
+@query("SELECT event_id, user_id, value FROM events", plain=True)
 def json_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines and read under a fixed schema."""
     path = store.shared_path(spark)
-    D.table(spark, sf_dir, "events").filter("event_type = 'click'").select("event_id", "user_id", "value").write.json(path)
+    D.table(spark, sf_dir, "events").select("event_id", "user_id", "value").write.json(path)
     return store.read_events(spark, path, "event_id long, user_id long, value double")
 
 

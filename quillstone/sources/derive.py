@@ -40,7 +40,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((i * 7 % 100) / 100.0).alias("importance"),
         (i % 13).alias("reference_count"),
         F.lag("event_id").over(own).alias("supersedes_id"),
-        F.when(i % 11 == 0, i - 1).alias("merged_from"),
+        F.when(i % 11 == 0, F.array(i - 1, i - 2)).alias("merged_from"),
         F.when(i % 3 != 0, F.concat(F.lit("p"), (i % 4).cast("string"))).alias("project_id"),
         F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("user_id"),
         F.when(i % 5 != 0, F.concat(F.lit("a"), (i % 7).cast("string"))).alias("agent_id"),
@@ -77,6 +77,28 @@ def relates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*edge("c", "c_custkey", "c_nationkey")).unionByName(s.select(*edge("s", "s_suppkey", "s_nationkey")))
 
 
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fact_id, entity): the user and the item that a fact names; some facts name none."""
+    e = table(spark, sf_dir, "events")
+    item = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    user = e.filter("event_id % 29 <> 0").select(F.col("event_id").alias("fact_id"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("entity"))
+    return user.unionByName(e.filter(item % 2 == 0).select(F.col("event_id").alias("fact_id"), F.concat(F.lit("item:"), item.cast("string")).alias("entity")))
+
+
+def since(seconds: Column) -> Column:
+    """So many seconds after the start of 2024."""
+    return F.timestamp_seconds(F.lit(1_704_067_200) + seconds)
+
+
+def named(prefix: str, key: Column) -> Column:
+    return F.concat(F.lit(prefix), key.cast("string"))
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, i = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("episode_id")).agg(F.count("*").alias("turns")), F.col("episode_id")
+    return c.select("episode_id", "turns", F.when(i % 5 != 0, named("a", i % 7)).alias("agent_id"), named("s", i % 20).alias("session_id"), F.when(i % 3 != 0, named("p", i % 4)).alias("project_id"), named("u", i % 10).alias("user_id"), since(i * 3600).alias("recorded_at"), F.when(i % 4 == 0, "provisional").otherwise("full").alias("summary_kind"))
+
+
 DOMAIN = f"""
 WITH RECURSIVE facts AS (
   SELECT event_id AS fact_id, concat_ws(' ', event_type, 'user', CAST(user_id AS VARCHAR), 'item', regexp_extract(props, '([0-9]+)', 1)) AS content,
@@ -84,7 +106,7 @@ WITH RECURSIVE facts AS (
     lead(ts) OVER own AS valid_to, ts AS recorded_at,
     CASE WHEN event_id % 17 = 0 THEN ts + INTERVAL 1 DAY END AS deleted_at, CASE WHEN event_id % 19 = 0 THEN ts + INTERVAL 2 DAY END AS pruned_at,
     (event_id % 50 + 50) / 100.0::DOUBLE AS confidence, (event_id * 7 % 100) / 100.0::DOUBLE AS importance, event_id % 13 AS reference_count,
-    lag(event_id) OVER own AS supersedes_id, CASE WHEN event_id % 11 = 0 THEN event_id - 1 END AS merged_from,
+    lag(event_id) OVER own AS supersedes_id, CASE WHEN event_id % 11 = 0 THEN [event_id - 1, event_id - 2] END AS merged_from,
     CASE WHEN event_id % 3 <> 0 THEN 'p' || (event_id % 4) END AS project_id, 'u' || (user_id % 10) AS user_id,
     CASE WHEN event_id % 5 <> 0 THEN 'a' || (event_id % 7) END AS agent_id, 's' || user_id AS session_id
   FROM events WINDOW own AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
@@ -94,5 +116,8 @@ preferences AS (SELECT event_id AS pref_id, concat_ws(':', CAST(user_id AS VARCH
 observations AS (SELECT event_id AS obs_id, 's' || user_id AS session_id, concat_ws(' ', event_type, CAST(user_id AS VARCHAR)) AS content, ts AS recorded_at, ts + INTERVAL 7 DAY AS expires_at FROM events),
 chunks AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS episode_id, turn AS position, role, text FROM conversations),
 relates AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+mentions AS (SELECT event_id AS fact_id, 'user:' || user_id AS entity FROM events WHERE event_id % 29 <> 0 UNION ALL SELECT event_id, 'item:' || CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 2 = 0),
+episodes AS (SELECT conv_id AS episode_id, count(*) AS turns, CASE WHEN conv_id % 5 <> 0 THEN 'a' || (conv_id % 7) END AS agent_id, 's' || (conv_id % 20) AS session_id, CASE WHEN conv_id % 3 <> 0 THEN 'p' || (conv_id % 4) END AS project_id,
+    'u' || (conv_id % 10) AS user_id, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600) AS recorded_at, CASE WHEN conv_id % 4 = 0 THEN 'provisional' ELSE 'full' END AS summary_kind FROM conversations GROUP BY conv_id),
 params AS (SELECT TIMESTAMP '{NOW}' AS t_now, TIMESTAMP '{AT}' AS t_at)
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text
@@ -29,23 +29,57 @@ def backup(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def keep_newest(spark: SparkSession, path: str, n: int) -> list[str]:
+    """Of the snapshot folders in path, by name, all but the newest n go: what went. Names sort by time."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(hadoop) if x.isDirectory())
+    old = names[: max(0, len(names) - n)]
+    for name in old:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return old
+
+
+def append(df: DataFrame, path: str) -> None:
+    """An append-only sink: revisions, audit events."""
+    df.write.mode("append").parquet(path)
+
+
 def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
+SAMPLE = 4096  # characters of a text that tell whether it is binary
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-16 where a byte order mark says so, else UTF-8; without the mark. Bytes that are no UTF-8 become U+FFFD."""
+    mark = F.hex(F.substring(content, 1, 3))
+    rest = F.substring(content, 3, F.octet_length(content))
+    even = F.octet_length(content) % 2 == 0
+    narrow = F.make_valid_utf8(content.cast("string"))
+    wide = F.when(mark.startswith("FFFE"), F.decode(rest, "UTF-16LE")).when(mark.startswith("FEFF") & even, F.decode(rest, "UTF-16BE"))
+    return F.coalesce(wide, F.when(mark == "EFBBBF", F.make_valid_utf8(F.substring(content, 4, F.octet_length(content)).cast("string"))).otherwise(narrow))
+
+
+def looks_binary(text: Column) -> Column:
+    """A NUL, or over one U+FFFD in twenty, among the first SAMPLE characters."""
+    sample = F.substring(text, 1, SAMPLE)
+    bad = F.length(sample) - F.length(F.replace(sample, F.lit("\ufffd"), F.lit("")))
+    return F.contains(sample, F.lit("\0")) | (bad > 0.05 * F.length(sample))
+
+
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows: path, size, sha256, text (null where it is binary), status. Text is UTF-8 without a byte order mark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    binary = F.instr(F.hex(F.substring("content", 1, 4096)), "00") % 2 == 1
-    body = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    html = F.col("path").rlike(r"\.html?$")
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.when(~binary, F.when(html, text.html_text(body)).otherwise(body)).alias("text"), F.when(binary, "unsupported").otherwise("extracted").alias("status"))
+    """Files as rows: path, size, sha256, text (null where it is binary), status. Empty files have no row, as the reader passes them over."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("body", decoded(F.col("content")))
+    binary, html = looks_binary(F.col("body")), F.col("path").rlike(r"(?i)\.html?$")
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.when(~binary, F.when(html, text.html_text(F.col("body"))).otherwise(F.col("body"))).alias("text"), F.when(binary, "unsupported").otherwise("extracted").alias("status"))
 
 
 def write_vault(docs: DataFrame, path: str) -> None:
     """Markdown with front matter, partitioned by project: docs (project_id, title, tags, body)."""
     head = F.concat(F.lit("---\ntitle: "), F.to_json(F.struct("title")), F.lit("\ntags: "), F.to_json("tags"), F.lit("\n---\n"))
-    docs.select(F.coalesce("project_id", F.lit("shared")).alias("project"), F.concat(head, "body").alias("value")).write.mode("overwrite").partitionBy("project").option("lineSep", "\n\0\n").text(path)
+    docs.select(text.path_segment(F.coalesce("project_id", F.lit("shared"))).alias("project"), F.concat(head, "body").alias("value")).write.mode("overwrite").partitionBy("project").option("lineSep", "\n\0\n").text(path)
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:

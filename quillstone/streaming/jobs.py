@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.sources.store import cut, shared_path
 
@@ -22,17 +23,21 @@ def bucket_counts(spark: SparkSession, path: str, schema: str, width: str = "1 d
     return spark.read.parquet(out).groupBy("bucket", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def sessions(spark: SparkSession, path: str, schema: str, gap: str = "30 minutes") -> DataFrame:
-    """Gap sessions of users from a stream, in one append."""
+def sessions(spark: SparkSession, path: str, schema: str, gap: str = "30 minutes", files: int = 8) -> DataFrame:
+    """Gap sessions of users over a stream of files. Each micro-batch appends the sessions of its own rows, so no state grows and no late row is dropped; sessions of several
+    batches that meet are joined where they are read."""
     out = shared_path(spark)
-    stream = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "3650 days")
-    found = stream.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n").write.mode("overwrite").parquet(out)
+    def add(batch: DataFrame, number: int) -> None:
+        found = batch.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
+        found.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    found.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}-marks").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}-marks").trigger(availableNow=True).start().awaitTermination()
+    own = Window.partitionBy("user_id").orderBy("start", "end")
+    parts = spark.read.parquet(out).withColumn("before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(F.col("before") >= F.col("start"), 0).otherwise(1)
+    return parts.withColumn("nth", F.sum(opens).over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("nth")
 
 
 def queue_pass(queue: DataFrame, done: DataFrame, key: str) -> DataFrame:

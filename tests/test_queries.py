@@ -43,4 +43,8 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
-        assert out.count() >= 0
+        assert name in BRUTE_FORCE and out.count() > 0
+
+
+#: Queries without SQL: test_rules holds their operators against brute force.
+BRUTE_FORCE = ["fact_clusters", "extraction_groups"]

@@ -1,12 +1,16 @@
 """Closed-form values and invariants of the rules."""
 
+import hashlib
 import math
+import random
 from itertools import product
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import scope, scoring, temporal, text, vectors
-from quillstone.operators import chunking, consolidate, graph, lifecycle
+from quillstone.operators import chunking, consolidate, cycle, graph, lifecycle
 from quillstone.sources import derive as D
 from quillstone.sources import store
 
@@ -67,14 +71,145 @@ def test_rank_falls_with_distance(spark):
     assert ranks["b"] > ranks["c"] > ranks["d"] > 0
     assert {r.node: r.root for r in graph.components(edges).collect()} == dict.fromkeys("abcd", "a")
     facts = spark.createDataFrame([(x,) for x in "abcd"], "fact_id string")
-    assert {r.fact_id: r.depth for r in graph.chain(facts, edges, spark.createDataFrame([("b",)], "node string")).collect()} == {"a": 1, "b": 0, "c": 1, "d": 2}
-
-
-def test_clusters_keep_to_their_bucket_and_size(spark):
-    rows = [(i, [1.0, 0.001 * i], None if i % 2 else "p") for i in range(20)]
-    got = consolidate.clusters(spark.createDataFrame(rows, "id long, embedding array<double>, project_id string"), ["project_id"], 0.8, 6).toPandas()
-    assert got.groupby("cluster").id.agg(["size"])["size"].max() <= 6
-    assert (got.id % 2 == got.cluster % 2).all() and len(got) == 20
+    assert {r.fact_id: r.step for r in graph.chain(facts, edges, spark.createDataFrame([("b",)], "node string")).collect()} == {"a": 1, "b": 0, "c": -1, "d": -2}
+
+
+def test_long_chains_and_cycles_end(spark):
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(100, 101), (101, 100)], "src long, dst long")
+    facts = spark.range(200).withColumnRenamed("id", "fact_id")
+    start = lambda n: spark.createDataFrame([(n,)], "node long")
+    assert {r.fact_id: r.step for r in graph.chain(facts, links, start(20)).collect()} == {i: i - 20 for i in range(41)}
+    assert {r.fact_id for r in graph.chain(facts, links, start(100)).collect()} == {100, 101}
+    assert graph.chain(facts, links, start(150)).count() == 1
+
+
+def vectors_of(seed, n, dim=6, near=0.5):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(max(1, n // 6), dim))
+    v = centres[r.integers(0, len(centres), n)] + near * r.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def brute_pairs(rows, least):
+    """(id, other) to cosine of all pairs of a bucket, both ways round."""
+    out = {}
+    for i, v, p in rows:
+        for j, w, q in rows:
+            if i != j and p == q and np.linalg.norm(v) > 0 and np.linalg.norm(w) > 0 and (s := round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9)) >= least:
+                out[i, j] = s
+    return out
+
+
+def bucket_rows(seed, n=120):
+    rows = [(i, v.tolist(), None if i % 3 == 0 else f"p{i % 3}") for i, v in enumerate(vectors_of(seed, n))]
+    return rows + [(n, [0.0] * 6, None), (n + 1, rows[0][1], None), (n + 2, rows[0][1], "alone")]
+
+
+VECTORS = "id long, embedding array<double>, project_id string"
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_pairs_are_all_pairs(spark, block):
+    rows = bucket_rows(1)
+    df = spark.createDataFrame(rows, VECTORS)
+    for least in (0.9, 0.5, -0.2):
+        want = brute_pairs(rows, least)
+        got = consolidate.near(df, ["project_id"], least, consolidate._all, consolidate.PAIR, block=block).collect()
+        assert {(r.left_id, r.right_id): r.score for r in got} == pytest.approx(want) and len(got) == len(want)
+    best = {}
+    for (i, j), s in brute_pairs(rows, 0.3).items():
+        best.setdefault(i, []).append((-s, j))
+    got = consolidate.nearest(df, ["project_id"], 0.3, 4, block=block).collect()
+    assert {(r.left_id, r.right_id) for r in got} == {(i, j) for i, others in best.items() for _, j in sorted(others)[:4]}
+    sided = consolidate.nearest(df.withColumn("side", (F.col("id") % 2).cast("int")), ["project_id"], 0.3, 1000, sided=True, block=block).collect()
+    assert {(r.left_id, r.right_id) for r in sided} == {(i, j) for i, j in brute_pairs(rows, 0.3) if i % 2 == 0 and j % 2 == 1}
+    assert consolidate.near(df.limit(0), ["project_id"], 0.5, consolidate._all, consolidate.PAIR).isEmpty()
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_clusters_are_the_greedy_pass(spark, block):
+    for seed, most in ((2, 6), (3, 3)):
+        rows = bucket_rows(seed)
+        near, free, want = brute_pairs(rows, 0.8), {r[0] for r in rows}, {}
+        for i in sorted(free):
+            if i in free and (others := sorted((-near[i, j], j) for j in free if (i, j) in near)[: most - 1]):
+                for j in (i, *(j for _, j in others)):
+                    free.remove(j)
+                    want[j] = i
+        got = {r.id: r.cluster for r in consolidate.clusters(spark.createDataFrame(rows, VECTORS), ["project_id"], 0.8, most, block=block).collect()}
+        assert got == want and len(want) > 30
+
+
+def test_fresh_facts_are_the_ordered_pass(spark):
+    rows = bucket_rows(4)
+    new, live = [r for r in rows if r[0] % 4], [r for r in rows if r[0] % 4 == 0]
+    near, kept = brute_pairs(rows, 0.85), []
+    for i, _, _ in new:
+        if not any((i, j) in near for j in [*kept, *(x[0] for x in live)]):
+            kept.append(i)
+    frame = lambda x: spark.createDataFrame(x, VECTORS)
+    assert sorted(r.id for r in consolidate.fresh(frame(new), frame(live), ["project_id"], 0.85).collect()) == kept
+    assert 5 < len(kept) < len(new)
+
+
+def test_promotion_and_siblings(spark):
+    v = [[1.0, 0.0], [0.99, 0.05], [0.0, 1.0], [0.02, 1.0]]
+    facts = spark.createDataFrame([(i, x, "p", 0.9 if i else 0.95, None, None) for i, x in enumerate(v)], "id long, embedding array<double>, project_id string, importance double, valid_to timestamp, deleted_at timestamp")
+    insights = spark.createDataFrame([(100, [1.0, 0.01], "p")], VECTORS)
+    new, support = cycle.promote(facts, insights, ["project_id"])
+    assert [r.id for r in new.collect()] == [2]
+    assert {(r.insight_id, r.fact_id) for r in support.collect()} == {(100, 0), (100, 1), (2, 3)}
+    pairs = facts.select("id", "embedding", "project_id")
+    plain = {(r.new_id, r.old_id) for r in consolidate.supersede_candidates(pairs, ["project_id"]).collect()}
+    apart = spark.createDataFrame([(1, 0), (0, 1)], "fact_id long, sibling_id long")
+    assert plain == {(1, 0), (3, 2)} and {(r.new_id, r.old_id) for r in consolidate.supersede_candidates(pairs, ["project_id"], siblings=apart).collect()} == {(3, 2)}
+    chosen = consolidate.supersede_candidates(pairs, ["project_id"], decide=lambda found: found.groupBy("left_id").agg(F.max("score").alias("s")).filter("s > 0.9"))
+    assert chosen.count() == 4
+
+
+def test_packing_is_the_greedy_fold(spark):
+    r = random.Random(3)
+    rows = [(e, p, r.randint(1, 90)) for e in range(9) for p in range(r.randint(0, 30))] + [(50, 0, 500), (50, 1, 1)]
+    want = {}
+    for e in {x[0] for x in rows}:
+        group = used = 0
+        for _, p, n in sorted(x for x in rows if x[0] == e):
+            if p and used + n > 120:
+                group, used = group + 1, 0
+            used += n
+            want[e, p] = group
+    r.shuffle(rows)
+    got = consolidate.packed(spark.createDataFrame(rows, "episode_id long, position long, tokens long"), 120).collect()
+    assert {(x.episode_id, x.position): x.group for x in got} == want
+
+
+def test_cycle_stops_at_its_deadline(spark):
+    t = cycle.Tables(D.facts(spark, SF), D.episodes(spark, SF).withColumn("summary", F.lit(None).cast("string")), D.chunks(spark, SF), D.mentions(spark, SF))
+    ticks = iter([0, 1, 2, 9, 9, 9])
+    passes = [(n, lambda t, now, hooks: t) for n in "abcd"]
+    assert cycle.run(t, D.now(), deadline_s=5, passes=passes, clock=lambda: next(ticks)).done == ("a", "b")
+    hooks = cycle.Hooks(extract=lambda chunks: chunks.select("chunk_id", F.lit(0).alias("nth"), F.upper("text").alias("content")), relate=lambda f, m: f.select(F.lit("x").alias("src"), F.lit("x").alias("dst"), F.lit(1.0).alias("confidence")))
+    done = cycle.run(t, D.now(), hooks, passes=[p for p in cycle.PASSES if p[0] in ("extraction", "relations")])
+    assert done.extracted.count() == D.chunks(spark, SF).count() and done.relations.isEmpty()
+
+
+def test_long_texts_are_summarised_in_parts(spark):
+    body = " ".join(f"w{i}" for i in range(40_000))
+    texts = spark.createDataFrame([(1, body), (2, "short text"), (3, None), (4, "")], "id long, body string")
+    got = {r.id: r.summary for r in cycle.summarised(texts, "id", "body", 64).collect()}
+    assert got[2] == "short text" and got[4] == "" and 3 not in got and 0 < len(got[1]) <= 256
+
+
+def test_empty_state_stays_empty(spark):
+    f = D.facts(spark, SF).limit(0)
+    assert lifecycle.snapshot(f, D.at()).isEmpty() and lifecycle.supersede(f, f.select(F.col("fact_id").alias("old_id"), F.col("valid_from").alias("new_from"))).isEmpty()
+    assert lifecycle.soft_delete(f, f, D.now()).isEmpty() and lifecycle.merge(f, f.select(F.col("fact_id").alias("group"), "fact_id"), D.now())[0].isEmpty()
+    v = spark.createDataFrame([], VECTORS)
+    for op in (consolidate.duplicates, consolidate.synonyms, consolidate.clusters, consolidate.supersede_candidates):
+        assert op(v, ["project_id"]).isEmpty()
+    assert consolidate.fresh(v, v, ["project_id"]).isEmpty()
+    edges = spark.createDataFrame([], "src string, dst string")
+    assert graph.components(edges).isEmpty() and graph.pagerank(edges, spark.createDataFrame([], "node string")).isEmpty() and graph.overview(edges, 3, 3).isEmpty()
 
 
 def test_chunks_fit_and_join():
@@ -85,10 +220,50 @@ def test_chunks_fit_and_join():
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.html").write_text("<b>hi</b> there")
-    (tmp_path / "b.bin").write_bytes(b"\0\1\2")
+    files = {
+        "a.html": "<b>hi</b> there&#8217;s &#x27; &apos; &bogus; &amp;lt; &#0;".encode(), "b.bin": b"\0\1\2", "c.txt": b"P\n\0", "d.txt": "né".encode("utf-16"), "e.txt": b"\xfe\xff" + "né".encode("utf-16-be"),
+        "f.txt": b"\xef\xbb\xbfplain", "g.bin": b"ok " * 10 + b"\xff" * 3, "h.txt": b"ok " * 100 + b"\xff", "i.txt": b"", "j.txt": b"tab\tand \x01",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.status) for r in store.attachments(spark, str(tmp_path)).collect()}
-    assert got == {"a.html": ("hi there", "extracted"), "b.bin": (None, "unsupported")}
+    no = (None, "unsupported")
+    assert got == {
+        "a.html": ("hi there\u2019s ' ' &bogus; &lt; &#0;", "extracted"), "b.bin": no, "c.txt": no, "d.txt": ("né", "extracted"), "e.txt": ("né", "extracted"),
+        "f.txt": ("plain", "extracted"), "g.bin": no, "h.txt": ("ok " * 100 + "\ufffd", "extracted"), "j.txt": ("tab\tand \x01", "extracted"),
+    }
+
+
+def test_path_segments_and_slugs(spark):
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()[:8]
+    want = {"ok": "ok", "a.b_c-1": "a.b_c-1", "..": f"x-{h('..')}", ".": f"x-{h('.')}", "": f"x-{h('')}", "a//b": f"a__b-{h('a//b')}", ".a b": f"a_b-{h('.a b')}", "...": "..."}
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", text.path_segment(F.col("t")).alias("s")).collect()}
+    assert got == want
+    slugs = {"Café au lait": "cafe-au-lait", "ﬁne Å": "fine-a", "日本": "", "--x--": "x", "a" * 80: "a" * 72, "word " * 30: "-".join(["word"] * 14)}
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in slugs], "t string").select("t", text.slug(F.col("t")).alias("s")).collect()}
+    assert got == slugs
+
+
+def test_kinds_and_speakers(spark):
+    r = spark.range(1).select(*(text.primary_kind(F.array(*map(F.lit, labels)), F.lit(stated), ("Fact", "Chunk")).alias(n) for n, labels, stated in (("a", ["MemoryItem", "Chunk"], None), ("b", ["X"], None), ("c", ["Fact"], "insight"))), text.speaks(F.lit("USER: hi")).alias("d"), text.speaks(F.lit("hi\nUSER: x")).alias("e")).first()
+    assert tuple(r) == ("chunk", "unknown", "insight", True, False)
+
+
+def test_malformed_lines_fail(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):
+        store.read_events(spark, str(tmp_path), "a long").collect()
+
+
+def test_sessions_join_over_batches(spark, tmp_path):
+    for i, minutes in enumerate([[0, 20, 200], [10, 45, 400], [60, 230]]):
+        rows = [(m, 1) for m in minutes]
+        spark.createDataFrame(rows, "m long, user_id long").select(F.timestamp_seconds(F.col("m") * 60).alias("ts"), "user_id").coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+    from quillstone.streaming import jobs
+
+    for files in (1, 8):  # sessions that touch are one, within a batch and over batches
+        got = jobs.sessions(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/b0").schema, "30 minutes", files).collect()
+        assert sorted(r.n for r in got) == [1, 2, 5]
 
 
 def test_answer_json(spark):
