@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +131,14 @@ class Merges:
         self.inner, self.final = (np.array([vocab[s + e] for s in symbols], dtype=np.int32) for e in ("", end))
         left, right, self.made = (np.array(x, dtype=np.int32) for x in ([vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], [vocab[a + b] for a, b in merges]))
         self.pairs = Pairs(left, right, max(vocab.values()) + 1)
+        self.left, self.right = left, right
         self.of_bytes = self.pairs.get(np.repeat(self.inner, 256), np.tile(self.inner, 256)).reshape(256, 256)
 
+    @cached_property
+    def rank_of(self) -> dict[tuple[int, int], int]:
+        """Of single pairs; long words alone need it."""
+        return {p: i for i, p in enumerate(zip(self.left.tolist(), self.right.tolist()))}
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids (little-endian, 32 bits) of words of at least one byte."""
         size, out = np.fromiter(map(len, words), np.int64, len(words)), [b""] * len(words)
@@ -179,7 +185,7 @@ class Merges:
         part = self.inner[np.frombuffer(word, dtype=np.uint8)]
         part[-1] = self.final[word[-1]]
         n, first = len(part), self.pairs.get(part[:-1], part[1:]).tolist()
-        part, after, before = part.tolist(), [*range(1, n := len(word)), -1], [*range(-1, n - 1)]
+        part, after, before = part.tolist(), [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, part[i], part[i + 1]) for i, r in enumerate(first) if r < NONE]
         heapq.heapify(heap)
         while heap:
@@ -190,10 +196,8 @@ class Merges:
             part[i], part[j], after[i] = int(self.made[least]), -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
-            near = [(a, b) for a, b in ((before[i], i), (i, after[i])) if a >= 0 and b >= 0]
-            found = self.pairs.get(np.array([part[a] for a, _ in near]), np.array([part[b] for _, b in near])) if near else []
-            for (a, b), r in zip(near, map(int, found)):
-                if r < NONE:
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (r := self.rank_of.get((part[a], part[b]))) is not None:
                     heapq.heappush(heap, (r, a, part[a], part[b]))
         return [p for p in part if p >= 0]
 
