@@ -12,9 +12,11 @@ from quillstone.functions import text
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new place under spark.checkpoint.dir; where that is unset, a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/quillstone-{uuid.uuid4().hex}"
+    """A new place under spark.checkpoint.dir; where that is unset, a local one for local sessions, and an error on a cluster, whose other machines wouldn't see it."""
+    base, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/quillstone-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
