@@ -19,9 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a local one."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local session takes a local one; a cluster's files would be
+    lost to the other machines, so there it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_quillstone_dir", None) or tempfile.mkdtemp(prefix="spark-")
         spark._quillstone_dir = base
     return f"{base.rstrip('/')}/quillstone-{uuid.uuid4().hex}"
