@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillstone.llm.common import shared_table
+
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 SIGN = r"[0-9@]|(?<=[A-Za-z0-9._%+-])(?:\(at\)|\[at\]| at )(?=[A-Za-z0-9])"  # in Java's syntax as well
@@ -314,9 +317,17 @@ def labelled(docs: DataFrame, per_kind: int = PER_KIND) -> list[tuple[str, list[
                 out += [(k, text[max(0, a - 40) : b + 40]) for a, k, b in around if b - a <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([t for _, t in out], pa.string())], names=["kind", "snippet"])
 
-    found = docs.select("text").filter(F.col("text").rlike(SIGN)).mapInArrow(run, "kind int, snippet string").distinct()
-    least = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("snippet"), "snippet"))  # cut to per_kind rows before they are exchanged
-    rows = found.withColumn("nth", least).filter(F.col("nth") <= per_kind).orderBy("kind", "nth").collect()
+    found = shared_table(docs.select("text").filter(F.col("text").rlike(SIGN)).mapInArrow(run, "kind int, snippet string").distinct().withColumn("h", F.xxhash64("snippet")))
+    left, rows = {r.kind: r.n for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}, []  # a row a kind
+    wide = 4
+    while left:  # hashes are even, so those below a share of their range are about that share of the rows; a kind that has too few there is asked again
+        least = {k: int(-(2**63) + min(1.0, wide * per_kind / n) * (2**64 - 1)) for k, n in left.items()}
+        few = found.filter(reduce(lambda x, y: x | y, ((F.col("kind") == k) & (F.col("h") <= min(h, 2**63 - 1)) for k, h in least.items())))
+        nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "snippet"))  # over a few times per_kind rows of each kind
+        got = few.withColumn("nth", nth).filter(F.col("nth") <= per_kind).orderBy("kind", "nth").collect()
+        enough = {k for k, n in left.items() if sum(r.kind == k for r in got) >= min(per_kind, n)}
+        rows += [r for r in got if r.kind in enough]
+        left, wide = {k: n for k, n in left.items() if k not in enough}, 4 * wide
     return [(r.snippet, base_spans(r.snippet)) for r in rows]
 
 
