@@ -388,6 +388,16 @@ def test_marginals_are_the_sums_over_paths():
     assert np.allclose(sure[0], [sum(v for p, v in paths.items() if p[i] == best[i]) / total for i in range(4)])
 
 
+@pytest.mark.parametrize("per_kind", [3, 10**6])
+def test_sample_has_the_least_hashes_of_each_kind(spark, per_kind):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    snippets = {(kind, text[max(0, a - 40) : b + 40]) for (text,) in docs.select("text").collect() for a, kind, b in pii.base_spans(text)}
+    got = [t for t, spans in pii.labelled(docs, per_kind) if spans]
+    keyed = spark.createDataFrame(sorted(snippets), "kind int, snippet string").withColumn("h", F.xxhash64("snippet")).collect()
+    want = [r.snippet for k in range(4) for r in sorted((r for r in keyed if r.kind == k), key=lambda r: (r.h, r.snippet))[:per_kind]]
+    assert Counter(got) == Counter(want)
+
+
 def test_gradient():
     r = np.random.default_rng(0)
     t, ids, tags = pii.Tagger(), r.integers(0, 128, (2, 6)), r.integers(0, pii.TAGS, (2, 6))
