@@ -156,7 +156,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: flo
     sizes = sizes.filter("lo <> hi")  # rows of one fingerprint are one node already
     met = shared_table(rows.join(sizes.select("t", "cell", "rows", "hashes"), ["t", "cell"]))
     keyed = docs.select(*row_key("doc_id", "text"), "text").join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    held = shared_table(keyed.select("k1", "k2", sets(F.col("text"), width).alias("set")))
+    held = keyed.select("k1", "k2", sets(F.col("text"), width).alias("set"))  # stays where the keys are dealt: neither written nor exchanged again
     parts = F.greatest(F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("hashes") / cell_hashes)).cast("int")
     cut = met.withColumn("p", parts).withColumn("i", F.pmod(F.xxhash64("k1", "k2"), F.col("p")).cast("int"))
     own = cut.select("t", "cell", "p", "i", "bits", "k1", "k2", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"))
