@@ -55,11 +55,20 @@ def provisional_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.episodes(spark, sf_dir).filter("summary_kind = 'provisional'").orderBy("recorded_at", "episode_id").limit(50).select("episode_id")
 
 
-FIT = "CASE WHEN length(b) <= 256 THEN b ELSE regexp_replace(left(b, 256), '\\s\\S*\\z', '') END"
+def _fit(x: str) -> str:
+    return f"CASE WHEN length({x}) <= 256 THEN {x} ELSE regexp_replace(left({x}, 256), '\\s\\S*\\z', '') END"
+
+
+def _round(source: str) -> str:
+    """One round of map and reduce over parts of 4,800 characters."""
+    parts = f"list_transform(range(0, CAST(ceil(length(b) / 4800.0) AS BIGINT)), lambda i: {_fit('substr(b, i * 4800 + 1, 4800)')})"
+    return f"(SELECT episode_id, CASE WHEN length(b) > 4800 THEN array_to_string({parts}, chr(10)) ELSE b END AS b FROM {source})"
+
+
 BODY = "(SELECT conv_id AS episode_id, string_agg(text, chr(10) ORDER BY turn) AS b FROM conversations GROUP BY 1)"
 
 
-@query(f"SELECT episode_id, CASE WHEN summary_kind = 'provisional' THEN s END AS summary FROM episodes JOIN (SELECT episode_id, {FIT} AS s FROM {BODY}) USING (episode_id) WHERE length(s) < 4800".replace("WHERE length(s) < 4800", ""))
+@query(f"SELECT episode_id, CASE WHEN summary_kind = 'provisional' THEN s END AS summary FROM episodes JOIN (SELECT episode_id, {_fit('b')} AS s FROM {_round(_round(BODY))}) USING (episode_id)")
 def installed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provisional summaries replaced by the default summariser's, full ones untouched (here null)."""
     e = D.episodes(spark, sf_dir).withColumn("summary", F.lit(None).cast("string"))
