@@ -113,20 +113,14 @@ FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 VERDICT = ["base_failed", "kept", "class_distance", "word_distance"]
 
 
-def _figures(docs: DataFrame, *carried: Column | str) -> DataFrame:
-    """carried, FIGURES and the histograms of every document, in the shared folder, so that texts are worked on once."""
-    plain = docs.select(*carried, "text", "lang")
-    names = [c for c in plain.columns if c not in ("text", "lang")]
-    return shared_table(_repeats(_histograms(plain)).select(*names, "lang__", *FIGURES, "classes__", "common__", "known__"))
-
-
 def quality_rows(docs: DataFrame, min_words: int = 50, min_common: int = 50, **limits: float) -> DataFrame:
-    """doc_id, FIGURES and VERDICT of every document."""
-    rows = _figures(docs, "doc_id")
+    """doc_id, FIGURES and VERDICT of every document. Texts are worked on once; their figures and histograms go to the shared folder."""
+    rows = shared_table(_repeats(_histograms(docs.select("doc_id", "text", "lang"))).select("doc_id", "lang__", *FIGURES, "classes__", "common__", "known__"))
     return _judged(rows, references(rows, min_words, min_common), min_words, **limits).select("doc_id", *FIGURES, *VERDICT)
 
 
 def keep_quality(docs: DataFrame, min_words: int = 50, min_common: int = 50, **limits: float) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    rows = _figures(docs, F.struct(*docs.columns).alias("own__"))
-    return _judged(rows, references(rows, min_words, min_common), min_words, **limits).filter("kept").select("own__.*")
+    """The documents that are kept, with their own columns. Texts are worked on twice (references, verdicts), as a copy of them all in the shared folder costs more than time."""
+    refs = references(_repeats(_histograms(docs.select("text", "lang"))), min_words, min_common)
+    rows = _repeats(_histograms(docs.select(F.struct(*docs.columns).alias("own__"), "text", "lang")))
+    return _judged(rows, refs, min_words, **limits).filter("kept").select("own__.*")
