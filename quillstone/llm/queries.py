@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, count_trees, decontaminate, licenses, line_dedup, pii, quality, sharding, simhash, token_store
+from quillstone.llm import bpe, count_trees, decontaminate, fim, licenses, line_dedup, packing, pii, quality, repair, sharding, simhash, token_store
 from quillstone.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -54,5 +54,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_trees.masked_counts(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op4_licenses, op5_decontamination, op6_token_output, op7_pii, op8_simhash, op9_quality, op10_token_counts)}
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(read(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(read(spark, sf_dir, "documents"), BYTE_VOCABULARY, tokens=1024, segments=128)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(read(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_line_dedup, op4_licenses, op5_decontamination, op6_token_output, op7_pii, op8_simhash, op9_quality, op10_token_counts, op11_repair, op12_packing, op13_fim)}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op13_fim": fim.ORACLE}
