@@ -65,7 +65,7 @@ def plausible(kind: int, text: str) -> bool:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+" + AT + r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text))
     if kind == 1:
         parts = re.fullmatch(r"([0-9]+)(\.|\[\.\]| \. |-)([0-9]+)\2([0-9]+)\2([0-9]+)", text)
-        return bool(parts) and all(len(p.lstrip("0")) <= 3 and int(p or "0") <= 255 for p in parts.group(1, 3, 4, 5))
+        return bool(parts) and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts.group(1, 3, 4, 5))
     return 12 <= len(n) <= 19 and luhn(n) if kind == 2 else 9 <= len(n) <= 15
 
 
