@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run`` writes what each
-stage returns to the shared folder and reads it back for the next.
+stage returns to the shared folder and reads it back for the next; what the stage before left there is removed then.
 
 All stages: an empty table gives an empty table; other columns pass whatever their names (the last stage adds n_tokens, token_ids and decoded, and replaces columns so named);
 texts of any length are taken whole; rows may be equal in any columns, and any column may be null.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import encoded
-from quillstone.llm.common import read, shared_table
+from quillstone.llm.common import discard, read, shared_table
 from quillstone.llm.decontaminate import decontaminate
 from quillstone.llm.line_dedup import dedup_lines
 from quillstone.llm.quality import keep_quality
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, done = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir))
+        discard(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

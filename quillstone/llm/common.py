@@ -34,7 +34,17 @@ def shared_table(df: DataFrame, **options: object) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of shared_table() from the shared folder. What was made of them must have been written itself, so that nothing reads them again, not even for a lost executor."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:

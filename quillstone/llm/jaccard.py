@@ -146,8 +146,8 @@ def cell_links(least: float):
     return stream
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: float = 0.8, cell_rows: int = 2048, cell_hashes: int = 2_000_000) -> DataFrame:
-    """Links (a, b) of the fingerprints that join all of docs' texts of similarity least or more, directly or over others.
+def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: float = 0.8, cell_rows: int = 2048, cell_hashes: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) of the fingerprints that join all of docs' texts of similarity least or more, directly or over others; and the tables in the shared folder that they are read from.
 
     marked: k1, k2 (row_key of doc_id and text), bits and sketch of each row of docs."""
     nodes = marked.filter("sketch.n > 0").groupBy("bits", F.col("sketch.set_key").alias("set_key")).agg(F.min_by(F.struct("k1", "k2", "sketch"), F.struct("k1", "k2")).alias("m"))
@@ -163,4 +163,4 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: flo
     units = own.select("t", "cell", (F.least("i", "j") * F.col("p") + F.greatest("i", "j")).alias("part"), (F.col("i") > F.col("j")).cast("int").alias("block"), "bits", "k1", "k2")
     units = units.join(held, ["k1", "k2"]).select("t", "cell", "part", "block", "bits", "set")
     ordered = units.repartition(parallelism(docs.sparkSession), "t", "cell", "part").sortWithinPartitions("t", "cell", "part", "block", "bits")
-    return ordered.mapInArrow(cell_links(least), "a long, b long")
+    return ordered.mapInArrow(cell_links(least), "a long, b long"), [met]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import ASCII_LOWER, BLANKS, parallelism, row_key, shared_table
+from quillstone.llm.common import ASCII_LOWER, BLANKS, discard, parallelism, row_key, shared_table
 
 STRIP = BLANKS.encode()
 PLACE = ["doc_id", "k1", "k2", "pos"]
@@ -113,19 +113,22 @@ def stream_runs(min_docs: int, keep_first: bool):
 
 
 def dropped_lines(docs: DataFrame, min_docs: int, keep_first: bool = False, partitions: int | None = None) -> DataFrame:
-    """A row (k1, k2, pos) for every line to drop. docs: doc_id, k1, k2, text. keep_first: the first line of each key, by document and position, stays."""
+    """A row (k1, k2, pos) for every line to drop, as a table of the shared folder. docs: doc_id, k1, k2, text. keep_first: the first line of each key, by document and position, stays."""
     spark = docs.sparkSession
     line = f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, pos int"
     lines = shared_table(docs.select("doc_id", "k1", "k2", "text").mapInArrow(line_rows, f"{line}, opens boolean"))  # ranges are sampled from this, not from the texts
     ranged = lines.repartitionByRange(partitions or parallelism(spark), *LINE[:5]).sortWithinPartitions(*LINE)
     seen = shared_table(ranged.mapInArrow(stream_runs(min_docs, keep_first), f"{line}, n long, state int"))
+    discard(lines)
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), *PLACE)
     edges = seen.filter("state = 2").withColumn("place", place)
     often = F.broadcast(edges.groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.min("place").alias("least")).filter(F.col("docs") >= min_docs))  # two keys a task
     found = seen.filter("state = 0").select("k1", "k2", "pos").unionByName(seen.filter("state = 1").join(often, ["h1", "h2"]).select("k1", "k2", "pos"))
     if keep_first:  # a key that several tasks share has a first line in each; only the very first stays
         found = found.unionByName(edges.join(often, ["h1", "h2"]).filter("place <> least").select("k1", "k2", "pos"))
-    return found
+    out = shared_table(found)
+    discard(seen)
+    return out
 
 
 @F.arrow_udf(T.BinaryType())
@@ -150,8 +153,11 @@ def kept_lines(text: str | None, bits: bytes | None) -> tuple[str, int, int]:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int, keep_first: bool = False) -> DataFrame:
-    """k1, k2, keep (compressed bitmap) of each document that loses lines."""
-    return dropped_lines(docs, min_docs, keep_first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("p")).select("k1", "k2", bitmap("p").alias("keep"))
+    """k1, k2, keep (compressed bitmap) of each document that loses lines: all that is left in the shared folder."""
+    found = dropped_lines(docs, min_docs, keep_first)
+    out = shared_table(found.groupBy("k1", "k2").agg(F.collect_set("pos").alias("p")).select("k1", "k2", bitmap("p").alias("keep")))
+    discard(found)
+    return out
 
 
 def _with_bitmaps(docs: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:

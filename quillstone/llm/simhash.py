@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.llm import jaccard
-from quillstone.llm.common import ASCII_LOWER, parallelism, row_key, shared_table
+from quillstone.llm.common import ASCII_LOWER, discard, parallelism, row_key, shared_table
 
 LOW = int("01" * 32, 2)  # the lower bit of each segment
 LINKS = "a long, b long"
@@ -186,7 +186,7 @@ def near_links(nodes: DataFrame, max_bits: int, cell_rows: int = 4096) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """bits, root of every node with a link, by alternating large and small stars; each round is written to the shared folder."""
+    """bits, root of every node with a link, by alternating large and small stars; each round is written to the shared folder, and the one before is removed."""
     spark, edges = links.sparkSession, shared_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     while True:
@@ -196,30 +196,41 @@ def components(links: DataFrame) -> DataFrame:
         large = shared_table(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = shared_table(small)
+        done, edges = edges, shared_table(small)
+        discard(done, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("bits"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("bits"), F.col("b").alias("root"))
+            out.shared_path = edges.shared_path
+            return out
         before = now
 
 
-def _labelled(docs: DataFrame, width: int, max_bits: int, similar_width: int | None = None, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, k1, k2, bits) of docs, and (bits, root, least doc_id, head row) of the distinct fingerprints. With similar_width, texts with that
-    similarity on shingles of so many words are linked as well."""
+def _labelled(docs: DataFrame, width: int, max_bits: int, similar_width: int | None = None, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, bits) of docs, (bits, least doc_id, head row) of the distinct fingerprints, and (bits, root) of those with links, all in the shared folder. With
+    similar_width, texts with that similarity on shingles of so many words are linked as well."""
     sketch = [] if similar_width is None else [jaccard.sketches(F.col("text"), similar_width).alias("sketch")]
     marked = shared_table(docs.select("doc_id", *row_key("doc_id", "text"), fingerprints(F.col("text"), width).alias("bits"), *sketch))
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = shared_table(marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(head).alias("head")))
-    links = near_links(nodes.select("bits"), max_bits)
+    links, met = near_links(nodes.select("bits"), max_bits), []
     if similar_width is not None:
-        links = links.unionByName(jaccard.similar_links(docs, marked, similar_width, similarity))
+        similar, met = jaccard.similar_links(docs, marked, similar_width, similarity)
+        links = links.unionByName(similar)
     found = components(links)
-    return marked, nodes.join(found, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    discard(*met)
+    return marked, nodes, found
+
+
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with their root; those without links are their own."""
+    return nodes.join(found, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
 
 
 def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id of the component) of every document."""
-    marked, nodes = _labelled(docs, width, max_bits)
+    marked, nodes, found = _labelled(docs, width, max_bits)
+    nodes = _rooted(nodes, found)
     lowest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.select("bits", "root").join(lowest, "root").select("bits", "component_id")
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -227,7 +238,9 @@ def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 3) -> Da
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, similar_width: int | None = None, similarity: float = 0.8) -> DataFrame:
     """One document of each component: the least doc_id (null last; among equal ids one text), once if rows are equal in doc_id and text."""
-    heads = _labelled(docs, width, max_bits, similar_width, similarity)[1].groupBy("root").agg(F.min("head").alias("h")).select(F.col("h.k1").alias("k1__"), F.col("h.k2").alias("k2__"))
+    marked, nodes, found = _labelled(docs, width, max_bits, similar_width, similarity)
+    heads = shared_table(_rooted(nodes, found).groupBy("root").agg(F.min("head").alias("h")).select(F.col("h.k1").alias("k1__"), F.col("h.k2").alias("k2__")))
+    discard(marked, nodes, found)  # the heads' keys are all that is left in the shared folder
     keyed = docs.select("*", *(k.alias(f"{n}__") for k, n in zip(row_key("doc_id", "text"), ("k1", "k2"))))
     kept = keyed.join(heads, ["k1__", "k2__"], "left_semi")
     return kept.withColumn("nth__", F.row_number().over(Window.partitionBy("k1__", "k2__").orderBy("k1__"))).filter("nth__ = 1").select(*docs.columns)

@@ -252,6 +252,79 @@ def test_planted_licenses(spark):
     assert {i: found.get(i, set()) for i in want} == want
 
 
+#: Texts as they stand in the wild, written apart from the operator's wordings, and what they are.
+WILD = [
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy", {"GPL-3.0"}),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", {"Apache-2.0"}),
+    ("/*\n * zlib.h\n *\n *  This software is provided 'as-is', without any express or implied\n *  warranty.  In no event will the authors be held liable for any damages\n *  arising from the use of this software.\n *\n *  Permission is granted to anyone to use this software for any purpose,\n *  including commercial applications, and to alter it and redistribute it\n *  freely, subject to the following restrictions:\n */", {"Zlib"}),
+    ("// This program is free software; you can redistribute it and/or modify\n// it under the terms of version 2 of the GNU General Public License as\n// published by the Free Software Foundation.", {"GPL-2.0-only"}),
+    ("Copyright (c) 2004, A. N. Other\n\nPermission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", {"ISC"}),
+    ("This is not released under the MIT License. All rights reserved.", set()),
+    ("It was never licensed under the MIT License.\nThe old code, however, was\nreleased under the MIT License.", {"MIT"}),
+    ("GNU General Public License, version 4 doesn't exist; see the free software list.", set()),
+]
+
+
+@pytest.mark.parametrize("text, want", WILD)
+def test_licenses_in_the_wild(spark, text, want):
+    ranker = licenses.Ranker(licenses.TEMPLATES)
+    assert {name for start, _, block in licenses.blocks(text) for name, *_, sure in ranker.licenses(block, 0, licenses.Line(text), start) if sure} == want
+
+
+def test_long_blocks_and_gaps_follow_the_same_rules():
+    """Neither a block's length nor that of a line or a list of names changes an answer."""
+    ranker, r = licenses.Ranker(licenses.TEMPLATES), random.Random(1)
+    mit = licenses.TEMPLATES["MIT"][-1].split()
+    for times in (1, 80):
+        words = mit * times
+        r.shuffle(words)
+        assert not ranker.licenses(" ".join(words), 1)[0][4]
+        one_less = " ".join(mit[:40] + mit[41:])
+        assert [x[0] for x in ranker.licenses(" ".join([one_less, *(f"w{i}" for i in range(90 * times))]), 1) if x[4]] == ["MIT"]
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][-1].replace("*", " ".join(f"Name{i}" for i in range(3000)))
+    for text in (bsd, bsd + " " + " ".join(f"w{i}" for i in range(600)), "x " * 9000 + bsd + " y" * 9000):
+        assert {x[0] for start, _, block in licenses.blocks(text) for x in ranker.licenses(block, 0, licenses.Line(text), start) if x[4]} == {"BSD-3-Clause"}
+
+
+def test_difference_is_the_cheapest_alignment():
+    def brute(words, wanted):
+        best = None
+        for a in range(len(words) + 1):
+            for b in range(a, len(words) + 1):
+                row = [*range(len(wanted) + 1)]
+                for w in words[a:b]:
+                    new = [row[0] + 1]
+                    for j, t in enumerate(wanted):
+                        new.append(min(new[j] + 1, row[j + 1] + 1, row[j] if w == t else 10**6))
+                    row = new
+                best = row[-1] if best is None else min(best, row[-1])
+        return best
+
+    r = random.Random(9)
+    for _ in range(30):
+        wanted, words = r.choices("abcd", k=6), r.choices("abcd", k=r.randrange(9))
+        assert licenses.Template("x", " ".join(wanted), 3).difference(words) == brute(words, wanted)
+
+
+def test_number_parts_of_any_length():
+    """Leading zeros don't count; longer parts than Python reads as numbers fail no text."""
+    assert pii.base_spans("1.2.3." + "0" * 5000) == [(0, 1, 5006)] and pii.base_spans("1.2.3." + "7" * 5000) == []
+
+
+def test_intermediates_go(spark, tmp_path):
+    """What a stage leaves in the shared folder, beside its output, is keys of what stays and bitmaps of what goes."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    tables = lambda: {x for x in os.listdir(base) if x.startswith("quillstone-")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage, most in (("line_dedup", 1), ("simhash_near_dedup", 1)):
+        before = tables()
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, SF).write.parquet(f"{tmp_path}/{stage}")
+        assert len(tables() - before) == most
+    before = tables()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(tables() - before) == 3  # beside those, the text that the last stage reads
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -756,7 +829,7 @@ def test_similar_links_over_parts(spark, rows):
     texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(0, 200, 8)] + ["a b", "A  b", "", " "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marked = df.select("doc_id", *row_key("doc_id", "text"), F.col("doc_id").alias("bits"), jaccard.sketches(F.col("text"), 5).alias("sketch"))
-    links = jaccard.similar_links(df, marked, cell_rows=rows)
+    links, _ = jaccard.similar_links(df, marked, cell_rows=rows)
     got = {x.bits: x.root for x in simhash.components(links).collect()}
     assert {got.get(i, i) for i in range(25)} == {0} and got[26] == 25 and 27 not in got and 28 not in got
 
