@@ -97,9 +97,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def label(kind: Column, content: Column, key: Column) -> Column:
-    """A short label for a row of any kind."""
-    return F.when(kind.isin("fact", "insight", "observation", "chunk", "knowledge_chunk", "episode"), truncate(content, 80)).when(kind.isin("procedure", "research", "entity"), F.coalesce(content, key.cast("string"))).when(kind == "preference", F.concat(content, F.lit(" = "))).otherwise(key.cast("string"))
+def label(kind: Column, content: Column, key: Column, value: Column | None = None) -> Column:
+    """A short label for a row of any kind; value: a preference's. Without a name, entities fall to their id; null contents and values count as empty."""
+    body, plain = F.coalesce(content, F.lit("")), key.cast("string")
+    said = F.lit("") if value is None else F.coalesce(value, F.lit(""))
+    return F.when(kind.isin("fact", "insight", "observation", "chunk", "knowledge_chunk", "episode"), truncate(body, 80)).when(kind == "entity", F.coalesce(content, plain)).when(kind == "procedure", body).when(kind.isin("research", "knowledge_document"), F.coalesce(content, truncate(said, 80))).when(kind == "preference", F.concat(body, F.lit(" = "), truncate(said, 40))).otherwise(plain)
 
 
 def primary_kind(labels: Column, stated: Column, known: tuple[str, ...]) -> Column:

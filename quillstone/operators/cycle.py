@@ -7,6 +7,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def summarised(texts: DataFrame, key: str, column: str, tokens: int, hook: Calla
 
 def install_summaries(episodes: DataFrame, summaries: DataFrame) -> DataFrame:
     """Provisional or missing summaries are replaced; full ones stay. episodes (episode_id, summary, summary_kind), summaries (episode_id, summary)."""
-    new = summaries.select("episode_id", F.col("summary").alias("new"))
+    new = summaries.groupBy("episode_id").agg(F.min("summary").alias("new"))  # of several, one
     out = episodes.join(new, "episode_id", "left")
     hit = F.col("new").isNotNull() & ~F.col("summary_kind").eqNullSafe(F.lit("full"))
     return out.withColumns({"summary": F.when(hit, F.col("new")).otherwise(F.col("summary")), "summary_kind": F.when(hit, "full").otherwise(F.col("summary_kind"))}).drop("new")
@@ -112,25 +113,27 @@ def requeued(jobs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def bounded_delete(rows: DataFrame, where: Column, order: list[Column | str], most: int) -> DataFrame:
-    """rows without the first so many that where holds for, by order (key columns last, so that it is total)."""
-    go = rows.filter(where).orderBy(*order).limit(most)
-    return rows.join(F.broadcast(go.select(*(c for c in rows.columns if c in order))), [c for c in rows.columns if c in order], "left_anti")  # at most so many
+    """rows without the first so many that where holds for, by order (names or Columns; key columns last, so that it is total). Nulls in it are values like others."""
+    key = [c for c in rows.columns if c in order]
+    go = rows.filter(where).orderBy(*order).limit(most).select(*(F.col(c).alias(f"{c}__") for c in key))  # at most so many
+    return rows.join(F.broadcast(go), reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in key)), "left_anti")
 
 
 def moved_intentions(rows: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Intentions (intention_id, status, due_at, valid_to, completed_at, fired, last_fired_at) after changes (intention_id, change: completed, cancelled or fired), and with pending ones
-    expired that are overdue by seven days. A fired one stays pending."""
-    change = F.col("change")
-    out = rows.join(changes.select("intention_id", "change"), "intention_id", "left")
-    ends, fires = change.isin("completed", "cancelled"), change.eqNullSafe(F.lit("fired"))
+    expired that are overdue by seven days. A fired one stays pending. Several changes of one count together: each firing, then its end, completed before cancelled."""
+    change, named = F.col("change"), F.col("change").isin("completed", "cancelled")
+    once = changes.groupBy("intention_id").agg(F.coalesce(F.max(F.when(named, change)), F.max(change)).alias("change"), F.count_if(change == "fired").cast("int").alias("firings"))  # "completed" is the greater name
+    out = rows.join(once, "intention_id", "left")
+    ends, fires = change.isin("completed", "cancelled"), F.coalesce(F.col("firings"), F.lit(0)) > 0
     expires = change.isNull() & (F.col("status") == "pending") & (F.col("due_at") <= now - F.expr("INTERVAL 7 DAYS"))
     return out.withColumns({
         "completed_at": F.when(change == "completed", now).otherwise(F.col("completed_at")),
         "valid_to": F.when(ends | expires, now).otherwise(F.col("valid_to")),
-        "fired": F.col("fired") + fires.cast("int"),
+        "fired": F.col("fired") + F.coalesce(F.col("firings"), F.lit(0)),
         "last_fired_at": F.when(fires, now).otherwise(F.col("last_fired_at")),
         "status": F.when(ends, change).when(expires, "expired").otherwise(F.col("status")),
-    }).drop("change")
+    }).drop("change", "firings")
 
 
 @dataclass(frozen=True)

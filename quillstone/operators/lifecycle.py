@@ -1,4 +1,7 @@
-"""State as immutable versions: (state, change) to new state. All passes are safe to repeat."""
+"""State as immutable versions: (state, change) to new state. All passes are safe to repeat.
+
+Keys of the state are unique; several changes of one key are folded first, as each pass says, so no row multiplies. Null keys match nothing: rows of the state stay as they are, changes are left
+out (upsert: they come in as rows of their own). Empty tables on either side are no special case; columns of the state pass whatever their names, those of the changes that aren't named stay out."""
 
 from __future__ import annotations
 
@@ -16,9 +19,19 @@ def snapshot(facts: DataFrame, at: Column) -> DataFrame:
     return valid.filter(temporal.visible()).join(taken, "fact_id", "left_anti")
 
 
+def folded(changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Changes once a key: of each column the last value that isn't null, by order (else by the changes' own columns, so that any order of rows gives the same). Null keys stay rows of their own."""
+    others = [c for c in changes.columns if c != key]
+    place = F.struct(*(order or sorted(others))) if others else F.lit(0)
+    # the last value of each column: null places lose, so a null never takes a value's place
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in others]
+    own = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(*last) if last else changes.filter(F.col(key).isNotNull()).distinct()
+    return own.select(*changes.columns).unionByName(changes.filter(F.col(key).isNull()))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows win column by column where they have a value; keys on either side stay."""
-    o, n = old.alias("o"), new.alias("n")
+    """New rows win column by column where they have a value; keys on either side stay. Several new rows of a key count as one (folded)."""
+    o, n = old.alias("o"), folded(new, key).alias("n")
     columns = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}").alias(c) for c in old.columns]
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*columns)
 
@@ -78,16 +91,18 @@ def merge(facts: DataFrame, members: DataFrame, now: Column, mentions: DataFrame
 
 
 def new_versions(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """state (key, version, value, live) and changes (key, value): live rows with a change retire, and a copy of the next version carries it."""
-    n = changes.select(key, F.col("value").alias("to"), F.lit(True).alias("hit"))
+    """state (key, version, value, live) and changes (key, value): live rows with a change retire, and a copy of the next version carries it; of several values the greatest, null if there is no other."""
+    n = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("value").alias("to"), F.lit(True).alias("hit"))
     both = state.join(n, key, "left").withColumn("hit", F.col("live") & F.col("hit").isNotNull())
     rows = F.when(F.col("hit"), F.array(F.struct("version", "value", F.lit(False).alias("live")), F.struct((F.col("version") + 1).alias("version"), F.col("to").alias("value"), F.lit(True).alias("live")))).otherwise(F.array(F.struct("version", "value", "live")))
     return both.select(key, F.explode(rows).alias("r")).select(key, "r.*")
 
 
 def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Sets the columns whose flag set_<column> is true, to null too; keys that old lacks are left out."""
-    o, n = old.alias("o"), changes.alias("n")
+    """Sets the columns whose flag set_<column> is true, to null too; keys that old lacks are left out. Of several changes of a key and column the greatest value is set, null if there is no other."""
+    flag = lambda c: F.coalesce(F.col(f"set_{c}"), F.lit(False))
+    sets = [x for c in columns for x in (F.max(F.when(flag(c), F.col(c))).alias(c), F.bool_or(flag(c)).alias(f"set_{c}"))]
+    o, n = old.alias("o"), changes.groupBy(key).agg(*sets).alias("n")
     new = [F.when(F.coalesce(F.col(f"n.set_{c}"), F.lit(False)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in columns else F.col(f"o.{c}") for c in old.columns]
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "left").select(*new)
 

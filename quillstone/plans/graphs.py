@@ -39,6 +39,47 @@ def supersede_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chain(f, store.cut(links), start).select("fact_id", "step", F.unix_micros("valid_from").alias("began"))
 
 
+@query(f""", {BOTH}, once AS (SELECT DISTINCT src, dst FROM around), s1 AS (SELECT dst AS node, row_number() OVER (ORDER BY dst) AS nth, count(*) OVER () AS n FROM once WHERE src = 'n1' QUALIFY nth <= 20), f AS (SELECT node, nth, count(*) OVER () AS n FROM s1),
+hop AS (SELECT o.dst, f.nth, f.n, row_number() OVER (PARTITION BY o.src ORDER BY o.dst) AS own FROM once o JOIN f ON o.src = f.node), near AS (SELECT dst AS node, min((nth, own)) AS place FROM hop WHERE own <= greatest(8, 20 // n) GROUP BY dst),
+new AS (SELECT node, row_number() OVER (ORDER BY place, node) AS nth FROM near WHERE node <> 'n1' AND node NOT IN (SELECT node FROM s1)), room AS (SELECT greatest(0, 20 - 1 - count(*)) AS room FROM s1),
+t AS (SELECT coalesce(bool_or(nth > room), false) AS truncated FROM new, room)
+SELECT node, depth, truncated FROM (SELECT 'n1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM new, room WHERE nth <= room), t""")
+def adaptive_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node, its neighbours and theirs: the more neighbours, the fewer of each one's, and so many nodes in all."""
+    return graph.adaptive_neighbourhood(D.relates(spark, sf_dir), "n1", 20)
+
+
+LINKS = """links AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, c_acctbal AS weight FROM customer UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey + 1), 1.0 FROM customer WHERE c_custkey < (SELECT max(c_custkey) FROM customer)),
+named AS (SELECT 'c' || c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE ' ' || c_mktsegment END || (c_nationkey % 9) AS name FROM customer),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM links UNION ALL SELECT dst FROM links) GROUP BY 1),
+moves AS (SELECT node, first_value(node) OVER (PARTITION BY lower(trim(name)) ORDER BY degree DESC, node) AS surv FROM named JOIN deg USING (node))"""
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers with nations and with each other, and their names, many alike but for case and blanks."""
+    c, k = D.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    most = c.agg(F.max("c_custkey").alias("most"))
+    links = c.select(D.named("c", k).alias("src"), D.named("n", F.col("c_nationkey")).alias("dst"), F.col("c_acctbal").cast("double").alias("weight"))
+    links = links.unionByName(c.crossJoin(F.broadcast(most)).filter(k < F.col("most")).select(D.named("c", k).alias("src"), D.named("c", k + 1).alias("dst"), F.lit(1.0).alias("weight")))  # one row
+    name = F.concat(F.when(k % 2 == 0, F.upper("c_mktsegment")).otherwise(F.concat(F.lit(" "), "c_mktsegment")), (F.col("c_nationkey") % 9).cast("string"))
+    return links, c.select(D.named("c", k).alias("node"), name.alias("name"))
+
+
+@query(f", {LINKS} SELECT src, dst, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 2) AS weight FROM (SELECT coalesce(a.surv, src) AS src, coalesce(b.surv, dst) AS dst, weight FROM links LEFT JOIN moves a ON a.node = src LEFT JOIN moves b ON b.node = dst) WHERE src <> dst GROUP BY ALL")
+def entity_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities alike but for case and blanks become one, and their edges follow: parallel ones folded, loops dropped."""
+    links, named = _linked(spark, sf_dir)
+    out = graph.contracted(links, store.cut(graph.merge_moves(named, links)), {"n": F.count("*"), "weight": F.sum("weight")})
+    return out.withColumn("weight", F.round("weight", 2))
+
+
+@query(f", {LINKS} SELECT surv AS node, any_value(name) FILTER (WHERE node = surv) AS name, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE node <> surv), '') AS aliases, count(*) - 1 AS n_merged FROM named JOIN moves USING (node) GROUP BY 1")
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that stay, with the names of those that went into them."""
+    links, named = _linked(spark, sf_dir)
+    return graph.merged_entities(named, store.cut(graph.merge_moves(named, links))).withColumn("aliases", F.array_join("aliases", ","))
+
+
 RANKS = ", ".join(f"r{i} AS (SELECT node, sum(x) AS rank FROM (SELECT 'c1' AS node, 0.15::DOUBLE AS x UNION ALL SELECT f.dst, 0.85::DOUBLE * r.rank / f.degree FROM r{i - 1} r JOIN flow f ON f.src = r.node) GROUP BY node)" for i in range(1, 21))
 
 
@@ -232,16 +273,3 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     if store.keep_newest(spark, path, 2) != ["2024-01-01"]:
         raise AssertionError("the oldest snapshot should go")
     return store.restore(spark, f"{path}/2024-01-03", ["events"])["events"]
-
-
-@query("SELECT * FROM events", plain=True)
-def backup_restore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole tables written as a snapshot and read back."""
-    path = store.shared_path(spark)
-    store.backup({"events": D.table(spark, sf_dir, "events")}, path)
-    return store.restore(spark, path, ["events"])["events"]
-
-
-@query("SELECT lang AS bucket, '[[' || doc_id || ']]' AS link FROM documents", plain=True)
-def vault_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault_index(spark, sf_dir)

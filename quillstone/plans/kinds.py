@@ -232,20 +232,27 @@ def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.agg(F.count_if(ok).alias("granted"), F.count_if(~ok).alias("missing")).unpivot([], ["granted", "missing"], "answer", "n")
 
 
-LABEL = "CASE kind WHEN 'fact' THEN {t} WHEN 'insight' THEN {t} WHEN 'observation' THEN {t} WHEN 'chunk' THEN {t} WHEN 'knowledge_chunk' THEN {t} WHEN 'procedure' THEN content WHEN 'research' THEN content WHEN 'preference' THEN content || ' = ' ELSE CAST(id AS VARCHAR) END"
+CUT = "CASE WHEN length({c}) > {n} THEN left({c}, {n} - 1) || chr(8230) ELSE {c} END"
+LABEL = f"CASE WHEN kind IN ('fact', 'insight', 'observation', 'chunk', 'knowledge_chunk') THEN {CUT.format(c='content', n=80)} WHEN kind IN ('procedure', 'research') THEN content WHEN kind = 'preference' THEN content || ' = ' || {CUT.format(c='value', n=40)} ELSE CAST(id AS VARCHAR) END"
 
 
-@query(f"{ITEMS_SQL} SELECT kind, id, {LABEL.format(t='CASE WHEN length(content) > 80 THEN left(content, 79) || chr(8230) ELSE content END')} AS label FROM items WHERE content IS NOT NULL")
+@query(f"{ITEMS_SQL}, told AS (SELECT i.kind, i.id, i.content, CASE WHEN kind = 'preference' THEN repeat('v', CAST(p.pref_id % 60 AS BIGINT)) || (p.pref_id % 10) ELSE '' END AS value FROM items i LEFT JOIN preferences p ON i.kind = 'preference' AND i.id = p.pref_id) SELECT kind, id, {LABEL} AS label FROM told WHERE content IS NOT NULL")
 def item_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short label for each row, by its kind."""
-    return items(spark, sf_dir).filter("content IS NOT NULL").select("kind", "id", text.label(F.col("kind"), F.col("content"), F.col("id")).alias("label"))
+    """A short label for each row, by its kind; preferences with their value, cut at forty characters."""
+    value = F.when(F.col("kind") == "preference", F.concat(F.repeat(F.lit("v"), (F.col("id") % 60).cast("int")), (F.col("id") % 10).cast("string")))
+    return items(spark, sf_dir).filter("content IS NOT NULL").select("kind", "id", text.label(F.col("kind"), F.col("content"), F.col("id"), value).alias("label"))
 
 
-@query("""SELECT node, kind, src, dst FROM (SELECT node, kind, nth FROM (SELECT node, kind, row_number() OVER (PARTITION BY kind ORDER BY deg DESC, node) AS nth FROM (SELECT src AS node, left(src, 1) AS kind, count(*) AS deg FROM relates GROUP BY ALL UNION ALL SELECT dst, 'n', count(*) FROM relates GROUP BY ALL)) WHERE nth <= 20) n LEFT JOIN
-(SELECT src, dst FROM relates QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 10) e ON e.dst = n.node WHERE n.kind = 'n'""")
+@query("""SELECT 'node' AS part, node, kind AS other, deg AS degree, total, total > count(*) OVER () AS truncated FROM (SELECT node, kind, deg, count(*) OVER () AS total, row_number() OVER (PARTITION BY kind ORDER BY deg DESC, node) AS nth FROM (SELECT node, left(node, 1) AS kind, count(*) AS deg FROM (SELECT src AS node FROM relates UNION ALL SELECT dst FROM relates) GROUP BY ALL)) WHERE nth <= 40
+UNION ALL SELECT * FROM (SELECT DISTINCT 'edge', src, dst, NULL::BIGINT, NULL::BIGINT, false FROM relates WHERE src IN (SELECT node FROM (SELECT src AS node, row_number() OVER (PARTITION BY left(src, 1) ORDER BY count(*) DESC, src) AS nth FROM relates GROUP BY src) WHERE nth <= 40) AND dst IN (SELECT node FROM (SELECT dst AS node, row_number() OVER (ORDER BY count(*) DESC, dst) AS nth FROM relates GROUP BY dst) WHERE nth <= 40) ORDER BY src, dst LIMIT 60)""")
 def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An equal share of nodes of each kind by degree, and of the edges among them at most ten a node; here seen from the nations."""
-    return graph.overview(D.relates(spark, sf_dir), 20, 10).filter("kind = 'n'")
+    """An equal share of nodes of each kind by degree, with the number of all, and the edges with both ends among them, sixty at most."""
+    r = D.relates(spark, sf_dir)
+    kinds = r.select(F.col("src").alias("node")).union(r.select("dst")).distinct().withColumn("kind", F.substring("node", 1, 1))
+    nodes, edges = graph.overview(r, kinds, 40, 60)
+    none = F.lit(None)
+    shown = nodes.select(F.lit("node").alias("part"), "node", F.col("kind").alias("other"), "degree", "total", "truncated")
+    return shown.unionByName(edges.select(F.lit("edge").alias("part"), F.col("src").alias("node"), F.col("dst").alias("other"), none.cast("long").alias("degree"), none.cast("long").alias("total"), F.lit(False).alias("truncated")))
 
 
 WALK = ", ".join(f"r{i} AS MATERIALIZED (SELECT node, sum(x) AS rank FROM (SELECT 'user:7' AS node, 0.15::DOUBLE AS x UNION ALL SELECT f.dst, 0.85::DOUBLE * r.rank / f.degree FROM r{i - 1} r JOIN flow f ON f.src = r.node) GROUP BY node)" for i in range(1, 7))

@@ -10,6 +10,7 @@ from quillstone.functions import scoring, temporal, text
 from quillstone.operators import lifecycle
 from quillstone.plans.registry import query
 from quillstone.sources import derive as D
+from quillstone.sources import store
 
 
 @query("SELECT 'fact' AS kind, count(*) AS n FROM facts UNION ALL SELECT 'preference', count(*) FROM preferences UNION ALL SELECT 'observation', count(*) FROM observations UNION ALL SELECT 'chunk', count(*) FROM chunks UNION ALL SELECT 'document', count(*) FROM documents")
@@ -77,11 +78,13 @@ def at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT fact_id FROM (SELECT fact_id, row_number() OVER (ORDER BY fact_id) - 1 AS i, count(*) OVER () AS n FROM facts) WHERE i % CAST(ceil(n / 500.0) AS BIGINT) = 0")
 def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ceil(n/500)-th fact in order of id. Places come from counts of ranges of ids, so no task numbers the whole table."""
-    f = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id"), F.floor(F.col("event_id") / 4096).alias("range"))
-    ranges = f.groupBy("range").agg(F.count("*").alias("n"))
-    before = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    placed = f.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy("fact_id")) - 1).join(before, "range")
+    """Every ceil(n/500)-th fact in order of id: rows are dealt by ranges of ids, numbered in their part, and moved by the counts of the parts before, one row a part."""
+    f = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store.cut(f.repartitionByRange(parts, "fact_id").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # as many rows as parts
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    placed = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("fact_id")) - 1).join(F.broadcast(before), "part")
     return placed.filter((F.col("before") + F.col("nth")) % F.ceil(F.col("total") / 500.0) == 0).select("fact_id")
 
 

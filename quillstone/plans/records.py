@@ -176,12 +176,6 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hashed_terms(D.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x0b]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)".replace("\\\\", "\\"), plain=True)
-def hashed_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all texts by hashed words."""
-    return vectors.hashed_terms(D.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
-
-
 @query("WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 8 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM b) SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts) + INTERVAL 8 HOUR) AS ended, count(*) AS n FROM g GROUP BY user_id, part", plain=True)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap sessions of users over the events as a stream of files."""
@@ -197,14 +191,6 @@ def json_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_events(spark, path, "event_id long, user_id long, value double")
 
 
-@query("SELECT event_id, user_id, value FROM events", plain=True)
-def json_ingestion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events written as JSON lines and read under a fixed schema."""
-    path = store.shared_path(spark)
-    D.table(spark, sf_dir, "events").select("event_id", "user_id", "value").write.json(path)
-    return store.read_events(spark, path, "event_id long, user_id long, value double")
-
-
 @query("SELECT project, sha256(body) AS body_hash, count(*) AS n FROM (SELECT lang AS project, '---' || chr(10) || 'title: {\"title\":\"' || doc_id || '\"}' || chr(10) || 'tags: [\"' || lang || '\"]' || chr(10) || '---' || chr(10) || text AS body FROM documents WHERE text IS NOT NULL) GROUP BY ALL".replace('\\"', '"'), plain=True)
 def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as Markdown with front matter, by project, and read back."""

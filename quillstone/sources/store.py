@@ -51,24 +51,39 @@ def restore(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataF
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
-SAMPLE = 4096  # characters of a text that tell whether it is binary
+#: Characters of a text that tell whether it is binary, and the share of broken ones from which it is.
+SAMPLE, BROKEN = 4096, 0.05
+
+
+def _utf16(units: Column, low_first: bool) -> Column:
+    """Bytes after the mark as UTF-16, never failing: surrogates without their other half, and a last odd byte, become U+FFFD."""
+    digits = F.hex(units)
+    one = r"(..)(..)"
+    ordered = F.regexp_replace(digits, one, "$2$1") if low_first else digits  # four hexadecimal digits a unit, the high byte first
+    odd = F.length(digits) % 4 == 2
+    whole = F.when(odd, F.substring(ordered, F.lit(1), F.length(ordered) - 2)).otherwise(ordered)
+    high, low = r"D[89AB][0-9A-F]{2}", r"D[CDEF][0-9A-F]{2}"
+    # units are told apart by a blank after each; a half is lone if its other half isn't beside it
+    spaced = F.regexp_replace(whole, r"(....)", "$1 ")
+    mended = F.regexp_replace(F.regexp_replace(spaced, rf"{high} (?!{low} )", "FFFD "), rf"(?<!{high} ){low} ", "FFFD ")
+    text = F.decode(F.unhex(F.replace(mended, F.lit(" "), F.lit(""))), "UTF-16BE")
+    return F.when(odd, F.concat(text, F.lit("\ufffd"))).otherwise(text)
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-16 where a byte order mark says so, else UTF-8; without the mark. Bytes that are no UTF-8 become U+FFFD."""
+    """Bytes as text: UTF-16 where a byte order mark says so, else UTF-8; without the mark. What isn't well formed becomes U+FFFD; no bytes make it fail."""
     mark = F.hex(F.substring(content, 1, 3))
     rest = F.substring(content, 3, F.octet_length(content))
-    even = F.octet_length(content) % 2 == 0
-    narrow = F.make_valid_utf8(content.cast("string"))
-    wide = F.when(mark.startswith("FFFE"), F.decode(rest, "UTF-16LE")).when(mark.startswith("FEFF") & even, F.decode(rest, "UTF-16BE"))
-    return F.coalesce(wide, F.when(mark == "EFBBBF", F.make_valid_utf8(F.substring(content, 4, F.octet_length(content)).cast("string"))).otherwise(narrow))
+    wide = F.when(mark.startswith("FFFE"), _utf16(rest, True)).when(mark.startswith("FEFF"), _utf16(rest, False))
+    body = F.when(mark == "EFBBBF", F.substring(content, 4, F.octet_length(content))).otherwise(content)
+    return F.coalesce(wide, F.make_valid_utf8(body.cast("string")))
 
 
 def looks_binary(text: Column) -> Column:
     """A NUL, or over one U+FFFD in twenty, among the first SAMPLE characters."""
     sample = F.substring(text, 1, SAMPLE)
     bad = F.length(sample) - F.length(F.replace(sample, F.lit("\ufffd"), F.lit("")))
-    return F.contains(sample, F.lit("\0")) | (bad > 0.05 * F.length(sample))
+    return F.contains(sample, F.lit("\0")) | (bad > BROKEN * F.length(sample))
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:

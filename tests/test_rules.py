@@ -298,3 +298,44 @@ def test_whole_tables_have_rows_of_all(spark):
     run = lambda name: catalog.QUERIES[name](spark, sf)
     assert run("backup_restore_all").count() == run("json_ingestion_all").count() == events.count() and run("vault_index_all").count() == docs.count()
     assert run("hashed_vectors_all").select("doc_id").distinct().count() == docs.filter("trim(text) <> ''").count()
+
+
+def test_repeated_changes_multiply_no_rows(spark):
+    state = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "pending"), (None, "pending")], "intention_id long, status string").withColumns({c: F.lit(None).cast("timestamp") for c in ("valid_to", "completed_at", "last_fired_at", "due_at")} | {"fired": F.lit(0)})
+    changes = spark.createDataFrame([(1, "fired"), (1, "fired"), (2, "cancelled"), (2, "completed"), (3, "fired"), (3, "cancelled"), (None, "fired")], "intention_id long, change string")
+    got = {r.intention_id: (r.fired, r.status) for r in cycle.moved_intentions(state, changes, D.now()).collect()}
+    assert got == {1: (2, "pending"), 2: (0, "completed"), 3: (1, "cancelled"), None: (0, "pending")}
+    episodes = spark.createDataFrame([(1, None, "provisional"), (2, "x", "full")], "episode_id long, summary string, summary_kind string")
+    out = cycle.install_summaries(episodes, spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "episode_id long, summary string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "full"), (2, "x", "full")]
+    old = spark.createDataFrame([(1, 5, "t"), (2, 6, None), (None, 7, "n")], "id long, value long, tag string")
+    new = spark.createDataFrame([(1, 8, None), (1, None, "u"), (1, 9, None), (3, 1, "w"), (None, 4, "z")], "id long, value long, tag string")
+    assert sorted(map(tuple, lifecycle.upsert(old, new, "id").collect()), key=str) == sorted([(1, 9, "u"), (2, 6, None), (3, 1, "w"), (None, 7, "n"), (None, 4, "z")], key=str)
+    twice = spark.createDataFrame([(1, 8, True), (1, None, True), (2, None, True), (2, 1, False), (9, 1, True)], "id long, value long, set_value boolean")
+    assert sorted(map(tuple, lifecycle.patch(old, twice, "id", ["value"]).collect()), key=str) == sorted([(1, 8, "t"), (2, None, None), (None, 7, "n")], key=str)
+    versions = spark.createDataFrame([("a", 1, 5, True)], "k string, version long, value long, live boolean")
+    assert lifecycle.new_versions(versions, spark.createDataFrame([("a", 6), ("a", 7)], "k string, value long"), "k").count() == 2
+
+
+def test_null_order_keys_go(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "at long, id long")
+    assert [r.id for r in cycle.bounded_delete(rows, F.lit(True), ["at", "id"], 2).collect()] == [3]
+
+
+def test_labels_of_kinds(spark):
+    label = lambda kind, content, value=None: one(spark, x=text.label(F.lit(kind), F.lit(content), F.lit(7), F.lit(value))).x
+    assert label("preference", "lang", "French") == "lang = French" and label("preference", "k", "v" * 50) == "k = " + "v" * 39 + "…" and label("preference", "k") == "k = "
+    assert label("research", None, "what it says") == "what it says" and label("entity", None) == "7" and label("procedure", None) == "" and label("fact", None) == "" and label("odd", "x") == "7"
+
+
+@pytest.mark.parametrize("data, want", [(b"\xff\xfea\x00b", "a�"), (b"\xff\xfe\x3d\xd8", "�"), (b"\xff\xfe\x00\xdca\x00", "�a"), (b"\xfe\xff\xd8\x3d\xde\x00\x00!", "\U0001f600!"), (b"\xfe\xff\xd8\x3d\xd8\x3d\xde\x00", "�\U0001f600"), (b"\xff\xfe", ""), (b"\xef\xbb\xbfa\xff", "a�"), (b"", ""), (b"\xfe\xff\x00", "�")])
+def test_no_bytes_fail_decoding(spark, data, want):
+    assert spark.createDataFrame([(bytearray(data),)], "content binary").select(store.decoded(F.col("content")).alias("t")).first().t == want
+
+
+def test_streams_without_files(spark, tmp_path):
+    from quillstone.streaming import jobs
+
+    (tmp_path / "none").mkdir()
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    assert jobs.bucket_counts(spark, str(tmp_path / "none"), schema).count() == 0 and jobs.sessions(spark, str(tmp_path / "none"), schema).count() == 0
