@@ -68,7 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, done = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
-        discard(*done)
+        kept = stage(spark, docs, sf_dir)
+        docs = shared_table(kept)
+        discard(*done, *getattr(kept, "leftovers", []))
         done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
