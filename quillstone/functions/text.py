@@ -121,6 +121,8 @@ def scope_key(*parts: str) -> Column:
 
 #: Labels that open a turn of a transcript: fixed value.
 SPEAKER = r"(?md)^(USER(?:\([^)\n]{1,64}\))?|ASSISTANT|TOOL|SYSTEM TRIGGER[^:\n]*):"
+#: The same at a text's start, for Python.
+SPEAKER_AT = re.compile(SPEAKER.replace("(?md)^", ""))
 
 
 def last_speaker(text: Column) -> Column:

@@ -26,43 +26,50 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sided: bool = False, block: int = BLOCK) -> DataFrame:
+def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sided: bool = False, block: int = BLOCK, asks: str | None = None, source: str | None = None) -> DataFrame:
     """All pairs of rows (id, embedding, bucket...) of a bucket with cosine least or more, given to emit as arrays (id, other id, rounded cosine), both ways round,
-    a task's worth at a time; what it returns comes out. sided: rows have a side, 0 or 1, and only pairs (0, 1) count, one way round.
+    a task's worth at a time; what it returns comes out. sided: rows have a side, 0 or 1, and only pairs (0, 1) count, one way round. asks: a column, and only pairs whose first row has a
+    value there count, so bands without such rows aren't worked on. source: a column, and pairs that are equal in it don't count; null is equal to nothing.
 
     Exact, in blocks: vectors within an angle of each other lie within that angle as seen from any pivot, so a bucket is cut into bands of that angle, and a row
     meets its own band and the next. Bands of over ``block`` rows are cut by a hash, and each pair of parts is a task of its own,
     so no task holds more than two blocks, however hot a bucket is. Repeated ids count as rows of their own; null buckets are a bucket."""
     angle = max(float(np.arccos(min(1.0, max(-1.0, least)))), 1e-3)
     side = F.col("side") if sided else F.lit(0)
-    own = rows.select(*bucket, "id", unit(F.col("embedding")).alias("u"), side.cast("int").alias("side")).filter("u IS NOT NULL")
+    asking = F.lit(True) if asks is None else F.col(asks).isNotNull()
+    own = rows.select(*bucket, "id", unit(F.col("embedding")).alias("u"), side.cast("int").alias("side"), asking.alias("asks"), (F.lit(None) if source is None else F.col(source)).cast("string").alias("source")).filter("u IS NOT NULL")
     pivot = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("u")))))
     own = own.withColumn("band", F.floor(pivot / (angle + 1e-9)).cast("int"))
     key = [*bucket, "band"]
     met = own.withColumn("visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("visits"))
-    sizes = met.groupBy(*(F.col(c).alias(f"{c}__") for c in key)).agg(F.ceil(F.count("*") / block).cast("int").alias("p"))
+    sizes = met.groupBy(*(F.col(c).alias(f"{c}__") for c in key)).agg(F.ceil(F.count("*") / block).cast("int").alias("p"), F.bool_or("asks").alias("asked")).filter("asked").drop("asked")
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in key))
-    parted = met.join(sizes, same).select(*key, "id", "u", "side", "visits", "p", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("i"))
+    parted = met.join(sizes, same).select(*key, "id", "u", "side", "asks", "source", "visits", "p", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("i"))
     each = parted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     # part i of those at home meets parts j >= i of them (unit 0) and every part of the visitors (unit 1)
     home = F.col("visits") == 0
-    inner = each.filter(home).select(*key, F.lit(0).alias("unit"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("right"), "id", "u", "side")
-    outer = each.select(*key, F.lit(1).alias("unit"), F.when(home, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(home, F.col("j")).otherwise(F.col("i")).alias("b"), F.col("visits").alias("right"), "id", "u", "side")
+    inner = each.filter(home).select(*key, F.lit(0).alias("unit"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("right"), "id", "u", "side", "asks", "source")
+    outer = each.select(*key, F.lit(1).alias("unit"), F.when(home, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(home, F.col("j")).otherwise(F.col("i")).alias("b"), F.col("visits").alias("right"), "id", "u", "side", "asks", "source")
 
     def pairs(df: pd.DataFrame) -> pd.DataFrame:
         left, right = df[df["right"] == 0], df[df["right"] == 1]
         alone = int(df["unit"].iloc[0]) == 0 and int(df["a"].iloc[0]) == int(df["b"].iloc[0])
         right = left if alone else right
-        if not len(left) or not len(right):
+        if not len(left) or not len(right) or not (left["asks"].any() or right["asks"].any()):
             return emit(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
         s = np.round(np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T, 9)
         x, y = np.nonzero(np.triu(s >= least, 1) if alone else s >= least)
+        if source is not None:
+            a, b = left["source"].to_numpy(dtype=object)[x], right["source"].to_numpy(dtype=object)[y]
+            apart = np.array([p is None or p != q for p, q in zip(a, b)], dtype=bool)
+            x, y = x[apart], y[apart]
         ids, others, score = left["id"].to_numpy()[x], right["id"].to_numpy()[y], s[x, y]
         if sided:
             from_left = left["side"].to_numpy()[x] < right["side"].to_numpy()[y]
             apart = left["side"].to_numpy()[x] != right["side"].to_numpy()[y]
             return emit(np.where(from_left, ids, others)[apart], np.where(from_left, others, ids)[apart], score[apart])
-        return emit(np.r_[ids, others], np.r_[others, ids], np.r_[score, score])
+        first, second = left["asks"].to_numpy(dtype=bool)[x], right["asks"].to_numpy(dtype=bool)[y]
+        return emit(np.r_[ids[first], others[second]], np.r_[others[first], ids[second]], np.r_[score[first], score[second]])
 
     return inner.unionByName(outer).groupBy(*key, "unit", "a", "b").applyInPandas(pairs, schema)
 
@@ -83,9 +90,9 @@ def _best(k: int):
     return pick
 
 
-def nearest(rows: DataFrame, bucket: list[str], least: float, k: int, sided: bool = False, block: int = BLOCK) -> DataFrame:
-    """left_id, right_id, score: the k best others of each row; each task gives its k best, and the best of those stay."""
-    found = near(rows, bucket, least, _best(k), PAIR, sided, block)
+def nearest(rows: DataFrame, bucket: list[str], least: float, k: int, sided: bool = False, block: int = BLOCK, asks: str | None = None, source: str | None = None) -> DataFrame:
+    """left_id, right_id, score: the k best others of each row (of those that ask, if asks names a column; none of the same source, if source does); each task gives its k best, and the best of those stay."""
+    found = near(rows, bucket, least, _best(k), PAIR, sided, block, asks, source)
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter(F.col("nth") <= k).drop("nth")
 
 
@@ -119,26 +126,16 @@ def fresh(new: DataFrame, live: DataFrame, bucket: list[str], least: float = 0.9
     return reduce(DataFrame.unionByName, kept)
 
 
-def synonyms(entities: DataFrame, bucket: list[str], least: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """Canonical pairs (lo, hi, score)."""
+def synonyms(entities: DataFrame, bucket: list[str], least: float = 0.9, block: int = BLOCK, asks: str | None = None, k: int | None = None) -> DataFrame:
+    """Canonical pairs (lo, hi, score), once each. asks: a column; touched entities have a value there and are held against all, the others not against each other. k: of each that asks, its best alone."""
+    found = near(entities, bucket, least, _all, PAIR, block=block, asks=asks) if k is None else nearest(entities, bucket, least, k, block=block, asks=asks)
+    return found.groupBy(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi")).agg(F.max("score").alias("score"))
 
-    def canonical(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-        lesser = ids < others
-        return pd.DataFrame({"lo": ids[lesser], "hi": others[lesser], "score": score[lesser]})
 
-    return near(entities, bucket, least, canonical, "lo long, hi long, score double", block=block)
-
-
-def supersede_candidates(facts: DataFrame, bucket: list[str], least: float = 0.85, k: int = 8, decide: Callable[[DataFrame], DataFrame] | None = None, siblings: DataFrame | None = None) -> DataFrame:
-    """For each fact the k nearest others on the index scale, without its siblings (fact_id, sibling_id: facts of the same source), given; decide picks among them (default:
+def supersede_candidates(facts: DataFrame, bucket: list[str], least: float = 0.85, k: int = 8, decide: Callable[[DataFrame], DataFrame] | None = None, source: str | None = None, asks: str | None = None) -> DataFrame:
+    """For each fact (of those that ask, if asks names a column) the k nearest others on the index scale, without its siblings (equal in the column that source names); decide picks among them (default:
     the older fact of the best pair)."""
-    raw = 2 * least - 1
-    if siblings is None:
-        found = nearest(facts, bucket, raw, k)
-    else:
-        pairs = near(facts, bucket, raw, _all, PAIR).join(siblings.select(F.col("fact_id").alias("left_id"), F.col("sibling_id").alias("right_id")), ["left_id", "right_id"], "left_anti")
-        found = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_id"))).filter(F.col("nth") <= k).drop("nth")
-    found = found.withColumn("score", vectors.index_score(F.col("score")))
+    found = nearest(facts, bucket, 2 * least - 1, k, asks=asks, source=source).withColumn("score", vectors.index_score(F.col("score")))
     if decide is not None:
         return decide(found)
     older = found.filter("right_id < left_id")

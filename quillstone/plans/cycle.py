@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import temporal, text
-from quillstone.operators import consolidate, cycle, lifecycle
+from quillstone.operators import consolidate, cycle, lifecycle, resume
 from quillstone.plans.registry import query
 from quillstone.sources import derive as D
+from quillstone.sources import store
+from quillstone.sources.journal import Journal
 
 VECTORS = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
@@ -176,3 +180,73 @@ def fact_merge_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = f.select(F.floor(F.col("fact_id") / 4).alias("group"), "fact_id")
     new, _ = lifecycle.merge(f, members, D.now(), D.mentions(spark, sf_dir))
     return new.select("group", F.col("reference_count").alias("refs"), F.unix_micros("last_used").alias("last_used"), "n", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",").alias("merged_from"), F.array_join("entities", ",").alias("entities"))
+
+
+def _signs(content):
+    """An embedder by which texts are alike if they are equal: 128 numbers out of the text's hash."""
+    return F.transform(F.split(F.sha2(content.cast("binary"), 512), ""), lambda d: F.conv(d, 16, 10).cast("double") - 7.5)
+
+
+def _ends(facts: DataFrame) -> DataFrame:
+    """First and last word of a fact."""
+    words = F.split(F.lower("content"), " ")
+    return facts.select("fact_id", F.explode(F.array_distinct(F.array(F.element_at(words, 1), F.element_at(words, -1)))).alias("entity"))
+
+
+CYCLE = """, f0 AS (SELECT fact_id, split_part(content, ' ', 1) || ' item ' || (entity_id % 5) AS content, category, valid_from, valid_to, recorded_at, deleted_at, confidence, importance, reference_count, project_id, user_id, fact_id % 2 = 0 AS checked FROM facts),
+ep AS (SELECT * FROM episodes ORDER BY recorded_at, episode_id LIMIT 30),
+said AS (SELECT episode_id, recorded_at, project_id, user_id, unnest(p) AS content, generate_subscripts(p, 1) AS nth FROM (SELECT e.*, list_filter(string_split(regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY position), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p
+  FROM ep e JOIN chunks USING (episode_id) WHERE text IS NOT NULL GROUP BY ALL)),
+new AS (SELECT (SELECT max(fact_id) FROM f0) + row_number() OVER (ORDER BY recorded_at, episode_id, nth, content) AS fact_id, * FROM said),
+added AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM f0 WHERE f0.content = n.content AND f0.valid_to IS NULL AND f0.deleted_at IS NULL AND f0.project_id IS NOT DISTINCT FROM n.project_id AND f0.user_id IS NOT DISTINCT FROM n.user_id)
+  QUALIFY row_number() OVER (PARTITION BY content, project_id, user_id ORDER BY fact_id) = 1),
+ends AS (SELECT fact_id, unnest(list_distinct([lower(string_split(content, ' ')[1]), lower(string_split(content, ' ')[-1])])) AS entity FROM added),
+m1 AS (SELECT fact_id, entity FROM mentions UNION ALL SELECT DISTINCT fact_id, entity FROM ends WHERE entity <> ''),
+f1 AS (SELECT fact_id, content, category, valid_from, valid_to, recorded_at, deleted_at, confidence, importance, reference_count, project_id, user_id, checked FROM f0 UNION ALL SELECT fact_id, content, 'note', recorded_at, NULL, t_now, NULL, 0.8, 0.5, 0, project_id, user_id, true FROM added, params),
+q AS (SELECT fact_id, content, project_id, user_id, valid_from FROM f1, params WHERE NOT checked AND valid_to IS NULL AND deleted_at IS NULL AND recorded_at <= t_now - INTERVAL 60 SECOND ORDER BY recorded_at, fact_id LIMIT 50),
+hit AS (SELECT old_id, min(new_id) AS new_id FROM (SELECT q.fact_id AS new_id, min(o.fact_id) AS old_id FROM q JOIN f1 o ON o.content = q.content AND o.project_id IS NOT DISTINCT FROM q.project_id AND o.user_id IS NOT DISTINCT FROM q.user_id AND o.fact_id < q.fact_id WHERE o.valid_to IS NULL AND o.deleted_at IS NULL GROUP BY 1) GROUP BY 1),
+f2 AS (SELECT f1.* REPLACE (CASE WHEN h.new_id IS NOT NULL THEN greatest(f1.valid_from, n.valid_from) ELSE f1.valid_to END AS valid_to, f1.checked OR f1.fact_id IN (SELECT fact_id FROM q) AS checked) FROM f1 LEFT JOIN hit h ON h.old_id = f1.fact_id LEFT JOIN f1 n ON n.fact_id = h.new_id),
+live AS (SELECT * FROM f2 WHERE valid_to IS NULL AND deleted_at IS NULL),
+home AS (SELECT fact_id, entity FROM m1 JOIN live USING (fact_id) JOIN (SELECT entity, count(*) AS n FROM m1 WHERE fact_id IN (SELECT fact_id FROM live) GROUP BY 1 HAVING count(*) >= 2) USING (entity) QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY n DESC, entity) = 1),
+c AS (SELECT live.*, min(fact_id) OVER (PARTITION BY entity, content, project_id, user_id, part) AS cluster, count(*) OVER (PARTITION BY entity, content, project_id, user_id, part) AS n FROM (SELECT live.*, entity, (row_number() OVER (PARTITION BY entity, content, project_id, user_id ORDER BY fact_id) - 1) // 6 AS part FROM live JOIN home USING (fact_id)) live),
+made AS (SELECT (SELECT max(fact_id) FROM f2) + row_number() OVER (ORDER BY cluster) AS fact_id, * FROM (SELECT cluster, any_value(content) AS content, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY fact_id) AS merged_from, max(importance) AS importance, any_value(project_id) AS project_id, any_value(user_id) AS user_id, CAST(sum(reference_count) AS BIGINT) AS refs FROM c WHERE n >= 2 GROUP BY cluster)),
+f3 AS (SELECT f2.* REPLACE (CASE WHEN fact_id IN (SELECT fact_id FROM c WHERE n >= 2) THEN t_now ELSE valid_to END AS valid_to), '' AS merged_from FROM f2, params
+  UNION ALL SELECT fact_id, content, NULL, NULL, NULL, t_now, NULL, NULL, importance, refs, project_id, user_id, true, merged_from FROM made, params),
+known AS (SELECT fact_id AS insight_id, 'insight ' || content AS content FROM f0 WHERE importance >= 0.95 AND fact_id % 2 = 0),
+asks AS (SELECT *, min(fact_id) OVER (PARTITION BY content, project_id, user_id) AS insight_id FROM f3 WHERE importance >= 0.85 AND valid_to IS NULL AND deleted_at IS NULL AND fact_id NOT IN (SELECT insight_id FROM known)),
+f4 AS (SELECT *, valid_to IS NULL AND deleted_at IS NULL AND importance < 0.75 AND d >= 30 AND exp(-d / ((1 + 2 * reference_count) * (1 + 4 * importance))) < 0.05 AS pruned FROM (SELECT *, greatest(0, epoch_us(t_now) - epoch_us(recorded_at)) / 86400000000.0 AS d FROM f3, params)),
+f5 AS (SELECT *, CASE WHEN pruned THEN t_now ELSE valid_to END AS closed FROM f4),
+src AS (SELECT insight_id, insight_id AS fact_id FROM known UNION ALL SELECT insight_id, fact_id FROM asks)
+SELECT 'fact' AS part, fact_id AS id, content || '|' || merged_from AS told, epoch_us(closed) AS at, pruned AS flag FROM f5
+UNION ALL SELECT 'checked', fact_id, '', NULL, checked FROM f5
+UNION ALL SELECT 'insight', i.insight_id, content, NULL, NOT EXISTS (SELECT 1 FROM src JOIN f5 USING (fact_id) WHERE src.insight_id = i.insight_id AND closed IS NULL AND deleted_at IS NULL) FROM (SELECT * FROM known UNION ALL SELECT fact_id, content FROM asks WHERE fact_id = insight_id) i
+UNION ALL SELECT 'source', insight_id, CAST(fact_id AS VARCHAR), NULL, false FROM src
+UNION ALL SELECT 'mark', episode_id, '', NULL, false FROM ep
+UNION ALL SELECT 'relation', count(*), '', NULL, false FROM (SELECT DISTINCT list_sort(list(entity))[1], list_sort(list(entity))[2] FROM ends WHERE entity <> '' GROUP BY fact_id HAVING count(*) = 2)"""
+
+
+@query(CYCLE.replace("\\\\", "\\"))
+def cycle_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole cycle over committed tables, run pass by pass: facts, checks, insights with their sources, marks and relations after it. Texts are alike here if they are equal."""
+    f, e, none = D.facts(spark, sf_dir), D.episodes(spark, sf_dir), F.lit(None)
+    content = F.concat(F.split_part("content", F.lit(" "), F.lit(1)), F.lit(" item "), (F.col("entity_id") % 5).cast("string"))
+    facts = f.withColumns({"content": content, "pruned_at": none, "merged_from": none, "checked_at": F.when(F.col("fact_id") % 2 == 0, F.col("recorded_at"))}).withColumn("embedding", _signs(F.col("content")))
+    known = facts.filter("importance >= 0.95 AND fact_id % 2 = 0").select(F.col("fact_id").alias("insight_id"), F.concat(F.lit("insight "), "content").alias("content"), "project_id", "user_id")
+    tables = {"facts": facts, "episodes": e, "chunks": D.chunks(spark, sf_dir), "mentions": D.mentions(spark, sf_dir), "insights": known.withColumn("embedding", _signs(F.col("content"))), "sources": known.select("insight_id", F.col("insight_id").alias("fact_id"))}
+    journal = Journal(spark, store.shared_path(spark))
+    resume.begin(journal, tables)
+    parts = resume.Parts(embed=_signs, entities=_ends, batch=30, group_tokens=10**9)
+    for step in resume.PASSES:  # one at a time, as a driver that is stopped after each would
+        resume.run(journal, "night", D.now(), parts, passes=[step])
+    t = journal.tables()
+    row = lambda df, part, key, told, at=none, flag=F.lit(False): df.select(F.lit(part).alias("part"), F.col(key).cast("long").alias("id"), told.alias("told"), at.cast("long").alias("at"), flag.alias("flag"))
+    told = F.concat("content", F.lit("|"), F.coalesce(F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ","), F.lit("")))
+    out = [
+        row(t["facts"], "fact", "fact_id", told, F.unix_micros("valid_to"), F.col("pruned_at").isNotNull()),
+        row(t["facts"], "checked", "fact_id", F.lit(""), flag=F.col("checked_at").isNotNull()),
+        row(t["insights"], "insight", "insight_id", F.col("content"), flag=F.col("retired_at").isNotNull()),
+        row(t["sources"], "source", "insight_id", F.col("fact_id").cast("string")),
+        row(t["marks"].filter("step = 'extraction'"), "mark", "key", F.lit("")),
+        row(t["relations"].agg(F.count("*").alias("n")), "relation", "n", F.lit("")),
+    ]
+    return reduce(DataFrame.unionByName, out)
