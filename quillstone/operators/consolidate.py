@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,12 +21,6 @@ from quillstone.sources.store import cut
 BLOCK = 2048  # rows of a block; a task holds two blocks and their products
 
 
-def unit(v: Column) -> Column:
-    """Of length 1; null for zero, empty and null vectors, which are near to nothing."""
-    n = F.sqrt(vectors.dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
-
-
 def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, sided: bool = False, block: int = BLOCK, asks: str | None = None, source: str | None = None) -> DataFrame:
     """All pairs of rows (id, embedding, bucket...) of a bucket with cosine least or more, given to emit as arrays (id, other id, rounded cosine), both ways round,
     a task's worth at a time; what it returns comes out. sided: rows have a side, 0 or 1, and only pairs (0, 1) count, one way round. asks: a column, and only pairs whose first row has a
@@ -37,41 +32,91 @@ def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.nd
     angle = max(float(np.arccos(min(1.0, max(-1.0, least)))), 1e-3)
     side = F.col("side") if sided else F.lit(0)
     asking = F.lit(True) if asks is None else F.col(asks).isNotNull()
-    own = rows.select(*bucket, "id", unit(F.col("embedding")).alias("u"), side.cast("int").alias("side"), asking.alias("asks"), (F.lit(None) if source is None else F.col(source)).cast("string").alias("source")).filter("u IS NOT NULL")
-    pivot = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size("u")))))
-    own = own.withColumn("band", F.floor(pivot / (angle + 1e-9)).cast("int"))
-    key = [*bucket, "band"]
+    own = rows.select(*bucket, "id", F.col("embedding").cast("array<double>").alias("u"), vectors.dot(F.col("embedding"), F.col("embedding")).alias("square"), side.cast("int").alias("side"), asking.alias("asks"), (F.lit(None) if source is None else F.col(source)).cast("string").alias("source")).filter("square > 0")  # zero, empty and null vectors are near to nothing
+    pivot = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.col("square") * F.size("u")))))
+    own = own.withColumns({"band": F.floor(pivot / (angle + 1e-9)).cast("int"), "dim": F.size("u")})  # vectors of unlike length are near to nothing
+    key = [*bucket, "dim", "band"]
     met = own.withColumn("visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("visits"))
     sizes = met.groupBy(*(F.col(c).alias(f"{c}__") for c in key)).agg(F.ceil(F.count("*") / block).cast("int").alias("p"), F.bool_or("asks").alias("asked")).filter("asked").drop("asked")
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in key))
-    parted = met.join(sizes, same).select(*key, "id", "u", "side", "asks", "source", "visits", "p", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("i"))
+    rest = ["id", "u", "side", "asks", "source"]
+    parted = met.join(sizes, same).select(*key, *rest, "visits", "p", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("i"))
     each = parted.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     # part i of those at home meets parts j >= i of them (unit 0) and every part of the visitors (unit 1)
     home = F.col("visits") == 0
-    inner = each.filter(home).select(*key, F.lit(0).alias("unit"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("right"), "id", "u", "side", "asks", "source")
-    outer = each.select(*key, F.lit(1).alias("unit"), F.when(home, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(home, F.col("j")).otherwise(F.col("i")).alias("b"), F.col("visits").alias("right"), "id", "u", "side", "asks", "source")
-
-    def pairs(df: pd.DataFrame) -> pd.DataFrame:
-        left, right = df[df["right"] == 0], df[df["right"] == 1]
-        alone = int(df["unit"].iloc[0]) == 0 and int(df["a"].iloc[0]) == int(df["b"].iloc[0])
-        right = left if alone else right
-        if not len(left) or not len(right) or not (left["asks"].any() or right["asks"].any()):
-            return emit(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
-        s = np.round(np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T, 9)
-        x, y = np.nonzero(np.triu(s >= least, 1) if alone else s >= least)
+    inner = each.filter(home).select(*key, F.lit(0).alias("unit"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("right"), *rest)
+    outer = each.select(*key, F.lit(1).alias("unit"), F.when(home, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(home, F.col("j")).otherwise(F.col("i")).alias("b"), F.col("visits").alias("right"), *rest)
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in (*key, "unit", "a", "b")]
+    names = ["k1", "k2", "right", "alone", *rest]
+    units = inner.unionByName(outer).select(F.xxhash64(*marked).alias("k1"), F.xxhash64(F.lit(1), *marked).alias("k2"), "right", F.expr("unit = 0 AND a = b").alias("alone"), *rest)
+    placed = units.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").sortWithinPartitions("k1", "k2", "right")
+
+    def pairs(unit: list[np.ndarray]) -> pd.DataFrame | None:
+        right, alone, id_, u, side_, asks_, source_ = unit
+        cut_at = len(right) if alone[0] else int(np.searchsorted(right, 1))
+        i, j = (slice(None), slice(None)) if alone[0] else (slice(0, cut_at), slice(cut_at, None))
+        if not cut_at or not (alone[0] or cut_at < len(right)) or not asks_.any():
+            return None
+        s = np.round(u[i] @ u[j].T, 9)
+        x, y = np.nonzero(np.triu(s >= least, 1) if alone[0] else s >= least)
+        score, x, y = s[x, y], np.arange(len(right))[i][x], np.arange(len(right))[j][y]
         if source is not None:
-            a, b = left["source"].to_numpy(dtype=object)[x], right["source"].to_numpy(dtype=object)[y]
-            apart = np.array([p is None or p != q for p, q in zip(a, b)], dtype=bool)
-            x, y = x[apart], y[apart]
-        ids, others, score = left["id"].to_numpy()[x], right["id"].to_numpy()[y], s[x, y]
+            apart = np.array([p is None or p != q for p, q in zip(source_[x], source_[y])], dtype=bool)
+            x, y, score = x[apart], y[apart], score[apart]
         if sided:
-            from_left = left["side"].to_numpy()[x] < right["side"].to_numpy()[y]
-            apart = left["side"].to_numpy()[x] != right["side"].to_numpy()[y]
-            return emit(np.where(from_left, ids, others)[apart], np.where(from_left, others, ids)[apart], score[apart])
-        first, second = left["asks"].to_numpy(dtype=bool)[x], right["asks"].to_numpy(dtype=bool)[y]
-        return emit(np.r_[ids[first], others[second]], np.r_[others[first], ids[second]], np.r_[score[first], score[second]])
-
-    return inner.unionByName(outer).groupBy(*key, "unit", "a", "b").applyInPandas(pairs, schema)
+            apart = side_[x] != side_[y]
+            x, y, score = x[apart], y[apart], score[apart]
+            turned = side_[x] > side_[y]
+            return emit(np.where(turned, id_[y], id_[x]), np.where(turned, id_[x], id_[y]), score)
+        first, second = asks_[x], asks_[y]
+        return emit(np.r_[id_[x][first], id_[y][second]], np.r_[id_[y][first], id_[x][second]], np.r_[score[first], score[second]])
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch.column("u")
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        vectors_ = np.empty(len(lists), dtype=object)
+        for n, (p, q) in enumerate(zip(ends - ends[0], ends[1:] - ends[0])):
+            vectors_[n] = flat[p:q]
+        return [vectors_ if c == "u" else np.array(batch.column(c).to_pylist(), dtype=object) if c == "source" else batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, size = None, [], 0
+
+        def worked(columns: list[np.ndarray], p: int, q: int) -> None:
+            nonlocal size
+            if q - p < 2:
+                return
+            unit = [c[p:q] for c in columns[2:]]
+            unit[3] = np.stack(unit[3])
+            unit[3] = unit[3] / np.sqrt((unit[3] * unit[3]).sum(1, keepdims=True))
+            found = pairs(unit)
+            if found is not None and len(found):
+                out.append(found)
+                size += len(found)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+                out.clear()
+                size = 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = arrays(batch)
+            columns = columns if held is None else [np.concatenate([x, y]) for x, y in zip(held, columns)]
+            starts = np.flatnonzero(np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            for p, q in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                worked(columns, p, q)
+                if size > 50_000:
+                    yield from flushed()
+            held = [c[starts[-1] :] for c in columns]
+        if held is not None:
+            worked(held, 0, len(held[0]))
+        yield from flushed()
+
+    return placed.mapInArrow(stream, schema)
 
 
 PAIR = "left_id long, right_id long, score double"

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scope, scoring, temporal, vectors
-from quillstone.operators import lifecycle, retrieval
+from quillstone.operators import fulltext, lifecycle, retrieval
 from quillstone.plans.registry import query
 from quillstone.sources import derive as D
+from quillstone.sources import store
 
 WORDS = "purchase user 7 item"
 
@@ -67,6 +68,20 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(D.table(spark, sf_dir, "documents"), "doc_id", "text", "released under license", 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
+INDEXED = "(SELECT * FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(BM25.replace("FROM documents)", f"FROM {INDEXED})").replace("['license', 'released', 'under']", "['license', 'mit', 'released', 'the', 'under']"))
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search in a stored index: two thirds of the documents, then the rest, added; every seventh deleted."""
+    d, path = D.table(spark, sf_dir, "documents"), store.shared_path(spark)
+    for part in (d.filter("doc_id % 3 <> 0"), d.filter("doc_id % 3 = 0")):
+        fulltext.add(part, path, "doc_id", "text", "plain")
+    fulltext.delete(d.filter("doc_id % 7 = 0"), path, "doc_id", "text", "plain")
+    found = fulltext.search(spark, path, "Released under the MIT license", 50, "plain")
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 FT = """, w AS (SELECT fact_id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM facts, params WHERE deleted_at IS NULL AND valid_from <= t_at AND (valid_to IS NULL OR valid_to > t_at)),
 n AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM w), q AS (SELECT unnest(['purchase', 'user', '7', 'item']) AS term),
 h AS (SELECT fact_id, q.term, CAST(len(list_filter(terms, lambda t: t = q.term)) AS DOUBLE) AS tf, CAST(len(terms) AS DOUBLE) AS len FROM w, q WHERE list_contains(terms, q.term)),

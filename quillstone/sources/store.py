@@ -19,6 +19,11 @@ def shared_path(spark: SparkSession) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/quillstone-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back, so that plans stay short and lost executors cost nothing."""
     path = shared_path(df.sparkSession)
