@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,7 @@ from quillstone.operators import chunking, consolidate, graph, lifecycle
 from quillstone.plans.registry import query
 from quillstone.sources import derive as D
 from quillstone.sources import store
-from quillstone.streaming import jobs
+from quillstone.streaming import jobs, state
 
 BOTH = "around AS (SELECT src, dst FROM relates UNION ALL SELECT dst, src FROM relates)"
 
@@ -258,6 +260,18 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT k AS key, id AS value, epoch_us(ts) AS at FROM (SELECT event_type || user_id AS k, CAST(event_id AS VARCHAR) AS id, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS nth FROM events) WHERE nth = 1 AND ts + INTERVAL 60 DAY > TIMESTAMP '2024-03-15'", plain=True)
+def keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user and type, as state that expires, over a stream of four batches, each with events of all times."""
+    e, path = D.table(spark, sf_dir, "events"), store.shared_path(spark)
+    rows = e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("at"))
+    for part in range(4):
+        rows.filter(F.pmod(F.col("value").cast("long"), F.lit(4)) == part).write.parquet(f"{path}/in/part={part}")
+        stream = spark.readStream.schema("key string, value string, at timestamp").parquet(f"{path}/in/part=*")
+        state.keep_state(spark, stream, path, 60 * 86_400)
+    return state.current(spark, path, D.now(), 60 * 86_400).withColumn("at", F.unix_micros("at"))
+
+
 @query("SELECT event_id FROM events WHERE event_id % 3 <> 0", plain=True)
 def queue_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = D.table(spark, sf_dir, "events").select("event_id")
@@ -273,3 +287,14 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     if store.keep_newest(spark, path, 2) != ["2024-01-01"]:
         raise AssertionError("the oldest snapshot should go")
     return store.restore(spark, f"{path}/2024-01-03", ["events"])["events"]
+
+
+@query("SELECT 'events' AS name, count(*) AS n, count(DISTINCT event_id) AS keys FROM events UNION ALL SELECT 'documents', count(*), count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'pages', count(*), count(DISTINCT page_id) FROM pages UNION ALL SELECT 'conversations', count(*), count(DISTINCT conv_id) FROM conversations", plain=True)
+def backup_restore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several whole tables in one snapshot, with the newest of two read back: rows and keys of each."""
+    path, keys = store.shared_path(spark), {"events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+    for day in ("2024-01-01", "2024-01-02"):
+        store.backup({name: D.table(spark, sf_dir, name) for name in keys}, f"{path}/{day}")
+        store.keep_newest(spark, path, 1)
+    back = store.restore(spark, f"{path}/2024-01-02", list(keys))
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(keys[name]).alias("keys")) for name, df in back.items()))
