@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from quillstone.plans.graphs import BOTH
 from quillstone.plans.recall import BM25
 from quillstone.plans.registry import query
 from quillstone.sources import derive as D
-from quillstone.sources import store
+from quillstone.sources import files, ingest, readers, store
 from quillstone.streaming import jobs
 
 OPEN = "valid_to IS NULL AND deleted_at IS NULL"
@@ -199,3 +201,84 @@ def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.write_vault(d.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("title"), F.array("lang").alias("tags"), F.col("text").alias("body")), path)
     back = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), T.StructField("project", T.StringType())])).option("lineSep", "\n\0\n").text(path)
     return back.groupBy("project", F.sha2(F.col("value").cast("binary"), 256).alias("body_hash")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)
+SELECT doc_id, 256 AS dim, 1.0 AS square, round(max(n) / sqrt(sum(n * n)), 6) AS most FROM w GROUP BY doc_id""", plain=True)
+def hashed_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense unit vectors of all texts, as recall takes them: their size, square and greatest share."""
+    v = D.table(spark, sf_dir, "documents").select("doc_id", vectors.hashed_words(F.col("text")).alias("v")).filter("v IS NOT NULL")
+    return v.select("doc_id", F.size("v").cast("long").alias("dim"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("square"), F.round(F.array_max("v"), 6).alias("most"))
+
+
+@query("SELECT page_id AS id, sha256(html) AS sha256, octet_length(encode(html)) AS size, sha256(html) AS again, true AS sound, 0 AS swept FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'the same' ELSE html END AS html FROM pages) WHERE html IS NOT NULL", plain=True)
+def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored by content, every third alike, twice; read back and checked. Nothing is left to sweep."""
+    root, i = store.shared_path(spark), F.col("page_id")
+    rows = D.table(spark, sf_dir, "pages").select(i.alias("id"), F.when(i % 3 == 0, F.lit("the same")).otherwise(F.col("html")).cast("binary").alias("content")).filter("content IS NOT NULL")
+    files.put_blobs(rows, root)
+    refs = files.put_blobs(rows, root)
+    swept = files.sweep_blobs(refs, root)
+    return files.get_blobs(refs, root).select("id", "sha256", "size", F.sha2("content", 256).alias("again"), "sound", F.lit(swept).alias("swept"))
+
+
+def _vault_docs(spark: SparkSession, sf_dir: str, renamed: bool) -> DataFrame:
+    d, i = D.table(spark, sf_dir, "documents").filter("doc_id % 10 < 3"), F.col("doc_id")
+    title = F.concat(F.lit("Doc "), F.when((i % 10 == 1) & F.lit(renamed), "new").otherwise("old"))
+    rows = d.select("doc_id", F.col("lang").alias("project_id"), title.alias("title"), F.array("source").alias("tags"), F.when((i % 20 == 2) & F.lit(renamed), "other").otherwise(F.col("text")).alias("body"))
+    return rows.filter("doc_id % 10 <> 0") if renamed else rows
+
+
+@query("""SELECT round, state, count(*) AS n FROM (SELECT 1 AS round, 'missing' AS state FROM documents WHERE doc_id % 10 < 3 UNION ALL SELECT 2, 'same' FROM documents WHERE doc_id % 10 < 3
+UNION ALL SELECT 3, unnest(CASE WHEN doc_id % 10 = 0 THEN ['orphan'] WHEN doc_id % 10 = 1 THEN ['orphan', 'missing'] WHEN doc_id % 20 = 2 AND text IS DISTINCT FROM 'other' THEN ['stale'] ELSE ['same'] END) FROM documents WHERE doc_id % 10 < 3
+UNION ALL SELECT 4, 'same' FROM documents WHERE doc_id % 10 IN (1, 2)) GROUP BY ALL""", plain=True)
+def vault_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: written, written again, then with some gone, renamed or changed, and again: what state each run found."""
+    root, out = store.shared_path(spark), []
+    for n, renamed in enumerate((False, False, True, True), 1):
+        found = files.write_vault_files(_vault_docs(spark, sf_dir, renamed), root, D.now())
+        out.append(found.groupBy("state").agg(F.count("*").alias("n")).select(F.lit(n).alias("round"), "state", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT lang || '/doc-' || CASE WHEN doc_id % 10 = 1 THEN 'new' ELSE 'old' END || '--' || doc_id || '.md' AS path FROM documents WHERE doc_id % 10 IN (1, 2)", plain=True)
+def vault_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real listing of a vault after documents went and were renamed."""
+    root = store.shared_path(spark)
+    for renamed in (False, True):
+        files.write_vault_files(_vault_docs(spark, sf_dir, renamed), root, D.now())
+    return files.listing(spark, root, "*.md").select("path")
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/csv' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'image/png' ELSE 'application/zip' END AS mime,
+CASE page_id % 6 WHEN 4 THEN 'skipped' WHEN 5 THEN 'unsupported' ELSE 'done' END AS status,
+CASE page_id % 6 WHEN 0 THEN 'Page ' || page_id || ' & more' WHEN 1 THEN '{"u":"' || url || '"}' WHEN 2 THEN 'id,url' || chr(10) || page_id || ',' || url WHEN 3 THEN 'é ' || url ELSE '' END AS text FROM pages""", plain=True)
+def reader_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of six kinds, with and without a stated type, through the chain of readers."""
+    i, url = F.col("page_id"), F.col("url")
+    utf16 = F.concat(F.unhex(F.lit("FFFE")), F.encode(F.concat(F.lit("é "), url), "UTF-16LE"))
+    body = F.when(i % 6 == 0, F.concat(F.lit("<!DOCTYPE html><p>Page "), i.cast("string"), F.lit(" &amp; more</p>"))).when(i % 6 == 1, F.to_json(F.struct(url.alias("u")), {"ignoreNullFields": "false"})).when(i % 6 == 2, F.concat(F.lit("id,url\n"), i.cast("string"), F.lit(","), url))
+    content = F.when(i % 6 == 3, utf16).when(i % 6 == 4, F.unhex(F.lit("89504E470D0A1A0A"))).when(i % 6 == 5, F.unhex(F.lit("504B030400"))).otherwise(F.encode(body, "UTF-8"))
+    pages = D.table(spark, sf_dir, "pages").select("page_id", content.alias("content"), F.when(i % 6 == 2, "Text/CSV; charset=utf-8").alias("mime"))
+    return readers.extracted(pages).select("page_id", "mime", "status", "text")
+
+
+RULES_SQL = "SELECT event_id, event_id // 400 = 1 AS large, event_id % 11 = 0 AS malformed, event_id % 7 = 0 AS no_user, event_id % 5 = 0 AND value IS NOT NULL AS no_value, event_type FROM events"
+
+
+@query(f"WITH r AS ({RULES_SQL}), s AS (SELECT *, event_id // 400 AS b FROM r), t AS (SELECT s.*, count(*) OVER (PARTITION BY b) > 399 AND b % 4 = 1 AS big FROM s) SELECT 'accepted' AS rule, count(*) FILTER (WHERE NOT (malformed OR no_user OR no_value OR big)) AS n FROM t UNION ALL SELECT 'malformed', count(*) FILTER (WHERE malformed) FROM t UNION ALL SELECT 'user', count(*) FILTER (WHERE NOT malformed AND no_user) FROM t UNION ALL SELECT 'value', count(*) FILTER (WHERE NOT malformed AND no_value) FROM t UNION ALL SELECT 'batch_too_large', count(*) FILTER (WHERE big) FROM t UNION ALL SELECT 'replayed', count(*) FILTER (WHERE big AND NOT (malformed OR no_user OR no_value)) FROM t", plain=True)
+def json_ingestion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as JSON lines in batches, some lines malformed, some breaking rules, some batches too large: rows accepted, rules broken, and what goes in once large batches are cut."""
+    e, i = D.table(spark, sf_dir, "events"), F.col("event_id")
+    row = F.to_json(F.struct("event_id", F.when(i % 7 != 0, F.col("user_id")).alias("user_id"), F.when(i % 5 == 0, -F.abs("value") - 1).otherwise(F.col("value")).alias("value")))
+    number = F.floor(i / 400)
+    copies = F.when(number % 4 == 1, 1).otherwise(0)  # batches of 400 pass; those marked are held to 399
+    lines = e.select((2 * number + copies).alias("batch"), F.when(i % 11 == 0, F.concat(row, F.lit("}{"))).otherwise(row).alias("line"))
+    schema, rules = "event_id long, user_id long, value double", {"user": F.col("user_id").isNotNull(), "value": F.col("value") >= 0}
+    held, free = lines.filter("batch % 2 = 1"), lines.filter("batch % 2 = 0")
+    (a, p), (b, q) = ingest.ingested(held, schema, rules, 399), ingest.ingested(free, schema, rules)
+    bad = store.cut(p.unionByName(q))
+    again, _ = ingest.replayed(bad.filter(F.array_contains("broken", "batch_too_large")), F.col("line"), schema, rules)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
+    every = spark.createDataFrame([(r,) for r in ("malformed", "user", "value", "batch_too_large")], "rule string")
+    return count(a.unionByName(b), "accepted").unionByName(every.join(ingest.report(bad), "rule", "left").select("rule", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).unionByName(count(again, "replayed"))
