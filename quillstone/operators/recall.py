@@ -2,20 +2,21 @@
 
 ``items`` is one table of all kinds: kind, id, content, embedding, the scope axes, valid_from, valid_to, seen_at, redacted, live, importance, confidence, used,
 entity_id. Candidates are rows (kind, id, source, rank) until fusion, then (kind, id, fused, sources). Filters come before each top-k, so lists are exact and
-need no over-fetching. Nulls in an axis are shared; a null instant never ends; kinds without items give nothing; ties go to the lesser id."""
+need no over-fetching. items has no vectors where ``vectors`` is given, a function that adds them to the few rows that are compared. Nulls in an axis are shared; a null instant never ends; kinds without items give nothing; ties go to the lesser id."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scope, scoring, temporal, vectors
-from quillstone.operators import retrieval
+from quillstone.operators import graph, retrieval
+from quillstone.sources.store import cut
 
 #: Kinds that a request includes unless it says otherwise; all others are asked for by name.
 DEFAULT = ("fact", "preference", "insight")
@@ -37,6 +38,7 @@ class Request:
     overlap: tuple[Column, Column] | None = None
     entity: int | None = None
     k: int = 20
+    own: dict[str, str] | None = None  # agent and session that gain, where they aren't held to by scope
 
     def axis(self, *names: str) -> Column:
         return scope.allows(self.scopes, self.mode, names)
@@ -48,6 +50,13 @@ class State:
     items: DataFrame
     links: DataFrame  # chunk_id, fact_id
     candidates: DataFrame | None = None
+    vectors: Callable[[DataFrame], DataFrame] | None = None
+    chunks: DataFrame | None = None  # chunk_id, episode_id, position
+    mentions: DataFrame | None = None  # fact_id, entity
+    entities: DataFrame | None = None  # entity, embedding
+    edges: tuple[DataFrame, ...] = ()  # relations and synonyms: src, dst
+    origins: DataFrame | None = None  # fact_id, agent_id, session_id of the episode that a fact came from
+    seeds: DataFrame | None = None  # entities that the request names: node
 
 
 Stage = Callable[[State], State]
@@ -58,7 +67,12 @@ def compose(stages: list[Stage]) -> Stage:
 
 
 def _with(state: State, candidates: DataFrame) -> State:
-    return State(state.request, state.items, state.links, candidates)
+    return replace(state, candidates=candidates)
+
+
+def request_vector(spark: SparkSession, words: str, embed: Callable[[Column], Column] = vectors.hashed_words) -> list[float]:
+    """A request's text by the same embedder as everything else; one row. Texts without words are near to nothing."""
+    return spark.range(1).select(embed(F.lit(words)).alias("v")).first()["v"] or []
 
 
 def pushed(r: Request) -> Column:
@@ -68,12 +82,15 @@ def pushed(r: Request) -> Column:
     two, four = r.axis("project_id", "user_id"), r.axis(*scope.AXES)
     scoped = F.when(kind.isin("chunk"), True).when(kind.isin("observation", "intention"), four).otherwise(two)
     session = ~kind.isin("observation") | F.col("session_id").eqNullSafe(F.lit(r.scopes.get("session_id")))
-    return kind.isin(*r.kinds) & ~F.col("redacted") & F.col("live") & dated & scoped & session
+    project = ~kind.isin("research", "research_chunk") | F.lit(r.scopes.get("project_id") is not None)  # research belongs to projects: a request without one gets none
+    return kind.isin(*r.kinds) & ~F.col("redacted") & F.col("live") & dated & scoped & session & project
 
 
 def vector_lists(state: State) -> State:
-    r, raw = state.request, vectors.cosine(F.col("embedding"), F.array(*map(F.lit, state.request.vector)))
-    scored = state.items.filter(pushed(r)).select("kind", "id", F.round(vectors.index_score(raw), 9).alias("score"))
+    r, raw = state.request, vectors.cosine(F.col("embedding"), F.array(*map(F.lit, state.request.vector)).cast("array<double>"))
+    asked = state.items.filter(pushed(r))
+    asked = asked if state.vectors is None else state.vectors(asked.select("kind", "id"))
+    scored = asked.select("kind", "id", F.round(vectors.index_score(raw), 9).alias("score"))
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= 3 * r.k)
     return _with(state, top.select("kind", "id", F.lit("vector").alias("source"), "rank"))
 
@@ -95,6 +112,25 @@ def chunk_facts(state: State) -> State:
     return _with(state, state.candidates.unionByName(found.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.lit("chunk_derived").alias("source"), "rank")))
 
 
+def link(state: State, most: int = 5) -> State:
+    """The entities nearest to the request are seeds of the walk."""
+    raw = vectors.cosine(F.col("embedding"), F.array(*map(F.lit, state.request.vector)).cast("array<double>"))
+    best = state.entities.select("entity", F.round(raw, 9).alias("score")).orderBy(F.col("score").desc(), "entity").limit(most)
+    return replace(state, seeds=best.select(F.col("entity").alias("node")))
+
+
+def walk(state: State, seed_facts: int = 10, budget: int = 30, **options: int) -> State:
+    """A further list of facts: those that a walk reaches over mentions, relations and synonyms from the request's entities and those of the best facts found directly, and that no list has yet."""
+    direct = state.candidates.filter("kind = 'fact' AND source <> 'chunk_derived'").groupBy(F.col("id").alias("fact_id")).agg(F.min("rank").alias("rank"))
+    best = direct.orderBy("rank", "fact_id").limit(seed_facts).select("fact_id")
+    seeds = state.mentions.join(F.broadcast(best), "fact_id", "left_semi").select(F.col("entity").alias("node"))  # so many facts
+    seeds = seeds if state.seeds is None else seeds.unionByName(state.seeds)
+    facts = state.items.filter("kind = 'fact' AND NOT redacted").select(F.col("id").alias("fact_id"), "valid_to", F.lit(None).cast("timestamp").alias("deleted_at"))
+    found = graph.walk_facts(state.mentions, list(state.edges), facts, state.candidates.filter("kind = 'fact'").select(F.col("id").alias("fact_id")).distinct(), cut(seeds.distinct()), budget, **options)
+    placed = found.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "fact_id")))  # budget rows
+    return _with(state, state.candidates.unionByName(placed.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.lit("graph").alias("source"), "rank")))
+
+
 def fuse(state: State, k: int = retrieval.RRF_K) -> State:
     """Reciprocal-rank fusion by kind, over places after sorting each list anew."""
     placed = state.candidates.withColumn("place", F.row_number().over(Window.partitionBy("kind", "source").orderBy("rank", "id")))
@@ -109,17 +145,25 @@ def siblings(state: State, budget: int = 20) -> State:
     return _with(state, state.candidates.unionByName(new.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "fused", "sources")))
 
 
-def neighbours(state: State, seeds: int = 10, share: float = 0.3) -> State:
-    """Chunks next to the best ones in their episode (ids next to each other), at a share of the best score."""
+def neighbours(state: State, seeds: int = 10, share: float = 0.3, radius: int = 1) -> State:
+    """Chunks within so many places of the best ones in their episode, at a share of the best score."""
     chunks = state.candidates.filter("kind = 'chunk'")
     best = chunks.orderBy(F.round("fused", 9).desc(), "id").limit(seeds)
     top = chunks.agg(F.max("fused").alias("top"))  # one row
-    around = best.select(F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("id")).distinct()
-    there = around.join(state.items.filter("kind = 'chunk'").select("id"), "id", "left_semi").join(chunks.select("id"), "id", "left_anti")
+    seat = state.chunks.select(F.col("chunk_id").alias("id"), "episode_id", "position")
+    apart = F.explode(F.array(*(F.lit(d) for d in range(-radius, radius + 1) if d)))
+    wanted = seat.join(F.broadcast(best.select("id")), "id", "left_semi").select("episode_id", "position", apart.alias("d")).select("episode_id", (F.col("position") + F.col("d")).alias("position")).distinct()
+    there = seat.join(F.broadcast(wanted), ["episode_id", "position"], "left_semi").select("id").join(chunks.select("id"), "id", "left_anti")  # seeds times twice the radius at most
     new = there.crossJoin(F.broadcast(top)).select(F.lit("chunk").alias("kind"), "id", (share * F.col("top")).alias("fused"), F.lit("neighbour").alias("sources"))
     return _with(state, state.candidates.unionByName(new))
 
 
+def origin(state: State) -> State:
+    """Agent and session of the episode that a fact came from: origin_agent, origin_session; where it came from none, its own count."""
+    own = state.origins.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.col("agent_id").alias("origin_agent"), F.col("session_id").alias("origin_session"))
+    return _with(state, state.candidates.join(own, ["kind", "id"], "left"))
+
+
 def post_filter(state: State) -> State:
     """All rules again on what any source or expansion brought, with the request's minima, window and entity for facts. Candidates get their item's columns."""
     r = state.request
@@ -140,19 +184,52 @@ def blend(state: State) -> State:
     recent = scoring.recency(temporal.days_since(F.col("seen_at"), r.now))
     fact = scoring.fact_blend(rrf, F.col("importance"), F.col("confidence"), recent, scoring.use(F.col("used")))
     damp = F.when(F.col("sources") == "sibling", 0.5).when(F.col("sources") == "chunk_derived", 0.8).when(F.col("sources") == "graph", 0.5).otherwise(1.0)
-    own = F.when(F.col("agent_id") == r.scopes.get("agent_id"), 1.15).otherwise(1.0) * F.when(F.col("session_id") == r.scopes.get("session_id"), 1.05).otherwise(1.0)
+    came = ["origin_agent", "origin_session"] if "origin_agent" in state.candidates.columns else [None, None]
+    agent, session = (F.col(c) if o is None else F.coalesce(o, c) for c, o in zip(("agent_id", "session_id"), came))
+    mine = r.scopes if r.own is None else r.own
+    own = F.when(agent == mine.get("agent_id"), 1.15).otherwise(1.0) * F.when(session == mine.get("session_id"), 1.05).otherwise(1.0)
     score = F.when(kind == "fact", fact * damp * own).when(kind == "preference", scoring.preference_blend(rrf, F.col("confidence"), recent)).when(kind == "procedure", scoring.procedure_blend(rrf, F.col("importance"), recent)).otherwise(scoring.plain_blend(rrf, recent))
     return _with(state, state.candidates.withColumn("score", score * scope.boost(r.scopes, r.mode)))
 
 
+def rerank(state: State, by: Callable[[DataFrame, str], DataFrame], window: int = 20, keep: int = 10, context: int = 8000, chars: int = 500) -> State:
+    """The best facts by score, once more, by a model: by gets (id, content) and the request's words and gives (id, by); the best so many of those come first in that order, all others follow by score. Where the
+    window's texts, cut at so many characters, would fill over two fifths of the context, half of it is asked for."""
+    best = state.candidates.filter("kind = 'fact'").orderBy(F.round("score", 9).desc(), "id").limit(window)
+    held = cut(best.select("id", "score").join(state.items.filter("kind = 'fact'").select("id", F.substring("content", 1, chars).alias("content")), "id"))
+    size = held.agg(F.coalesce(F.sum(F.ceil(F.length("content") / 4)), F.lit(0)).alias("n"))  # one row
+    nth = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "id"))  # window rows
+    large = F.col("n") + -(-len(state.request.words) // 4) > 0.4 * context
+    asked = held.withColumn("nth", nth).crossJoin(F.broadcast(size)).filter(~large | (F.col("nth") <= max(1, window // 2))).select("id", "content", "nth")
+    after = F.row_number().over(Window.orderBy(F.col("by").desc(), "id"))
+    told = by(asked.select("id", "content"), state.request.words).join(asked.select("id", "nth"), "id").select("id", after.alias("place"), "nth").filter(F.col("place") <= keep)
+    new = told.select(F.lit("fact").alias("kind"), "id", "place", (F.col("place") < F.col("nth")).alias("promoted"))
+    return _with(state, state.candidates.join(F.broadcast(new), ["kind", "id"], "left"))
+
+
 def top_k(state: State) -> State:
-    """The best of each kind, with how many there were before the cut."""
-    n = F.count("*").over(Window.partitionBy("kind"))
-    return _with(state, retrieval.top_per_kind(state.candidates.withColumn("n_before", n), "score", "id", state.request.k))
+    """The best of each kind, with how many there were before the cut; reranked facts first."""
+    n, rows = F.count("*").over(Window.partitionBy("kind")), state.candidates
+    order = [F.col("place").asc_nulls_last()] if "place" in rows.columns else []
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(*order, F.round("score", 9).desc(), "id"))
+    return _with(state, rows.withColumn("n_before", n).withColumn("nth", nth).filter(F.col("nth") <= state.request.k))
+
+
+def hydrate(state: State) -> State:
+    """Entities of the facts that stay: entities, in order; empty for the rest."""
+    few = state.candidates.filter("kind = 'fact'").select(F.col("id").alias("fact_id"))
+    named = state.mentions.join(F.broadcast(few), "fact_id", "left_semi").groupBy(F.col("fact_id").alias("id")).agg(F.array_sort(F.collect_set("entity")).alias("entities")).withColumn("kind", F.lit("fact"))  # k facts
+    return _with(state, state.candidates.join(F.broadcast(named), ["kind", "id"], "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>"))))
 
 
 STAGES: list[Stage] = [vector_lists, fulltext_lists, chunk_facts, fuse, siblings, neighbours, post_filter, blend, top_k]
 
 
+def full_stages(by: Callable[[DataFrame, str], DataFrame] | None = None, **walks: int) -> list[Stage]:
+    """All stages: with entities linked, a walk, origins and, given a model's order, reranking."""
+    order = [] if by is None else [lambda s: rerank(s, by)]
+    return [link, vector_lists, fulltext_lists, chunk_facts, lambda s: walk(s, **walks), fuse, siblings, neighbours, origin, post_filter, blend, *order, top_k, hydrate]
+
+
 def recall(state: State, stages: list[Stage] | None = None) -> DataFrame:
     return compose(STAGES if stages is None else stages)(state).candidates

@@ -25,7 +25,8 @@ def nearest(rows: DataFrame, key: str, vector: list[float], k: int, where: Colum
 def bm25_by(rows: DataFrame, by: list[str], key: str, column: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """by, key and score of rows that hold a term of query; counts and lengths are those of the row's group (by: a few groups). Only the query's terms are exploded."""
     wanted = sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
-    docs = rows.select(*by, key, text.terms(F.col(column)).alias("terms")).withColumn("n", F.size("terms").cast("double"))
+    every = rows.select(*by, key, text.terms(F.col(column)).alias("every"))
+    docs = every.select(*by, key, F.size("every").cast("double").alias("n"), F.filter("every", lambda t: t.isin(wanted)).alias("terms"))  # one pass over a text; what is left is short
     whole = docs.groupBy(*by).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     tf = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("terms", _is(t))).cast("double").alias("tf")) for t in wanted)))
     hits = docs.select(*by, key, "n", tf.alias("t")).select(*by, key, "n", "t.*").filter("tf > 0")

@@ -105,21 +105,60 @@ def request(spark: SparkSession, sf_dir: str, **changes: object) -> recall.Reque
     return recall.Request(_probe(spark, sf_dir), f"{WORDS} the ring", D.now(), D.at(), **(plain | changes))
 
 
+def state(spark: SparkSession, sf_dir: str, asked: recall.Request) -> recall.State:
+    """Items are written once, without vectors, as several stages read them."""
+    number = F.split_part("entity", F.lit(":"), F.lit(2)).cast("long")
+    named = D.mentions(spark, sf_dir)
+    entities = D.with_vectors(spark, sf_dir, named.select("entity").distinct().withColumn("number", number), "number").select("entity", "embedding")
+    from_episode = D.episodes(spark, sf_dir).select(F.col("episode_id").alias("entity_id"), "agent_id", "session_id")
+    origins = D.facts(spark, sf_dir).select("fact_id", "entity_id").join(from_episode, "entity_id").select("fact_id", "agent_id", "session_id")
+    rows = store.cut(items(spark, sf_dir))
+    return recall.State(asked, rows, links(spark, sf_dir), vectors=lambda few: D.with_vectors(spark, sf_dir, few, "id"), chunks=D.chunks(spark, sf_dir), mentions=named, entities=entities, origins=origins)
+
+
+HEAD_SQL = RECALL_ALL[: RECALL_ALL.index(",\ncl AS")].replace("FROM items, params WHERE kind IN ('fact', 'chunk', 'knowledge_chunk', 'procedure', 'research_chunk')", "FROM items, params WHERE kind = 'fact'").replace("v.vec_id), params WHERE NOT", "v.vec_id), params WHERE kind = 'fact' AND NOT")
+STEPS = ", ".join(f"r{i} AS MATERIALIZED (SELECT node, sum(x) AS rank FROM (SELECT node, 0.15::DOUBLE AS x FROM seeds UNION ALL SELECT f.dst, 0.85::DOUBLE * r.rank / f.degree FROM r{i - 1} r JOIN flow f ON f.src = r.node) GROUP BY node)" for i in range(1, 7))
+RECALL_FULL = HEAD_SQL + f""", linked AS (SELECT entity AS node FROM (SELECT DISTINCT entity FROM mentions) JOIN embeddings ON CAST(split_part(entity, ':', 2) AS INT) % (SELECT count(*) FROM embeddings) = vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) DESC, entity LIMIT 5),
+best AS (SELECT id FROM (SELECT * FROM near UNION ALL SELECT * FROM ft) GROUP BY id ORDER BY min(place), id LIMIT 10),
+seeds AS (SELECT node FROM linked UNION SELECT entity FROM mentions WHERE fact_id IN (SELECT id FROM best)),
+ways AS (SELECT entity AS src, 'fact:' || fact_id AS dst FROM mentions UNION ALL SELECT 'fact:' || fact_id, entity FROM mentions), flow AS MATERIALIZED (SELECT a.src, a.dst, d.degree FROM ways a JOIN (SELECT src, count(*) AS degree FROM ways GROUP BY src) d USING (src)),
+r0 AS (SELECT node, 0.15::DOUBLE AS rank FROM seeds), {STEPS},
+walked AS (SELECT fact_id AS id, row_number() OVER (ORDER BY round(rank, 12) DESC, fact_id) AS place FROM r6 JOIN facts ON node = 'fact:' || fact_id WHERE rank > 0 AND valid_to IS NULL AND deleted_at IS NULL AND fact_id NOT IN (SELECT id FROM near UNION SELECT id FROM ft) ORDER BY place LIMIT 30),
+fused AS (SELECT id, sum(1.0::DOUBLE / (60 + place)) AS fused, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT id, source, place FROM near UNION ALL SELECT id, source, place FROM ft UNION ALL SELECT id, 'graph', place FROM walked) GROUP BY id),
+seed AS (SELECT DISTINCT entity_id FROM (SELECT id FROM fused ORDER BY round(fused, 9) DESC, id LIMIT 20) JOIN facts ON fact_id = id WHERE deleted_at IS NULL),
+sib AS (SELECT fact_id, row_number() OVER (ORDER BY recorded_at DESC, fact_id) AS place FROM facts WHERE deleted_at IS NULL AND valid_to IS NULL AND entity_id IN (SELECT entity_id FROM seed) AND fact_id NOT IN (SELECT id FROM fused) ORDER BY place LIMIT 20),
+cand AS (SELECT id, fused, sources FROM fused UNION ALL SELECT fact_id, 1.0::DOUBLE / (60 + place), 'sibling' FROM sib),
+kept AS (SELECT c.fused, c.sources, i.*, e.agent_id AS origin_agent, e.session_id AS origin_session FROM cand c JOIN items i ON i.kind = 'fact' AND i.id = c.id LEFT JOIN episodes e ON e.episode_id = i.entity_id, params WHERE NOT redacted AND {AT} AND (i.project_id IS NULL OR i.project_id = 'p1')),
+b AS (SELECT *, count(*) OVER () AS n_before, fused / max(fused) OVER () AS rrf, pow(0.5, greatest(0, epoch_us(t_now) - epoch_us(seen_at)) / 86400000000.0 / 30) AS rec FROM kept, params),
+s AS (SELECT *, CAST((0.5 * rrf + 0.2 * importance + 0.1 * confidence + 0.1 * rec + 0.1 * least(1, ln(1 + used) / ln(11))) * CASE sources WHEN 'sibling' THEN 0.5 WHEN 'graph' THEN 0.5 ELSE 1.0 END
+  * CASE WHEN coalesce(origin_agent, agent_id) = 'a1' THEN 1.15 ELSE 1.0 END * CASE WHEN coalesce(origin_session, session_id) = 's7' THEN 1.05 ELSE 1.0 END AS DOUBLE) AS score FROM b),
+w20 AS (SELECT id, content, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS nth FROM s QUALIFY nth <= 20),
+told AS (SELECT id, nth, row_number() OVER (ORDER BY length(content) % 7 DESC, id) AS place FROM w20 QUALIFY place <= 10)
+SELECT id, sources, n_before, round(score, 6) AS score, place, coalesce(place < nth, false) AS promoted, coalesce((SELECT string_agg(DISTINCT entity, ',' ORDER BY entity) FROM mentions m WHERE m.fact_id = s.id), '') AS entities FROM s LEFT JOIN told USING (id) QUALIFY row_number() OVER (ORDER BY place NULLS LAST, round(score, 9) DESC, id) <= 20"""
+
+
+@query(RECALL_FULL.replace(P1 + " AND " + U7 + " AND " + A1 + " AND " + S7, P1).replace(P1 + " AND " + U7, P1))
+def recall_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by all stages: entities linked to the request, the walk's list, origins, a reranker (here by length), and the entities of what stays."""
+    asked = request(spark, sf_dir, kinds=("fact",), scopes={"project_id": "p1"}, own={"agent_id": "a1", "session_id": "s7"}, min_importance=None, min_confidence=None, overlap=None)
+    by = lambda rows, words: rows.select("id", (F.length("content") % 7).alias("by"))
+    found = recall.recall(state(spark, sf_dir, asked), recall.full_stages(by, iterations=6))
+    return found.select("id", "sources", "n_before", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"), F.coalesce("promoted", F.lit(False)).alias("promoted"), F.array_join("entities", ",").alias("entities"))
+
+
 @query(RECALL_ALL)
 def recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request over ten kinds: vector and full-text lists, facts of found chunks, fusion, siblings, neighbours, filters, blends, the best of each kind."""
-    rows = D.with_vectors(spark, sf_dir, items(spark, sf_dir), "id")
-    found = recall.recall(recall.State(request(spark, sf_dir), rows, links(spark, sf_dir)))
+    found = recall.recall(state(spark, sf_dir, request(spark, sf_dir)))
     return found.select("kind", "id", "sources", "n_before", F.round("score", 6).alias("score"))
 
 
 @query(RECALL_ALL.replace("FROM s QUALIFY", "FROM s WHERE kind IN ('fact', 'preference', 'insight') QUALIFY").replace("'p1'", "'p2'").replace("SELECT * FROM near UNION ALL SELECT * FROM ft UNION ALL SELECT * FROM cd", "SELECT * FROM near UNION ALL SELECT * FROM ft"))
 def recall_default_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds that a request includes unless it says otherwise, by a list of stages without chunks."""
-    rows = D.with_vectors(spark, sf_dir, items(spark, sf_dir), "id")
     asked = request(spark, sf_dir, kinds=recall.DEFAULT, scopes={"project_id": "p2", "user_id": "u7", "agent_id": "a1", "session_id": "s7"})
     stages = [s for s in recall.STAGES if s not in (recall.chunk_facts, recall.neighbours)]
-    found = recall.recall(recall.State(asked, rows, links(spark, sf_dir)), stages)
+    found = recall.recall(state(spark, sf_dir, asked), stages)
     return found.select("kind", "id", "sources", "n_before", F.round("score", 6).alias("score"))
 
 
