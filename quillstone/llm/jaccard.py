@@ -152,9 +152,11 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: flo
     marked: k1, k2 (row_key of doc_id and text), bits and sketch of each row of docs."""
     nodes = marked.filter("sketch.n > 0").groupBy("bits", F.col("sketch.set_key").alias("set_key")).agg(F.min_by(F.struct("k1", "k2", "sketch"), F.struct("k1", "k2")).alias("m"))
     rows = nodes.select("bits", "m.k1", "m.k2", "m.sketch.n", F.posexplode("m.sketch.bands").alias("t", "cell"))
-    sizes = rows.groupBy("t", "cell").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+    sizes = rows.groupBy("t", "cell").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"), F.min("bits").alias("lo"), F.max("bits").alias("hi"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2"))
     sizes = sizes.filter("lo <> hi")  # rows of one fingerprint are one node already
-    met = shared_table(rows.join(sizes.select("t", "cell", "rows", "hashes"), ["t", "cell"]))
+    # texts that are very near meet in many bands; cells of the same members (a key of 128 bits tells) have the same links, so one of them will do
+    once = sizes.groupBy("rows", "hashes", "x1", "x2").agg(F.min(F.struct("t", "cell")).alias("c")).select("c.t", "c.cell", "rows", "hashes")
+    met = shared_table(rows.join(once, ["t", "cell"]))
     keyed = docs.select(*row_key("doc_id", "text"), "text").join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     held = keyed.select("k1", "k2", sets(F.col("text"), width).alias("set"))  # stays where the keys are dealt: neither written nor exchanged again
     parts = F.greatest(F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("hashes") / cell_hashes)).cast("int")
