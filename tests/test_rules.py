@@ -332,3 +332,60 @@ def test_streams_without_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
     assert jobs.bucket_counts(spark, str(tmp_path / "none"), schema).count() == 0 and jobs.sessions(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def _recall(spark, items, **parts):
+    """A state over a few items of all the columns that recall needs."""
+    from quillstone.operators import recall
+    from quillstone.plans.kinds import ITEM, TYPES
+
+    given = ["kind", "id", "content", "project_id", "importance", "confidence", "used", "entity_id"]
+    rows = spark.createDataFrame(items, "kind string, id long, content string, project_id string, importance double, confidence double, used long, entity_id long, embedding array<double>")
+    plain = {"redacted": F.lit(False), "live": F.lit(True), "seen_at": D.at(), "valid_from": F.lit("2020-01-01")}
+    table = rows.select(*(F.col(c) if c in given else plain.get(c, F.lit(None)).cast(TYPES[c]).alias(c) for c in ITEM), "embedding")
+    none = spark.createDataFrame([], "chunk_id long, fact_id long")
+    asked = recall.Request([1.0, 0.0], "cats", D.now(), D.at(), **parts.pop("asked", {}))
+    return recall, recall.State(asked, table, none, **parts)
+
+
+def test_neighbours_go_by_position(spark):
+    """Ids say nothing of places; other episodes' chunks aren't neighbours; the radius counts."""
+    items = [("chunk", i, "x", None, None, None, None, None, [1.0, 0.0] if i == 70 else [0.0, 1.0]) for i in (70, 3, 99, 71, 5)]
+    chunks = spark.createDataFrame([(70, 1, 4), (3, 1, 3), (99, 1, 5), (5, 1, 6), (71, 2, 5)], "chunk_id long, episode_id long, position long")
+    recall, state = _recall(spark, items, chunks=chunks)
+    found = spark.createDataFrame([("chunk", 70, 0.5, "vector")], "kind string, id long, fused double, sources string")
+    near = lambda radius: {r.id: r.fused for r in recall.neighbours(recall._with(state, found), radius=radius).candidates.collect()}
+    assert near(1) == pytest.approx({70: 0.5, 3: 0.15, 99: 0.15}) and near(2).keys() == {70, 3, 99, 5}
+
+
+def test_research_needs_a_project(spark):
+    items = [("research", 1, "x", "p1", None, None, None, None, [1.0, 0.0]), ("research", 2, "x", None, None, None, None, None, [1.0, 0.0]), ("knowledge_chunk", 3, "x", "p1", None, None, None, None, [1.0, 0.0])]
+    for scopes, want in (({}, {3}), ({"project_id": "p1"}, {1, 2, 3})):
+        recall, state = _recall(spark, items, asked={"kinds": ("research", "knowledge_chunk"), "scopes": scopes})
+        assert {r.id for r in recall.vector_lists(state).candidates.collect()} == want
+
+
+def test_rerank_keeps_within_the_context(spark):
+    """The window is halved where its texts are too long; those reranked come first, the others follow by score."""
+    items = [("fact", i, "word " * 20, None, 0.5, 0.5, 0, 1, [1.0, 0.0]) for i in range(8)]
+    recall, state = _recall(spark, items)
+    scored = recall._with(state, spark.createDataFrame([("fact", i, 1.0 - i / 10) for i in range(8)], "kind string, id long, score double"))
+    asked = []
+
+    def by(rows, words):
+        asked.append(sorted(r.id for r in rows.collect()))
+        return rows.select("id", F.col("id").alias("by"))
+
+    order = lambda **k: [(r.id, r.promoted) for r in recall.top_k(recall.rerank(scored, by, **k)).candidates.orderBy("nth").collect()]
+    assert order(window=4, keep=3) == [(3, True), (2, True), (1, False), (0, None), (4, None), (5, None), (6, None), (7, None)] and asked[-1] == [0, 1, 2, 3]
+    assert [i for i, _ in order(window=4, context=100)] == [1, 0, 2, 3, 4, 5, 6, 7] and asked[-1] == [0, 1]
+    assert order(window=4, chars=4, context=100)[0][0] == 3
+
+
+def test_requests_are_embedded_as_texts_are(spark):
+    from quillstone.operators import recall
+
+    v = recall.request_vector(spark, "two cats two")
+    assert abs(sum(x * x for x in v) - 1) < 1e-9 and recall.request_vector(spark, " ") == []
+    row = spark.createDataFrame([("two cats two",), (None,), ("",)], "t string").select(vectors.hashed_words(F.col("t")).alias("v")).collect()
+    assert row[0].v == v and row[1].v is None and row[2].v is None
