@@ -55,9 +55,9 @@ def blocks(items: Iterable[tuple[str, str]], width: int, block_chars: int) -> It
         for w in windows(words, width):
             size += len(w)
             out.setdefault(w, (min(width, len(words)), {}))[1][item] = None
-        if size > block_chars:
-            yield out
-            out, size = {}, 0
+            if size > block_chars:  # within an item as well, as its windows don't need each other
+                yield out
+                out, size = {}, 0
     if out:
         yield out
 
@@ -165,12 +165,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> Data
     return with_hits(held, benchmark, **options).filter("hits.hit_words IS NULL").select("own.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+@F.arrow_udf(T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("hits", T.StringType())]))
+def _placed(texts: pa.Array, masks: pa.Array, n_words: pa.Array) -> pa.Array:
+    """How many words are hit, and where their runs stand in the original (start:end in code points, comma-joined)."""
+    counts, places = [], []
+    for text, mask, n in zip(texts, masks.to_pylist(), n_words.to_pylist()):
+        counts.append(0 if mask is None else int.from_bytes(mask, "big").bit_count())
+        hit = () if mask is None else np.unpackbits(np.frombuffer(mask, dtype=np.uint8))[:n]
+        places.append(",".join(f"{a}:{b}" for a, b in hit_spans(text.as_py(), hit)) if len(hit) else "")
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(places, pa.string())], ["n_hit", "hits"])
 
-    @F.arrow_udf(T.LongType())
-    def bits(masks: pa.Array) -> pa.Array:
-        return pa.array([0 if m is None else int.from_bytes(m, "big").bit_count() for m in masks.to_pylist()], pa.int64())
 
-    h = with_hits(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", "hits.*", bits("hits.hit_words").alias("n_hit"))
-    return h.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (runs of hit words in the original text, start:end in code points) of every document."""
+    h = with_hits(docs.select("doc_id", "text"), benchmark, **options)
+    h = h.select("doc_id", "hits.*", _placed(F.when(F.col("hits.hit_words").isNotNull(), F.col("text")), "hits.hit_words", "hits.n_words").alias("p"))  # clean texts stay in the JVM
+    return h.select("doc_id", "n_words", "p.n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("p.n_hit") > 0).alias("contaminated"), "p.hits")

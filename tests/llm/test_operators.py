@@ -349,8 +349,12 @@ def contamination(texts, items):
 def test_decontamination(spark, docs, block):
     bench = pd.concat([pd.read_parquet(f"{SF}/benchmark.parquet"), pd.DataFrame({"item_id": [900, 901, 901], "text": ["Of the", "é 9", None]})])
     df = decontaminate.contamination(spark.read.parquet(f"{SF}/documents.parquet"), spark.createDataFrame(bench), block_chars=block)
-    got = table(df)[["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]]
+    rows = table(df)
+    got = rows[["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]]
     assert [*map(tuple, got.itertuples(index=False))] == [*contamination(docs.text, bench.itertuples(index=False))]
+    for text, n, hits in zip(docs.text, rows.n_hit, rows.hits):  # the places hold the words that are hit, and no others
+        spans = [tuple(map(int, h.split(":"))) for h in hits.split(",") if h]
+        assert spans == sorted(spans) and sum(len(WORD.findall(text[a:b].translate(LOWER))) for a, b in spans) == n
 
 
 def test_hits_map_to_the_original(spark):
