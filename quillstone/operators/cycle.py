@@ -1,6 +1,7 @@
 """The batch cycle: pure passes over tables, composed by a driver, with the model's parts as hooks.
 
-A hook is a function of DataFrames with a plain default, so a cycle runs and is tested without any model. Every pass is safe to repeat."""
+A hook is a function of DataFrames with a plain default, so a cycle runs and is tested without any model. Every pass is safe to repeat. These are passes over tables given as they are; the whole cycle, with
+its judge, over committed tables is in resume.py."""
 
 from __future__ import annotations
 
@@ -35,17 +36,11 @@ def named_together(facts: DataFrame, mentions: DataFrame) -> DataFrame:
     return facts.join(two, "fact_id").select(F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"), "confidence")
 
 
-def keep_first(cluster: DataFrame) -> DataFrame:
-    """The default judge of clusters: merge all of a cluster into one. group, fact_id."""
-    return cluster.select(F.col("cluster").alias("group"), F.col("id").alias("fact_id"))
-
-
 @dataclass(frozen=True)
 class Hooks:
     summarise: Callable[[DataFrame, str, str, int], DataFrame] = first_lines
     extract: Callable[[DataFrame], DataFrame] = per_line
     relate: Callable[[DataFrame, DataFrame], DataFrame] = named_together
-    judge: Callable[[DataFrame], DataFrame] = keep_first
     decide: Callable[[DataFrame], DataFrame] | None = None
 
 

@@ -197,14 +197,16 @@ def facts_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).crossJoin(F.broadcast(total))  # one row
 
 
-DOCS = "SELECT '{0}' AS sorted_by, doc_id, total FROM (SELECT *, count(*) OVER () AS total FROM documents WHERE doc_id % 9 <> 0 AND source = 'src0' AND lang = 'en' AND (contains(lower(text), 'the') OR contains(lower(source), 'the')) ORDER BY {1} LIMIT 15 OFFSET 3)"
+DOCS = "SELECT '{0}' AS sorted_by, doc_id, total FROM (SELECT *, count(*) OVER () AS total FROM documents WHERE doc_id % 9 <> 0 AND (doc_id % 3 = 0 OR doc_id % 4 = 1) AND source = 'src0' AND lang = 'en' AND (contains(lower(text), 'the') OR contains(lower(source), 'the')) ORDER BY {1} LIMIT 15 OFFSET 3)"
 
 
 @query(" UNION ALL ".join(DOCS.format(n, o) for n, o in (("recent", "n_chars DESC, doc_id"), ("created", "doc_id DESC"), ("title", "lower(left(text, 20)), doc_id"))), plain=True)
 def documents_ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live documents of a source and kind that hold a word, a page in each order, with the total."""
+    """Live documents of a source and kind, in the scope of a project or of none, that hold a word, a page in each order, with the total."""
+    project = F.when(F.col("doc_id") % 3 != 0, D.named("p", F.col("doc_id") % 4))
     found = F.lower("text").contains("the") | F.lower("source").contains("the")
-    rows = D.table(spark, sf_dir, "documents").filter((F.col("doc_id") % 9 != 0) & (F.col("source") == "src0") & (F.col("lang") == "en") & found).withColumn("title", F.lower(F.left("text", F.lit(20)))).select("doc_id", "n_chars", "title")
+    scoped = D.table(spark, sf_dir, "documents").withColumn("project_id", project).filter(scope.allows({"project_id": "p1"}, "filter", ("project_id",)))
+    rows = scoped.filter((F.col("doc_id") % 9 != 0) & (F.col("source") == "src0") & (F.col("lang") == "en") & found).withColumn("title", F.lower(F.left("text", F.lit(20)))).select("doc_id", "n_chars", "title")
     total, out = rows.agg(F.count("*").alias("total")), []
     for name, order in (("recent", [F.col("n_chars").desc(), "doc_id"]), ("created", [F.col("doc_id").desc()]), ("title", ["title", "doc_id"])):
         out.append(rows.orderBy(*order).offset(3).limit(15).select(F.lit(name).alias("sorted_by"), "doc_id"))
