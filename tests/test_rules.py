@@ -212,7 +212,7 @@ def test_empty_state_stays_empty(spark):
         assert op(v, ["project_id"]).isEmpty()
     assert consolidate.fresh(v, v, ["project_id"]).isEmpty()
     edges = spark.createDataFrame([], "src string, dst string")
-    assert graph.components(edges).isEmpty() and graph.pagerank(edges, spark.createDataFrame([], "node string")).isEmpty() and graph.overview(edges, 3, 3).isEmpty()
+    assert graph.components(edges).isEmpty() and graph.pagerank(edges, spark.createDataFrame([], "node string")).isEmpty() and graph.overview(edges, edges.select(F.col("src").alias("node"), F.lit("k").alias("kind")), 3, 3)[0].isEmpty()
 
 
 def test_chunks_fit_and_join():
