@@ -133,7 +133,8 @@ def test_groups_carry_the_speaker(spark):
     said = ["USER(Anna): " + "a" * 60, "b" * 80, "ASSISTANT: c", "d" * 90]
     chunks = spark.createDataFrame([(i, 1, i, t) for i, t in enumerate(said)] + [(9, 2, 0, "no label at all"), (10, 2, 1, None)], "chunk_id long, episode_id long, position long, text string")
     got = {(r.episode_id, r.group): r.body for r in resume.groups(chunks, 25).collect()}
-    assert got == {(1, 0): said[0], (1, 1): f"[continued mid-turn; current speaker: USER(Anna)]\n\n{said[1]}\n\n{said[2]}" if len(said[1]) // 4 + 2 + 3 <= 25 else f"[continued mid-turn; current speaker: USER(Anna)]\n\n{said[1]}", (1, 2): f"[continued mid-turn; current speaker: ASSISTANT]\n\n{said[3]}", (2, 0): "no label at all"}
+    note = "[continued mid-turn; current speaker: {}]\n\n{}"
+    assert got == {(1, 0): said[0], (1, 1): note.format("USER(Anna)", said[1]), (1, 2): said[2], (1, 3): note.format("ASSISTANT", said[3]), (2, 0): "no label at all"}
 
 
 def test_the_judge_decides(spark, tmp_path):
