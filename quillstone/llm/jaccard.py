@@ -156,7 +156,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, width: int = 5, least: flo
     sizes = sizes.filter("lo <> hi")  # rows of one fingerprint are one node already
     # texts that are very near meet in many bands; cells of the same members (a key of 128 bits tells) have the same links, so one of them will do
     once = sizes.groupBy("rows", "hashes", "x1", "x2").agg(F.min(F.struct("t", "cell")).alias("c")).select("c.t", "c.cell", "rows", "hashes")
-    met = shared_table(rows.join(once, ["t", "cell"]))
+    met = shared_table(rows.join(once, ["t", "cell"]), compression="zstd")
     keyed = docs.select(*row_key("doc_id", "text"), "text").join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     held = keyed.select("k1", "k2", sets(F.col("text"), width).alias("set"))  # stays where the keys are dealt: neither written nor exchanged again
     parts = F.greatest(F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("hashes") / cell_hashes)).cast("int")

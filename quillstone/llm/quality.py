@@ -123,7 +123,7 @@ def keep_quality(docs: DataFrame, min_words: int = 50, min_common: int = 50, **l
     """The documents that are kept, with their own columns. Texts are worked on once: the documents go to the shared folder beside their figures and histograms, and are read from there when the
     references are known. What is left there is named in ``leftovers`` of the result; it can be discarded when that is written."""
     held = _repeats(_histograms(docs.select(F.struct(*docs.columns).alias("own__"), "text", "lang")))
-    rows = shared_table(held.select("own__", "lang__", "n_words", "n_repeat_words", "classes__", "common__", "known__"))
+    rows = shared_table(held.select("own__", "lang__", "n_words", "n_repeat_words", "classes__", "common__", "known__"), compression="zstd")  # texts, for one reading
     out = _judged(rows, references(rows, min_words, min_common), min_words, **limits).filter("kept").select("own__.*")
     out.leftovers = [rows]
     return out
