@@ -42,7 +42,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PER_KIND, COPIES, LONGEST = 128, 3, 200
-WINDOW, EMBED, HIDDEN, STEPS, BATCH, MIN_SCORE = 64, 12, 24, 400, 48, 0.6
+WINDOW, EMBED, HIDDEN, STEPS, BATCH, MIN_SCORE = 64, 12, 24, 250, 48, 0.6
 #: What stands between the parts of a span in other forms, by kind; phones have other beginnings.
 FORMS = [(" @ ", "(at)", " at ", "[at]"), ("[.]", " . ", "-"), (".", "/", "  "), ("", "0", "00", "(0)")]
 FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
@@ -105,78 +105,87 @@ def tags_of(n: int, spans: list[Span]) -> np.ndarray:
 
 
 class Tagger:
-    """Embedding, an LSTM in each direction, and a CRF over the tags."""
+    """Embedding, an LSTM in each direction, and a CRF over the tags. Both directions are worked on together; the second reads the window from its end."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        init = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
+        init = lambda *shape: r.normal(0, 1 / np.sqrt(shape[-2]), shape)
         self.p = {"E": r.normal(0, 0.5, (128, EMBED)), "O": init(2 * HIDDEN, TAGS), "o": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS))}
-        for d in "fb":
-            self.p |= {f"X{d}": init(EMBED, 4 * HIDDEN), f"H{d}": init(HIDDEN, 4 * HIDDEN), f"c{d}": np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]}
-
-    def lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: time, batch, embedding."""
-        pre, h, c, out, kept = x @ self.p[f"X{d}"] + self.p[f"c{d}"], *np.zeros((2, x.shape[1], HIDDEN)), np.empty((*x.shape[:2], HIDDEN)), []
-        for t in range(len(x)):
-            z = pre[t] + h @ self.p[f"H{d}"]
-            s, g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN])), np.tanh(z[:, 3 * HIDDEN :])
-            i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-            kept.append((h, c, i, f, o, g))
-            c = f * c + i * g
-            h = out[t] = o * np.tanh(c)
-        return out, kept
-
-    def lstm_back(self, x: np.ndarray, d: str, kept: list, dout: np.ndarray, grad: dict) -> np.ndarray:
-        dh, dc, dz = np.zeros_like(dout[0]), np.zeros_like(dout[0]), np.empty((*x.shape[:2], 4 * HIDDEN))
-        for t in reversed(range(len(x))):
-            h, c, i, f, o, g = kept[t]
-            tc = np.tanh(f * c + i * g)
-            dh = dh + dout[t]
+        self.p |= {"X": init(2, EMBED, 4 * HIDDEN), "H": init(2, HIDDEN, 4 * HIDDEN), "c": np.tile(np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)], (2, 1))}
+
+    def lstm(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """x: direction, time, batch, embedding. Gates are in, forget and out by logistic, the candidate by tanh: one tanh does for all."""
+        n = x.shape[:3]
+        pre, out = x @ self.p["X"][:, None] + self.p["c"][:, None, None], np.zeros((2, n[1] + 1, n[2], HIDDEN), x.dtype)
+        cells, gates, tanhs = np.zeros_like(out), np.empty_like(pre), np.empty((*n, HIDDEN), x.dtype)
+        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(x.dtype)
+        for t in range(n[1]):
+            z = np.tanh((pre[:, t] + out[:, t] @ self.p["H"]) * half)
+            z[..., : 3 * HIDDEN] = (z[..., : 3 * HIDDEN] + 1) / 2
+            i, f, o, g = (z[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            gates[:, t] = z
+            cells[:, t + 1] = f * cells[:, t] + i * g
+            tanhs[:, t] = np.tanh(cells[:, t + 1])
+            out[:, t + 1] = o * tanhs[:, t]
+        return out[:, 1:], (out[:, :-1], cells, gates, tanhs)
+
+    def lstm_back(self, x: np.ndarray, kept: tuple, dout: np.ndarray, grad: dict) -> np.ndarray:
+        before, cells, gates, tanhs = kept
+        dz, back = np.empty_like(gates), self.p["H"].transpose(0, 2, 1)
+        dh = dc = np.zeros_like(dout[:, 0])
+        for t in reversed(range(x.shape[1])):
+            i, f, o, g = (gates[:, t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            tc, d = tanhs[:, t], dz[:, t]
+            dh = dh + dout[:, t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz[t] = np.c_[dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)]
-            grad[f"H{d}"] += h.T @ dz[t]
-            dc, dh = dc * f, dz[t] @ self.p[f"H{d}"].T
-        grad[f"X{d}"] += np.einsum("tbe,tbk->ek", x, dz)
-        grad[f"c{d}"] += dz.sum((0, 1))
-        return dz @ self.p[f"X{d}"].T
+            d[..., :HIDDEN] = dc * g * i * (1 - i)
+            d[..., HIDDEN : 2 * HIDDEN] = dc * cells[:, t] * f * (1 - f)
+            d[..., 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
+            d[..., 3 * HIDDEN :] = dc * i * (1 - g * g)
+            dc, dh = dc * f, d @ back
+        rows = lambda a: np.ascontiguousarray(a).reshape(2, -1, a.shape[-1])
+        grad["H"] += rows(before).transpose(0, 2, 1) @ rows(dz)
+        grad["X"] += rows(x).transpose(0, 2, 1) @ rows(dz)
+        grad["c"] += dz.sum((1, 2))
+        return dz @ self.p["X"].transpose(0, 2, 1)[:, None]
 
     def emit(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Scores (time, batch, tag) of windows (batch, time)."""
         x = self.p["E"][ids.T]
-        f, kf = self.lstm(x, "f")
-        b, kb = self.lstm(x[::-1], "b")
-        h = np.concatenate([f, b[::-1]], axis=2)
-        return h @ self.p["O"] + self.p["o"], (x, kf, kb, h)
-
-    def sums(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward: log sums over the paths up to each tag (time, batch, tag), after it, and over all (batch)."""
-        lse = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
-        alpha, beta, trans = np.empty_like(u), np.zeros_like(u), self.p["T"]
-        alpha[0] = u[0]
-        for t in range(1, len(u)):
-            alpha[t] = u[t] + lse(alpha[t - 1][:, :, None] + trans, 1)
+        both = np.stack([x, x[::-1]])
+        out, kept = self.lstm(both)
+        h = np.concatenate([out[0], out[1, ::-1]], axis=2)
+        return h @ self.p["O"] + self.p["o"], (both, kept, h)
+
+    def marginals(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over the CRF, each place scaled to a sum of 1: the probabilities of tags (time, batch, tag), and those of pairs of neighbours, summed over places and windows."""
+        e, trans = np.exp(u - u.max(2, keepdims=True)), np.exp(self.p["T"] - self.p["T"].max())
+        alpha, beta, scale = np.empty_like(u), np.ones_like(u), np.empty((*u.shape[:2], 1), u.dtype)
+        for t in range(len(u)):
+            a = (alpha[t - 1] @ trans if t else 1.0) * e[t]
+            scale[t] = a.sum(1, keepdims=True)
+            alpha[t] = a / scale[t]
         for t in reversed(range(len(u) - 1)):
-            beta[t] = lse(trans + (u[t + 1] + beta[t + 1])[:, None, :], 2)
-        return alpha, beta, lse(alpha[-1], 1)
+            beta[t] = (e[t + 1] * beta[t + 1] / scale[t + 1]) @ trans.T
+        pairs = alpha[:-1].reshape(-1, TAGS).T @ (e[1:] * beta[1:] / scale[1:]).reshape(-1, TAGS) * trans
+        return alpha * beta, pairs
 
     def step(self, ids: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
         """The gradient of the mean negative log-likelihood."""
-        u, (x, kf, kb, h) = self.emit(ids)
-        tags, n, trans = tags.T, len(ids), self.p["T"]
-        alpha, beta, z = self.sums(u)
-        du = np.exp(alpha + beta - z[:, None])
-        pair = alpha[:-1, :, :, None] + trans + (u[1:] + beta[1:])[:, :, None, :] - z[:, None, None]
+        u, (x, kept, h) = self.emit(ids)
+        tags, n = tags.T, len(ids)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grad["T"] = np.exp(pair).sum((0, 1))
+        du, grad["T"] = self.marginals(u)
         np.add.at(grad["T"], (tags[:-1], tags[1:]), -1)
         np.put_along_axis(du, tags[:, :, None], np.take_along_axis(du, tags[:, :, None], 2) - 1, 2)
-        grad["O"], grad["o"] = np.einsum("tbh,tbk->hk", h, du), du.sum((0, 1))
+        grad["O"], grad["o"] = h.reshape(-1, 2 * HIDDEN).T @ du.reshape(-1, TAGS), du.sum((0, 1))
         dh = du @ self.p["O"].T
-        dx = self.lstm_back(x, "f", kf, dh[:, :, :HIDDEN], grad) + self.lstm_back(x[::-1], "b", kb, dh[::-1, :, HIDDEN:], grad)[::-1]
-        np.add.at(grad["E"], ids.T, dx)
+        dx = self.lstm_back(x, kept, np.stack([dh[..., :HIDDEN], dh[::-1, :, HIDDEN:]]), grad)
+        np.add.at(grad["E"], ids.T, dx[0] + dx[1, ::-1])
         return {k: v / n for k, v in grad.items()}
 
     def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 7) -> Tagger:
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         r, m, v = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         for s in range(1, steps + 1):
             some = r.integers(0, len(ids), BATCH)
@@ -200,8 +209,7 @@ class Tagger:
         tags[-1] = best.argmax(1)
         for t in reversed(range(1, len(u))):
             tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None], 1)[:, 0]
-        alpha, beta, z = self.sums(u)
-        return tags.T, np.take_along_axis(np.exp(alpha + beta - z[:, None]), tags[:, :, None], 2)[:, :, 0].T
+        return tags.T, np.take_along_axis(self.marginals(u)[0], tags[:, :, None], 2)[:, :, 0].T
 
 
 def places(text: str) -> Iterator[tuple[int, int]]:
@@ -349,9 +357,9 @@ def train(docs: DataFrame) -> Tagger | None:
     return Tagger().fit(np.concatenate(ids), np.concatenate(tags))
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (the rules'), base_sha256, spans (all, kind:start:end) of every document."""
-    tagger = docs.sparkSession.sparkContext.broadcast(train(docs))
+def find_personal(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (the rules'), base_sha256, spans (all, kind:start:end) of every document. A tagger trained before serves as it is; without one, docs train it."""
+    tagger = docs.sparkSession.sparkContext.broadcast(tagger or train(docs))
 
     def listed(spans: list[Span]) -> str:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))

@@ -432,13 +432,10 @@ def test_personal_data(spark, docs):
         assert pii.base_spans(text) == base_by_rules(text)
 
 
-def test_tagger_finds_other_forms():
+def test_tagger_finds_other_forms(spark):
     """Trained on even documents, held against texts of odd ones that no even document has, spans in other forms, with other digits."""
     frame = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")
     even = {*frame.text[frame.doc_id % 2 == 0]}
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     tagger = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 2 = 0"))
     r, texts, want = np.random.default_rng(5), [], []
     for text in sorted({*frame.text[frame.doc_id % 2 == 1]} - even):
