@@ -98,14 +98,16 @@ def _repeats(df: DataFrame) -> DataFrame:
     return df.drop("lines__", "hashes__", "two__", "four__", "eight__", "windows__", "sorted__", "places__")
 
 
-def _judged(df: DataFrame, refs: DataFrame, min_words: int = 50, max_class: float = 0.3, max_word: float = 0.36, both: tuple[float, float] = (0.14, 0.33)) -> DataFrame:
-    """Adds base_failed, class_distance, word_distance, kept. A text is far from its language if a distance passes its limit, or each its lower limit in ``both``."""
+def _judged(df: DataFrame, refs: DataFrame, min_words: int = 50, max_class: float = 0.3, max_word: float = 0.36, both: tuple[float, float, float] = (0.12, 0.16, 1.5)) -> DataFrame:
+    """Adds base_failed, class_distance, word_distance, kept. A text is far from its language if a distance passes its limit, or each its lower limit in ``both``: that of classes, and that of words,
+    to which the third number over the root of the text's words is added, as histograms of few words stray further by chance."""
     df = df.join(F.broadcast(refs), "lang__", "left")  # at most five rows
     long = F.col("n_words") >= min_words
     df = df.withColumns({"class_distance": F.when(long, js_distance(F.col("classes__"), F.col("class_reference__"))), "word_distance": F.when(long, js_distance(F.col("common__"), F.col("word_reference__")))})
     df = df.withColumn("base_failed", F.expr(BASE_FAILED))
     by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
-    far = (by_class > max_class) | (by_word > max_word) | (by_class > both[0]) & (by_word > both[1])
+    stray = F.lit(both[2]) / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))
+    far = (by_class > max_class) | (by_word > max_word) | (by_class > both[0]) & (by_word > both[1] + stray)
     return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~far))
 
 
