@@ -204,11 +204,13 @@ def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) % 256 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)
-SELECT doc_id, 256 AS dim, 1.0 AS square, round(max(n) / sqrt(sum(n * n)), 6) AS most FROM w GROUP BY doc_id""", plain=True)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER d), 6) AS weight, 256 AS dim, 1.0 AS square, round(max(n) OVER d / sqrt(sum(n * n) OVER d), 6) AS most FROM w WINDOW d AS (PARTITION BY doc_id)""", plain=True)
 def hashed_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense unit vectors of all texts, as recall takes them: their size, square and greatest share."""
-    v = D.table(spark, sf_dir, "documents").select("doc_id", vectors.hashed_words(F.col("text")).alias("v")).filter("v IS NOT NULL")
-    return v.select("doc_id", F.size("v").cast("long").alias("dim"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("square"), F.round(F.array_max("v"), 6).alias("most"))
+    """Dense unit vectors of all texts, as recall takes them: every number but the zeros by its place, and the vector's size, square and greatest share."""
+    v = D.table(spark, sf_dir, "documents").select("doc_id", vectors.hashed_words(F.col("text")).alias("v"))
+    whole = v.select("doc_id", "v", F.size("v").cast("long").alias("dim"), F.round(vectors.dot(F.col("v"), F.col("v")), 6).alias("square"), F.round(F.array_max("v"), 6).alias("most"))
+    numbers = whole.select("doc_id", F.posexplode_outer("v").alias("bucket", "x"), "dim", "square", "most").filter("x > 0")  # outer, as Spark filters what an inner one explodes, and would embed each text twice for it
+    return numbers.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 6).alias("weight"), "dim", "square", "most")
 
 
 @query("SELECT page_id AS id, sha256(html) AS sha256, octet_length(encode(html)) AS size, sha256(html) AS again, true AS sound, 0 AS swept FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'the same' ELSE html END AS html FROM pages) WHERE html IS NOT NULL", plain=True)

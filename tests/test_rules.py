@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -389,3 +391,18 @@ def test_requests_are_embedded_as_texts_are(spark):
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and recall.request_vector(spark, " ") == []
     row = spark.createDataFrame([("two cats two",), (None,), ("",)], "t string").select(vectors.hashed_words(F.col("t")).alias("v")).collect()
     assert row[0].v == v and row[1].v is None and row[2].v is None
+
+
+def test_every_number_of_a_vector_is_given(spark, tmp_path):
+    """All weights of all texts come out of hashed_vectors_all, not a digest of them; texts without words have none."""
+    from quillstone.plans import records
+
+    texts = ["two cats two", "Two\tCATS\x0btwo  two", None, "", " \n", " ".join(f"w{i}" for i in range(2000)), "ä\u00a0ö 語"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 256 for w in re.split("[ \t\n\x0b\f\r]+", (t or "").lower()) if w)
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        want |= {(i, b): (round(n / norm, 6), 256, 1.0, round(max(counts.values()) / norm, 6)) for b, n in counts.items()}
+    got = records.hashed_vectors_all(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 256 and {(r.doc_id, r.bucket): (r.weight, r.dim, r.square, r.most) for r in got} == want
