@@ -54,12 +54,20 @@ def near(rows: DataFrame, bucket: list[str], least: float, emit: Callable[[np.nd
     def pairs(unit: list[np.ndarray]) -> pd.DataFrame | None:
         right, alone, id_, u, side_, asks_, source_ = unit
         cut_at = len(right) if alone[0] else int(np.searchsorted(right, 1))
-        i, j = (slice(None), slice(None)) if alone[0] else (slice(0, cut_at), slice(cut_at, None))
         if not cut_at or not (alone[0] or cut_at < len(right)) or not asks_.any():
             return None
-        s = np.round(u[i] @ u[j].T, 9)
-        x, y = np.nonzero(np.triu(s >= least, 1) if alone[0] else s >= least)
-        score, x, y = s[x, y], np.arange(len(right))[i][x], np.arange(len(right))[j][y]
+        i = np.arange(cut_at)
+        j = i if alone[0] else np.arange(cut_at, len(right))
+        parts = [(i[asks_[i]], j), *([] if alone[0] else [(i[~asks_[i]], j[asks_[j]])])]  # only rows that ask are multiplied
+        found = []
+        for p, q in parts:
+            s = np.round(u[p] @ u[q].T, 9)
+            a, b = np.nonzero(np.triu(s >= least, 1) if alone[0] and len(p) == len(q) else s >= least)
+            found.append((s[a, b], p[a], q[b]))
+        score, x, y = (np.concatenate(c) for c in zip(*found))
+        if alone[0]:
+            once = (x < y) | (x > y) & ~asks_[y]
+            score, x, y = score[once], x[once], y[once]
         if source is not None:
             apart = np.array([p is None or p != q for p, q in zip(source_[x], source_[y])], dtype=bool)
             x, y, score = x[apart], y[apart], score[apart]
@@ -126,6 +134,10 @@ def _all(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame
     return pd.DataFrame({"left_id": ids, "right_id": others, "score": score})
 
 
+def _lefts(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"id": np.unique(ids)})
+
+
 def _best(k: int):
     def pick(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((others, -score, ids))
@@ -135,6 +147,136 @@ def _best(k: int):
     return pick
 
 
+KEY = ["k1", "k2"]
+WHOLE = 4  # blocks of a bucket that one task decides
+LIST = 48  # of the nearest in a slice
+
+
+def _keyed(rows: DataFrame, bucket: list[str]) -> DataFrame:
+    """k1, k2 (the bucket, and the vectors' length), id, u of rows (id, embedding, bucket...) that can be near to others."""
+    own = rows.select(*bucket, F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("u")).filter(vectors.dot(F.col("u"), F.col("u")) > 0)
+    marked = [*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in bucket), F.size("u")]
+    return own.select(F.xxhash64(*marked).alias("k1"), F.xxhash64(F.lit(1), *marked).alias("k2"), "id", "u")
+
+
+def _large(rows: DataFrame, block: int) -> DataFrame:
+    """Buckets of more rows than one task decides, with their number n."""
+    return cut(rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE * block))
+
+
+def _dealt(rows: DataFrame, *key: str, then: tuple = ()) -> DataFrame:
+    """rows with a key's in one task, in order."""
+    by = [*KEY, *key]
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, *then, "id")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, a key's at a time."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in key])
+        starts = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(0)]).tolist()
+        for p, q in zip(starts, [*starts[1:], batch.num_rows]):
+            if held and last != k[:, p].tolist():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(p, q - p))
+            last = k[:, p].tolist()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    u = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+    return u / np.sqrt((u * u).sum(1, keepdims=True))
+
+
+def _whole(least: float, most: int | None):
+    """Greedy clusters of whole buckets: id, cluster, in order of id; a fact takes its most - 1 nearest free ones, or all that are near. Rows of one id aren't near to each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for table in _runs(batches, KEY):
+            ids, u = table.column("id").to_numpy(), _units(table.column("u"))
+            free = np.ones(len(ids), dtype=bool)
+            for p in range(0, len(ids), 256):
+                rows, others = np.flatnonzero(free[p : p + 256]) + p, np.flatnonzero(free[p:]) + p
+                for i, s in zip(rows.tolist(), np.round(u[rows] @ u[others].T, 9)):
+                    if not free[i]:
+                        continue
+                    hit = np.flatnonzero((s >= least) & free[others] & (ids[others] > ids[i]))
+                    hit = hit if most is None else hit[np.argsort(-s[hit], kind="stable")[: most - 1]]
+                    if len(hit):
+                        free[others[hit]] = False
+                        out.append((np.r_[ids[i], ids[others[hit]]], ids[i]))
+                        size += len(hit) + 1
+            if size > 50_000:
+                yield _clustered(out)
+                out, size = [], 0
+        if out:
+            yield _clustered(out)
+
+    return run
+
+
+def _clustered(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in found]), pa.int64()), pa.array(np.repeat([c for _, c in found], [len(x) for x, _ in found]), pa.int64())], names=["id", "cluster"])
+
+
+def _round(big: DataFrame, least: float, most: int, block: int) -> DataFrame:
+    """Of large buckets (k1, k2, id, u, n) the first facts' clusters: id, cluster, null for those that have nobody."""
+    slices = F.ceil(F.col("n") / (WHOLE * block)).cast("int")
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))
+    first = big.withColumn("nth", nth).filter(F.col("nth") <= 16 * block).filter(F.col("nth") <= F.greatest(F.lit(block), F.floor(F.col("n") / 32))).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    rest = big.withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int"))
+    names = [*KEY, "slice", "rest", "id", "u"]
+    units = first.withColumn("rest", F.lit(0)).select(*names).unionByName(rest.withColumn("rest", F.lit(1)).select(*names))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, [*KEY, "slice"]):
+            at = int(np.searchsorted(table.column("rest").to_numpy(), 1))
+            ids, u = table.column("id").to_numpy(), _units(table.column("u"))
+            for p in range(0, at, 256):
+                own, found = ids[p : min(p + 256, at)], []
+                for i, s in zip(own, np.round(u[p : p + len(own)] @ u[at:].T, 9)):
+                    hit = np.flatnonzero((s >= least) & (ids[at:] > i))
+                    if len(hit) > LIST:
+                        hit = hit[s[hit] >= np.partition(s[hit], len(hit) - LIST)[len(hit) - LIST]]
+                    hit = hit[np.lexsort((ids[at:][hit], -s[hit]))]
+                    found.append((ids[at:][hit[:LIST]], s[hit[:LIST]]))
+                k = [pa.array(np.full(len(own), table.column(c)[0].as_py()), pa.int64()) for c in KEY]
+                yield pa.RecordBatch.from_arrays([*k, pa.array(own, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], names=[*KEY, "id", "others", "scores"])
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, gone, stopped, out = None, set(), False, []
+        for table in _runs(batches, [*KEY, "id"]):
+            now, i = tuple(table.column(c)[0].as_py() for c in KEY), table.column("id")[0].as_py()
+            if now != bucket:
+                bucket, gone, stopped = now, set(), False
+            if stopped or i in gone:
+                continue
+            lists = [list(zip((-x for x in s), ids)) for ids, s in zip(table.column("others").to_pylist(), table.column("scores").to_pylist())]
+            reach = min((x[-1] for x in lists if len(x) == LIST), default=None)  # beyond, a slice may have others
+            sure = sorted(x for part in lists for x in part if reach is None or x <= reach)
+            took = [j for _, j in sure if j not in gone][: most - 1]
+            if reach is not None and len(took) < most - 1:
+                stopped = True
+                continue
+            gone.update(took)
+            out.extend([(i, i), *((j, i) for j in took)] if took else [(i, None)])
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "cluster"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "cluster"])
+
+    lists = _dealt(units, "slice", then=("rest",)).mapInArrow(listed, "k1 long, k2 long, id long, others array<long>, scores array<double>")
+    return _dealt(lists).mapInArrow(decided, "id long, cluster long")
+
+
 def nearest(rows: DataFrame, bucket: list[str], least: float, k: int, sided: bool = False, block: int = BLOCK, asks: str | None = None, source: str | None = None) -> DataFrame:
     """left_id, right_id, score: the k best others of each row (of those that ask, if asks names a column; none of the same source, if source does); each task gives its k best, and the best of those stay."""
     found = near(rows, bucket, least, _best(k), PAIR, sided, block, asks, source)
@@ -153,22 +295,29 @@ def duplicates(facts: DataFrame, bucket: list[str], least: float = 0.92, block:
 
 def fresh(new: DataFrame, live: DataFrame, bucket: list[str], least: float = 0.92, block: int = BLOCK) -> DataFrame:
     """New facts (id, embedding) that neither a live one nor an earlier new one (lesser id) of the bucket, itself kept, is near to: the ordered pass of a cycle, where
-    earlier inserts count. Decided in rounds: a new fact whose nearer and earlier facts have all been dropped stays, one with a kept fact near goes."""
-    held = near(new.withColumn("side", F.lit(0)).unionByName(live.select(*new.columns).withColumn("side", F.lit(1))), bucket, least, _all, PAIR, sided=True, block=block)
-    left = cut(new.select("id").join(held.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti"))
-    links = near(new, bucket, least, _all, PAIR, block=block).filter("right_id < left_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("earlier"))
-    links = cut(links.join(left, "id", "left_semi").join(left.select(F.col("id").alias("earlier")), "earlier", "left_semi"))
-    kept = [left.join(links.select("id").distinct(), "id", "left_anti")]
-    front = cut(kept[0])
+    earlier inserts count. What is left of a bucket of up to WHOLE blocks after the live ones is decided by one task; larger ones in rounds over their links: a new fact
+    whose nearer and earlier facts have all been dropped stays, one with a kept fact near goes."""
+    both = new.withColumns({"side": F.lit(0), "asks": F.lit(1)}).unionByName(live.select(*new.columns).withColumns({"side": F.lit(1), "asks": F.lit(None).cast("int")}))
+    held = near(both, bucket, least, _lefts, "id long", sided=True, block=block, asks="asks")
+    left = cut(new.select("id", "embedding", *bucket).join(held.distinct(), "id", "left_anti"))
+    rows = _keyed(left, bucket)
+    large = _large(rows, block)
+    gone = _dealt(rows.join(large, KEY, "left_anti")).mapInArrow(_whole(least, None), "id long, cluster long").filter("id <> cluster").select("id")
+    kept = left.select("id").join(cut(gone), "id", "left_anti")
+    if large.isEmpty():
+        return kept
+    big = cut(rows.join(large, KEY, "left_semi").select(*KEY, "id", F.col("u").alias("embedding")))
+    links = cut(near(big, KEY, least, _all, PAIR, block=block).filter("right_id < left_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("earlier")))
+    kept = kept.join(links.select("id").distinct(), "id", "left_anti")
+    front, after = cut(big.select("id").join(links.select("id").distinct(), "id", "left_anti")), []
     while not links.isEmpty():
         gone = links.join(front.select(F.col("id").alias("earlier")), "earlier", "left_semi").select("id").distinct()
         rest = links.join(gone, "id", "left_anti")
-        after = cut(rest.join(gone.select(F.col("id").alias("earlier")), "earlier", "left_anti"))
-        waiting = rest.select("id").distinct()
-        front = cut(waiting.join(after.select("id").distinct(), "id", "left_anti"))
-        kept.append(front)
-        links = after
-    return reduce(DataFrame.unionByName, kept)
+        then = cut(rest.join(gone.select(F.col("id").alias("earlier")), "earlier", "left_anti"))
+        front = cut(rest.select("id").distinct().join(then.select("id").distinct(), "id", "left_anti"))
+        after.append(front)
+        links = then
+    return reduce(DataFrame.unionByName, after, kept)
 
 
 def synonyms(entities: DataFrame, bucket: list[str], least: float = 0.9, block: int = BLOCK, asks: str | None = None, k: int | None = None) -> DataFrame:
@@ -191,21 +340,19 @@ def clusters(facts: DataFrame, bucket: list[str], least: float = 0.8, most: int
     """Greedy clusters of 2..most facts in each bucket, by id: the first free fact takes its nearest free ones. (id, embedding, bucket...) to (id, cluster), the cluster
     being its first fact. Null scopes are a bucket of their own. ids are unique.
 
-    The order is kept without a pass over whole buckets: in each round, every free fact that has no lesser free fact within two links decides, as nothing before it
-    can take it or what it takes. Who is taken, has taken, or has nobody left is no longer free; links among the free ones go on to the next round."""
-    links = cut(near(facts, bucket, least, _all, PAIR, block=block).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.col("score").alias("s")))
-    taken = []
-    while not links.isEmpty():
-        first = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))  # the least within one link
-        second = links.join(first.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-        heads = first.select("a", F.col("m").alias("m1")).join(second, "a").filter("m1 = a AND m = a").select("a")
-        nth = F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc(), "b"))
-        now = cut(links.join(heads, "a", "left_semi").withColumn("nth", nth).filter(F.col("nth") < most).select(F.col("b").alias("id"), F.col("a").alias("cluster")))
-        now = now.unionByName(now.select(F.col("cluster").alias("id"), "cluster").distinct())
-        taken.append(now)
-        gone = now.select("id")
-        links = cut(links.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
-    return reduce(DataFrame.unionByName, taken) if taken else facts.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster")).limit(0)
+    A bucket of up to WHOLE blocks is decided by one task. A larger one goes in rounds, until what is free of it is as small: its first free facts, a block or more, are held against all free ones in
+    slices, tasks of their own, of which each gives the nearest LIST. A fact can only take later ones, as an earlier one that is free yet has nobody free near. So one task walks the lists
+    in order, up to a fact for which they may not reach; that one begins the next round. Links aren't stored, and no task holds more than a slice or the lists of one fact."""
+    left, out = cut(_keyed(facts, bucket)), []
+    while True:
+        large = _large(left, block)
+        out.append(cut(_dealt(left.join(large, KEY, "left_anti")).mapInArrow(_whole(least, most), "id long, cluster long")))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        big = left.join(large, KEY)
+        done = cut(_round(big, least, most, block))
+        out.append(done.filter("cluster IS NOT NULL"))
+        left = cut(big.join(done.select("id"), "id", "left_anti").select(*left.columns))
 
 
 def prunable(facts: DataFrame, now: Column) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import scoring, temporal, text, vectors
 from quillstone.operators import consolidate, cycle
 from quillstone.sources.journal import Journal
-from quillstone.sources.store import cut
+from quillstone.sources.store import cut, release
 
 TABLES = {
     "facts": "fact_id long, content string, category string, embedding array<double>, valid_from timestamp, valid_to timestamp, recorded_at timestamp, deleted_at timestamp, pruned_at timestamp, confidence double, importance double, reference_count long, merged_from array<long>, episode_id long, project_id string, user_id string, checked_at timestamp",
@@ -311,6 +311,9 @@ def run(journal: Journal, name: str, now: Column, parts: Parts = Parts(), deadli
             continue
         if deadline_s is not None and clock() - began >= deadline_s and step not in ("summaries", "extraction"):
             break
-        journal.commit(work(journal.tables(), now, parts), name, step)
+        changed = work(journal.tables(), now, parts)
+        release(journal.spark)
+        journal.commit(changed, name, step)
+        release(journal.spark)
         out.append(step)
     return out

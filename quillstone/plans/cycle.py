@@ -184,7 +184,7 @@ def fact_merge_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signs(content):
     """An embedder by which texts are alike if they are equal: 128 numbers out of the text's hash."""
-    return F.transform(F.split(F.sha2(content.cast("binary"), 512), ""), lambda d: F.conv(d, 16, 10).cast("double") - 7.5)
+    return F.transform(F.split(F.sha2(content.cast("binary"), 512), ""), lambda d: F.instr(F.lit("0123456789abcdef"), d).cast("double") - 8.5)
 
 
 def _ends(facts: DataFrame) -> DataFrame:

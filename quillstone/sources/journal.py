@@ -41,7 +41,14 @@ class Journal:
         """The tables as last committed."""
         n = self._last()
         named = self.spark.read.schema(COMMIT).json(f"{self.path}/commits/{n}").first()["tables"] if n else {}
-        return {name: self.spark.read.parquet(f"{self.path}/{folder}") for name, folder in named.items()}
+        return {name: self._read(folder) for name, folder in named.items()}
+
+    def _read(self, folder: str) -> DataFrame:
+        """A table; a job looks up its schema once."""
+        path = f"{self.path}/{folder}"
+        df = self.spark.read.schema(self._schemas[folder]).parquet(path) if folder in self._schemas else self.spark.read.parquet(path)
+        self._schemas[folder] = df.schema
+        return df
 
     def commit(self, changed: dict[str, DataFrame], run: str, step: str) -> None:
         """Writes the changed tables as new versions and commits them with all others as they are."""
@@ -50,6 +57,7 @@ class Journal:
         for name, df in changed.items():
             named[name] = f"tables/{name}-{n + 1}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.path}/{named[name]}")
+            self._schemas[named[name]] = df.schema
         tried = f"commits/try-{uuid.uuid4().hex}"
         self.spark.createDataFrame([(n + 1, run, step, named)], COMMIT).coalesce(1).write.json(f"{self.path}/{tried}")
         if self._fs.exists(self._place(f"commits/{n + 1}")) or not self._fs.rename(self._place(tried), self._place(f"commits/{n + 1}")):

@@ -153,3 +153,17 @@ def test_the_judge_decides(spark, tmp_path):
     assert [(r.fact_id, r.content, r.merged_from, r.reference_count, round(r.confidence, 2)) for r in new] == [(9, "one", [0, 1], 1, 0.51)]
     assert {r.fact_id for r in t["facts"].filter("valid_to IS NOT NULL").collect()} == {0, 1}
     assert {r.entity for r in t["mentions"].filter("fact_id = 9").collect()} == {"e", "f"}
+
+
+def test_passes_let_go_of_their_plans(spark, tmp_path, monkeypatch):
+    """The driver is cleared before and after each commit; a writer looks up no schema that it wrote itself."""
+    journal, cleared = Journal(spark, str(tmp_path)), []
+    monkeypatch.setattr(resume, "release", lambda s: cleared.append(s))
+    resume.begin(journal, {})
+    passes = [p for p in resume.PASSES if p[0] in ("pruning", "retirement")]
+    assert resume.run(journal, "x", now(), passes=passes) == ["pruning", "retirement"] and len(cleared) == 4
+    tracker, before = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert set(journal.tables()) == set(resume.TABLES)
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) <= 2  # the commit's file alone
+    again = Journal(spark, str(tmp_path)).tables()
+    assert {n: df.schema for n, df in journal.tables().items()} == {n: df.schema for n, df in again.items()}

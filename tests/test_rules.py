@@ -406,3 +406,25 @@ def test_every_number_of_a_vector_is_given(spark, tmp_path):
         want |= {(i, b): (round(n / norm, 6), 256, 1.0, round(max(counts.values()) / norm, 6)) for b, n in counts.items()}
     got = records.hashed_vectors_all(spark, str(tmp_path)).collect()
     assert len(got) == len(want) > 256 and {(r.doc_id, r.bucket): (r.weight, r.dim, r.square, r.most) for r in got} == want
+
+
+def counted_cuts(monkeypatch):
+    calls = []
+    monkeypatch.setattr(consolidate, "cut", lambda df: calls.append(1) or store.cut(df))
+    return calls
+
+
+def test_equal_facts_are_passed_in_one_round(spark, monkeypatch):
+    """Many facts of the same words, and new ones among many open ones."""
+    v = [[1.0, 0.0, 0.1 * k] for k in range(12)]
+    new = [(i, v[i % 12], f"p{i % 3}") for i in range(300)]
+    live = [(1000 + i, v[i % 4], "p1") for i in range(300)]
+    near, kept = brute_pairs(new + live, 0.999), []
+    for i, _, _ in new:
+        if not any((i, j) in near for j in [*kept, *(x[0] for x in live)]):
+            kept.append(i)
+    frame = lambda x: spark.createDataFrame(x, VECTORS)
+    calls = counted_cuts(monkeypatch)
+    for block, most in ((2048, 3), (9, 30)):
+        calls.clear()
+        assert sorted(r.id for r in consolidate.fresh(frame(new), frame(live), ["project_id"], 0.999, block=block).collect()) == kept and len(calls) <= most
