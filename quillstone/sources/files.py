@@ -1,13 +1,17 @@
 """Sinks of many files, written by tasks: a store of contents by hash, and a vault of one Markdown file a document.
 
 Tasks write through pyarrow's file systems, so the root is any address that they open (file, hdfs, s3 and others). A file is written beside its place and moved there, so readers see whole files only, and a task
-that runs again writes the same bytes to the same place. Listings come from Spark's file reader; what begins with an underscore or a dot is hidden from it."""
+that runs again writes the same bytes to the same place. Listings and the files' hashes are made by tasks too, so the driver holds no file's name; what begins with an underscore or a dot is hidden from them."""
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import itertools
+import os
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,12 +37,36 @@ def put_file(fs: pafs.FileSystem, path: str, content: bytes) -> None:
     fs.move(beside, path)
 
 
+def names(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder, and whether they are folders; one by one where the system is local, else a folder's at a time."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as there:
+            yield from ((x.name, x.is_dir()) for x in there)
+    else:
+        yield from ((x.base_name, x.type == pafs.FileType.Directory) for x in fs.get_file_info(pafs.FileSelector(folder)))
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path (below root), content of the files there; none if there is no such folder. Without content being asked for, none is read."""
+    """path (below root) of the files there; none if there is no such folder. Folders are listed by tasks, one level after another."""
     if not exists(spark, root):
-        return spark.createDataFrame([], "path string, content binary")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select(F.substring_index("path", opened(root)[1].rstrip("/") + "/", -1).alias("path"), "content")
+        return spark.createDataFrame([], "path string")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = ((f"{folder}/{n}" if folder else n, d) for n, d in names(fs, f"{base}/{folder}" if folder else base) if not n.startswith(("_", ".")) and (d or fnmatch.fnmatchcase(n, pattern)))
+                while part := [*itertools.islice(found, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_())], names=["path", "folder"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    while not levels or not folders.isEmpty():
+        level = cut(folders.repartition(parts, "path").mapInArrow(inside, "path string, folder boolean"))
+        levels.append(level.filter("NOT folder").select("path"))
+        folders = level.filter("folder").select("path")
+    return reduce(DataFrame.unionByName, levels)
 
 
 # ---- contents by hash ----
@@ -127,10 +155,22 @@ def document_text(title: Column, tags: Column, body: Column) -> Column:
 def vault_state(docs: DataFrame, root: str) -> DataFrame:
     """path, state, document: what docs (doc_id, project_id, title, tags, body) should be in the vault against what is there: missing, stale (other bytes), same, or orphan (no document's)."""
     wanted = docs.select(document_path(F.col("project_id"), F.col("title"), F.col("doc_id")).alias("path"), document_text(F.col("title"), F.col("tags"), F.col("body")).alias("document")).filter("path IS NOT NULL")
-    there = listing(docs.sparkSession, root, "*.md").select(F.col("path").alias("found"), F.sha2("content", 256).alias("hash"))
+    there = listing(docs.sparkSession, root, "*.md").select(F.col("path").alias("found"))
     both = wanted.join(there, F.col("path") == F.col("found"), "full_outer")
-    state = F.when(F.col("path").isNull(), "orphan").when(F.col("found").isNull(), "missing").when(F.col("hash") != F.sha2(F.encode("document", "UTF-8"), 256), "stale").otherwise("same")
-    return both.select(F.coalesce("path", "found").alias("path"), state.alias("state"), "document")
+    state = F.when(F.col("path").isNull(), "orphan").when(F.col("found").isNull(), "missing")
+    rows = both.select(F.coalesce("path", "found").alias("path"), state.alias("state"), "document")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(root)
+        for batch in batches:
+            states = batch.column("state").to_pylist()
+            for i, (path, state) in enumerate(zip(batch.column("path").to_pylist(), states)):
+                if state is None:
+                    same = fs.open_input_stream(f"{base}/{path}").readall() == batch.column("document")[i].as_py().encode()
+                    states[i] = "same" if same else "stale"
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(states, pa.string()), batch.column("document")], names=["path", "state", "document"])
+
+    return rows.mapInArrow(judged, "path string, state string, document string")
 
 
 def write_vault_files(docs: DataFrame, root: str, at: Column, reason: str = "orphaned") -> DataFrame:
@@ -152,5 +192,6 @@ def write_vault_files(docs: DataFrame, root: str, at: Column, reason: str = "orp
             yield batch.select(["path", "state"])
 
     once = vault_state(docs, root).groupBy("path").agg(F.min("state").alias("state"), F.min("document").alias("document"))
+    once = once.withColumn("document", F.when(F.col("state").isin("missing", "stale"), F.col("document")))  # the others aren't written
     rows = cut(once).withColumn("at", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))  # judged before anything is written
     return cut(rows.mapInArrow(work, "path string, state string"))

@@ -50,6 +50,23 @@ def test_vault(spark, tmp_path):
     assert files.vault_state(spark.createDataFrame([], DOCS), str(tmp_path / "none")).isEmpty()
 
 
+def test_listings_are_made_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver reads no folder: Spark's own file reader would hold each file's name there."""
+    root = tmp_path / "deep"
+    for name in ("a/1.md", "a/b/c/2.md", "3.md", "a/4.txt", "_trash/a/5.md", "a/.6.md", "a/_7.part", "x y/ü #%20.md", "x=1/8.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "empty").mkdir()
+    monkeypatch.setattr(type(spark.read), "load", lambda *a, **k: pytest.fail("the driver lists files"))
+    for address in (str(root), f"file://{root}", f"file://{root}/"):
+        assert sorted(r.path for r in files.listing(spark, address, "*.md").select("path").collect()) == ["3.md", "a/1.md", "a/b/c/2.md", "x y/ü #%20.md", "x=1/8.md"]
+    assert files.listing(spark, f"{root}/empty").isEmpty() and files.listing(spark, f"{root}/none").isEmpty()
+    assert sorted(r.path for r in files.listing(spark, f"{root}/a").collect()) == ["1.md", "4.txt", "b/c/2.md"]
+    docs = spark.createDataFrame([(1, "p", "T", ["x"], None), (2, "p", "T", None, "é")], DOCS)
+    at = F.lit("2024-01-01").cast("timestamp")
+    assert [sorted(r.state for r in files.write_vault_files(docs, str(tmp_path / "v"), at).collect()) for _ in range(2)] == [["missing"] * 2, ["same"] * 2]
+
+
 def read(spark, data, mime=None, chain=None):
     r = readers.extracted(spark.createDataFrame([(bytearray(data) if data is not None else None, mime, "kept")], "content binary, mime string, text string"), chain).first()
     return r.status, r.text, r.detail
