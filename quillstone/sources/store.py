@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back, so that plans stay short and lost executors cost nothing."""
     path = shared_path(df.sparkSession)

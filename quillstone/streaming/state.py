@@ -1,80 +1,62 @@
-"""Keyed state with expiry as a stateful stream: the latest value of each key, held until it expires.
+"""Keyed state with expiry over a stream: the latest value of each key, held until it expires.
 
-A row (key, value, at) counts until ``at + ttl``, or until a later one of its key (later by time, then by value) takes its place. Each group is a key, its state one row with a timer at its expiry, so state
-grows with the keys alive and not with the stream. The watermark lags by ttl: a row that comes too late for it has expired by the latest time seen, so dropping it changes nothing, and the order and the batches in
-which rows come don't either. Null keys are a key; rows without a time are left out; repeated rows count once.
+A row (key, value, at) counts until ``at + ttl``, or until a later one of its key (later by time, then by value) takes its place. Each batch is merged with the state as the batch before left it, by joins alone: no
+call is made for a key. State is one row a key and goes when ``ttl`` has passed by the watermark, the latest time of the batches before less ttl, so it grows with the keys alive and not with the stream. A row
+that comes too late for the watermark has expired by the latest time seen, so dropping it changes nothing, and the order and the batches in which rows come don't either. Null keys are a key; rows without a time
+are left out; repeated rows count once.
 
-What a batch changes is written to a folder of its own in the shared folder; a batch that runs again, after a restart from the checkpoint, writes over it."""
+What a batch changes, and the state after it, are written to folders of their own in the shared folder; a batch that runs again, after a restart from the checkpoint, reads the state of the batch before it and
+writes over its own. States older than the last two go."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillstone.sources.store import cut, drop
 from quillstone.streaming.jobs import _parts
 
 CHANGE = "key string, value string, at timestamp, gone boolean"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class Latest(StatefulProcessor):
-    """Keeps a key's latest row and lets it go at its expiry."""
-
-    def __init__(self, ttl_s: float):
-        self.ttl = timedelta(seconds=ttl_s)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", "value string, at timestamp")
+STATE = "key string, value string, at timestamp"
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.held.get() if self.held.exists() else None
-        best = before
-        for df in rows:
-            for value, at in zip(df["value"], df["at"]):
-                value = None if pd.isna(value) else value
-                if best is None or (at, value is not None, value or "") > (pd.Timestamp(best[1]), best[0] is not None, best[0] or ""):
-                    best = (value, at)
-        if best is not None and best is not before:
-            at = pd.Timestamp(best[1])
-            for timer in [*self.handle.listTimers()]:
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.held.update((best[0], at.to_pydatetime()))
-            self.handle.registerTimer(int((at + self.ttl).timestamp() * 1000))
-            yield pd.DataFrame({"key": [key[0]], "value": [best[0]], "at": [at], "gone": [False]})
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
-            return
-        value, at = self.held.get()
-        self.held.clear()
-        yield pd.DataFrame({"key": [key[0]], "value": [value], "at": [pd.Timestamp(at)], "gone": [True]})
-
-    def close(self) -> None:
-        pass
-
-
-def latest_by_key(stream: DataFrame, ttl_s: float) -> DataFrame:
-    """A stream of changes (key, value, at, gone) of a stream of rows (key, value, at)."""
-    rows = stream.filter("at IS NOT NULL").withWatermark("at", f"{ttl_s} seconds").select(F.coalesce("key", F.lit("\0null")).alias("key"), "value", "at")
-    out = rows.groupBy("key").transformWithStateInPandas(Latest(ttl_s), CHANGE, "Update", "EventTime")
-    return out.withColumn("key", F.when(F.col("key") != "\0null", F.col("key")))
+def merged(held: DataFrame, batch: DataFrame, before: int | None, now: int | None, ttl_s: float) -> DataFrame:
+    """key, value, at, changed, gone: the state after a batch of rows (key, value, at). before, now: the watermarks under which the batch came and went (microseconds, or null)."""
+    micros = int(ttl_s * 1e6)
+    late = F.coalesce(F.unix_micros("at") < F.lit(before).cast("long"), F.lit(False))
+    order = F.struct("at", F.col("value").isNotNull().alias("there"), "value")
+    new = batch.filter(F.col("at").isNotNull() & ~late).select("key", order.alias("r"), F.lit(True).alias("new"))
+    both = new.unionByName(held.select("key", order.alias("r"), F.lit(False).alias("new")))
+    best = both.groupBy("key").agg(F.max("r").alias("r"), F.max(F.when(~F.col("new"), F.col("r"))).alias("old"))
+    gone = F.coalesce(F.unix_micros("r.at") + micros <= F.lit(now).cast("long"), F.lit(False))
+    return best.select("key", "r.value", "r.at", (~F.col("r").eqNullSafe(F.col("old"))).alias("changed"), gone.alias("gone"))
 
 
 def keep_state(spark: SparkSession, stream: DataFrame, path: str, ttl_s: float) -> list[int]:
-    """Runs the stream over what is there and stops: changes go to path, batch by batch; run again, it goes on from its checkpoint. How many rows of state (values and timers) there were after each batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    """Runs the stream over what is there and stops: changes go to path, batch by batch; run again, it goes on from its checkpoint. How many rows of state there were after each batch."""
+    sizes = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/changes/part={number}")
-
-    query = latest_by_key(stream, ttl_s).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/marks").trigger(availableNow=True).start()
+        micros = int(ttl_s * 1e6)
+        held = _parts(spark, f"{path}/state/{number - 1}", STATE)
+        marks = _parts(spark, f"{path}/latest/{number - 1}", "latest long").first()
+        rows = cut(batch.select("key", "value", "at"))  # read once
+        seen = rows.agg(F.max(F.unix_micros("at")).alias("latest")).first()["latest"]
+        before = marks["latest"] if marks else None
+        latest = max((x for x in (seen, before) if x is not None), default=None)
+        mark = lambda x: None if x is None else x - micros
+        after = cut(merged(held, rows, mark(before), mark(latest), ttl_s))
+        changes = after.filter("changed").withColumn("gone", F.lit(False)).unionByName(after.filter("gone"))
+        changes.select("key", "value", "at", "gone", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/changes/part={number}")
+        after.filter("NOT gone").select("key", "value", "at").write.mode("overwrite").parquet(f"{path}/state/{number}")
+        spark.createDataFrame([(latest,)], "latest long").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest/{number}")
+        for old in ("state", "latest"):
+            drop(spark, f"{path}/{old}/{number - 2}")
+        sizes.append(after.filter("NOT gone").count())
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/marks").trigger(availableNow=True).start()
     query.awaitTermination()
-    return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    return sizes
 
 
 def current(spark: SparkSession, path: str, now, ttl_s: float) -> DataFrame:

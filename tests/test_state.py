@@ -47,3 +47,15 @@ def test_state_falls_after_expiry(spark, tmp_path):
     second = run(spark, tmp_path, 86_400)
     assert max(first) >= 50 and second[-1] <= 2
     assert [x.key for x in state.current(spark, f"{tmp_path}/out", F.lit("2024-01-09 12:00:00").cast("timestamp"), 86_400).collect()] == ["late"]
+
+
+def test_batches_merge_without_a_call_for_a_key(spark):
+    """State and batch meet in joins and aggregates alone; ties, late rows, expiry and what didn't change by hand."""
+    frame = lambda rows: spark.createDataFrame(rows, "key string, value string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    day = lambda d: f"2024-01-{d:02} 00:00:00"
+    micros = lambda d: 1_704_067_200_000_000 + (d - 1) * 86_400_000_000
+    held = frame([("same", "v", day(6)), ("old", "v", day(3)), ("tie", "a", day(6)), (None, "v", day(6))])
+    batch = frame([("same", "v", day(6)), ("same", "u", day(5)), ("tie", "b", day(6)), ("tie", None, day(6)), ("late", "v", day(1)), ("new", None, day(8)), (None, "w", day(7)), ("none", "v", None)])
+    out = state.merged(held, batch, micros(2), micros(6), 2 * 86_400)
+    assert {(r.key, r.value, r.changed, r.gone) for r in out.collect()} == {("same", "v", False, False), ("old", "v", False, True), ("tie", "b", True, False), ("new", None, True, False), (None, "w", True, False)}
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
