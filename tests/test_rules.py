@@ -414,6 +414,22 @@ def counted_cuts(monkeypatch):
     return calls
 
 
+def test_dense_buckets_take_few_rounds(spark, monkeypatch):
+    """All near to each other: a fact a round would decide, as all have lesser ones within two links."""
+    rows = [(i, [1.0, (i * 37 % 199) / 400, (i * 53 % 211) / 300], "p") for i in range(400)] + [(1000 + i, [1.0, 0.0, -0.5], "q") for i in range(90)]
+    near, free, want = brute_pairs(rows, 0.5), {r[0] for r in rows}, {}
+    for i in sorted(free):
+        if i in free and (others := sorted((-near[i, j], j) for j in free if (i, j) in near)[:5]):
+            for j in (i, *(j for _, j in others)):
+                free.remove(j)
+                want[j] = i
+    df = spark.createDataFrame(rows, VECTORS)
+    calls = counted_cuts(monkeypatch)
+    for block, most in ((2048, 3), (40, 30)):
+        calls.clear()
+        assert {r.id: r.cluster for r in consolidate.clusters(df, ["project_id"], 0.5, block=block).collect()} == want and len(calls) <= most
+
+
 def test_equal_facts_are_passed_in_one_round(spark, monkeypatch):
     """Many facts of the same words, and new ones among many open ones."""
     v = [[1.0, 0.0, 0.1 * k] for k in range(12)]
